@@ -1,0 +1,86 @@
+"""Small helpers for one transcript line inside a task."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import numpy as np
+
+from snagline import fixed
+
+_MARKER = fixed.TRUNCATION_MARKER
+
+
+def text_fields(entry: dict) -> Iterator[tuple[dict, str]]:
+    """Where an entry keeps text that may be cut."""
+    message = entry.get("message")
+    if not isinstance(message, dict):
+        return
+    content = message.get("content")
+    if isinstance(content, str):
+        yield message, "content"
+    for block in content if isinstance(content, list) else ():
+        if not isinstance(block, dict):
+            continue
+        for holder in (block, block.get("input")):
+            if isinstance(holder, dict):
+                keys = ("text", "content") if holder is block else tuple(holder)
+                yield from ((holder, k) for k in keys if isinstance(holder.get(k), str))
+
+
+def dump(entry: dict) -> str:
+    return json.dumps(entry, ensure_ascii=False, separators=(",", ":"))
+
+
+def excerpt(s: str, cap: int) -> str:
+    """Head, marker and tail within `cap` characters."""
+    if len(s) <= cap:
+        return s
+    spare = cap - len(_MARKER)
+    if spare <= 0:
+        return _MARKER[: max(cap, 0)]
+    head = -(-spare // 2)
+    return s[:head] + _MARKER + s[len(s) - (spare - head):]
+
+
+def cut_line(line: str, cap: int) -> str:
+    entry = json.loads(line)
+    for holder, key in list(text_fields(entry)):
+        holder[key] = excerpt(holder[key], cap)
+    return dump(entry)
+
+
+def longest_field(line: str) -> int:
+    return max((len(h[k]) for h, k in text_fields(json.loads(line))), default=0)
+
+
+def _written_bytes(s: str) -> np.ndarray:
+    """Running count of the bytes a text takes inside a JSON string."""
+    cp = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    size = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
+    size[(cp >= 0xD800) & (cp < 0xE000)] = 1
+    size[cp < 0x20] = 6
+    size[np.isin(cp, (0x08, 0x09, 0x0A, 0x0C, 0x0D, 0x22, 0x5C))] = 2
+    return np.concatenate(([0], np.cumsum(size)))
+
+
+def bytes_at_caps(line: str, caps: np.ndarray) -> np.ndarray:
+    """Bytes of the line, newline counted, under each cap."""
+    entry = json.loads(line)
+    fields = list(text_fields(entry))
+    sizes = [_written_bytes(h[k]) for h, k in fields]
+    for holder, key in fields:
+        holder[key] = ""
+    total = np.full(len(caps), len(dump(entry).encode("utf-8", "replace")) + 1, dtype=np.int64)
+    width = len(_MARKER)
+    spare = np.maximum(caps - width, 0)
+    head = (spare + 1) // 2
+    for run in sizes:
+        n = len(run) - 1
+        whole = caps >= n
+        h = np.minimum(head, n)
+        t = np.minimum(spare - head, n)
+        cut = run[h] + width + run[n] - run[n - t]
+        total += np.where(whole, run[n], np.where(caps > width, cut, np.clip(caps, 0, width)))
+    return total
