@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from snagline.functions import text as T
 from snagline.functions import variants as V
+from snagline.operators.settle import settle
 
 
-def quarantine_reason(value: Column) -> Column:
+def quarantine_reason(value: Column, parsed: Column) -> Column:
     """Why a line is structurally bad, or null.
 
     Unknown fields and unknown types are never a reason.
     """
-    parsed = F.try_parse_json(value)
     ts = V.string_at(parsed, "$.ts")
     return (
         F.when(~F.is_valid_utf8(value), "invalid_utf8")
@@ -28,10 +28,20 @@ def quarantine_reason(value: Column) -> Column:
 
 def quarantine_split(lines: DataFrame, value: str = "value") -> DataFrame:
     """Each non-empty line with its reason, month and id; a good line has no reason."""
-    marked = lines.filter(F.length(value) > 0).withColumn("reason", quarantine_reason(F.col(value)))
-    parsed = F.when(F.col("reason").isNull(), F.try_parse_json(F.col(value)))
-    return marked.withColumns(
-        {"month": T.month_of(V.string_at(parsed, "$.ts")), "id": V.string_at(parsed, "$.id")}
+    filled = lines.filter(F.length(value) > 0)
+    parsed = settle(filled, {"_v": F.try_parse_json(F.col(value))})
+    v = F.col("_v")
+    marked = settle(
+        parsed,
+        {
+            "reason": quarantine_reason(F.col(value), v),
+            "month": T.month_of(V.string_at(v, "$.ts")),
+            "id": V.string_at(v, "$.id"),
+        },
+    )
+    good = F.col("reason").isNull()
+    return marked.drop("_v").withColumns(
+        {"month": F.when(good, F.col("month")), "id": F.when(good, F.col("id"))}
     )
 
 
@@ -92,8 +102,12 @@ def reconcile_by_id(batch: DataFrame, published: DataFrame, order: Sequence[str]
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    """Append to the month-partitioned ledger; lines are kept as they came."""
-    rows.write.partitionBy("month").mode("append").parquet(path)
+    """Append to the month-partitioned ledger; lines are kept as they came.
+
+    Rows of a month are brought together for few files, and a large month is
+    still split over several tasks.
+    """
+    rows.hint("rebalance", "month").write.partitionBy("month").mode("append").parquet(path)
 
 
 def write_quarantine(bad: DataFrame, path: str, batch: int | str) -> None:

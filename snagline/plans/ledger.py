@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from snagline import fixed
 from snagline.functions import text as T
-from snagline.functions import variants as V
 from snagline.operators import fold, ingest, ordered
 from snagline.plans import views as vw
 from snagline.plans.catalog import query
@@ -190,8 +189,7 @@ def scan_ledger(spark, d):
     + f"SELECT pos, seen_type AS rtype, id, resolves FROM ledger_lines WHERE is_object = 1 AND seen_type IN ('{fixed.REPORT}', '{fixed.RESOLUTION}')",
 )
 def type_dispatch(spark, d):
-    lines = vw.ledger_lines(spark, d).withColumn("v", V.parse_object(F.col("value")))
-    records = fold.project_records(lines.filter(F.col("v").isNotNull()))
+    records = fold.project_records(src.objects(vw.ledger_lines(spark, d)))
     return fold.type_dispatch(records).select("pos", "rtype", "id", "resolves")
 
 
@@ -364,8 +362,8 @@ def write_quarantine(spark, d):
 
 @query("to_canonical_json")
 def to_canonical_json(spark, d):
-    lines = vw.ledger_lines(spark, d).withColumn("v", V.parse_object(F.col("value")))
-    return lines.filter(F.col("v").isNotNull()).select("pos", F.to_json("v").alias("line"))
+    lines = src.objects(vw.ledger_lines(spark, d))
+    return lines.select("pos", F.to_json("v").alias("line"))
 
 
 @query("scan_denylist", "SELECT lower(trim(c_mktsegment || ' ' || c_name)) AS literal FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'")

@@ -13,6 +13,7 @@ from snagline import fixed
 from snagline.functions import variants as V
 from snagline.operators import clusters as C
 from snagline.operators import fold, tracking
+from snagline.operators.settle import settle
 
 NOW = "2024-01-31 00:00:00"
 
@@ -249,10 +250,8 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transcript_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the transcripts; turns are dense, so they are the places too."""
     lines = transcript_lines(spark, sf_dir)
-    return lines.select(
-        "session", F.col("line_no").alias("seq"), "line_no", F.col("value").alias("raw"),
-        V.parse_object(F.col("value")).alias("entry"),
-    )
+    placed = lines.select("session", F.col("line_no").alias("seq"), "line_no", F.col("value").alias("raw"))
+    return settle(placed, {"entry": V.parse_object(F.col("raw"))})
 
 
 ENTRIES = """entries AS (
@@ -316,7 +315,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         head, tool, F.lit('"session_id":"s'), string(F.col("user_id")), F.lit('","tool_use_id":"t'),
         string(n), F.lit('",'), pick(n % 12, _ERRORS), F.lit(',"ts":"'), text_ts(F.col("ts")), F.lit('"}'),
     )
-    return e.select(n.alias("pos"), F.parse_json(line).alias("v"))
+    return settle(e.select(n.alias("pos"), line.alias("value")), {"v": F.parse_json("value")}).drop("value")
 
 
 PAYLOADS = f"""friction AS (

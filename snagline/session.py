@@ -27,6 +27,7 @@ def build_session(master: str | None = None, app: str = "snagline", **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     settings.update(conf)
     for key, value in settings.items():

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snagline.functions import variants as V
+from snagline.operators.settle import settle
 
 # Ledger files by name, then the spool; inside a file, by line.
 SOURCE_ORDER = ["src_rank", "file", "block", "mid"]
@@ -52,7 +53,12 @@ def scan_ledger(spark: SparkSession, ledger: str | None, spool: str | None = Non
             [], "src_rank int, file string, block long, mid long, value string, v variant"
         )
     lines = union_sources([scan_lines(spark, p, rank) for rank, p in places])
-    return lines.withColumn("v", V.parse_object(F.col("value"))).filter(F.col("v").isNotNull())
+    return objects(lines)
+
+
+def objects(lines: DataFrame) -> DataFrame:
+    """Lines that are JSON objects, parsed as `v`."""
+    return settle(lines, {"v": V.parse_object(F.col("value"))}).filter(F.col("v").isNotNull())
 
 
 def pending_view(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

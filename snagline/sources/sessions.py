@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from snagline.functions import variants as V
 from snagline.operators import ordered
+from snagline.operators.settle import settle
 from snagline.sources.ledger import scan_lines
 
 
@@ -30,13 +31,10 @@ def as_entries(lines: DataFrame) -> DataFrame:
     ranked = ordered.rank_in_group(
         filled, ["session"], ["line_no"], ordered.chunk_of(F.col("line_no")), "_rank"
     )
-    return ranked.select(
-        "session",
-        (F.col("_rank") - 1).alias("seq"),
-        "line_no",
-        F.col("value").alias("raw"),
-        V.parse_object(F.col("value")).alias("entry"),
+    placed = ranked.select(
+        "session", (F.col("_rank") - 1).alias("seq"), "line_no", F.col("value").alias("raw")
     )
+    return settle(placed, {"entry": V.parse_object(F.col("raw"))})
 
 
 def scan_transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -53,9 +51,8 @@ def transcript_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def valid_anchor(line: Column) -> Column:
+def valid_anchor(v: Column) -> Column:
     """An object whose id, tool and kind are strings or absent."""
-    v = V.parse_object(line)
 
     def text_or_none(name: str) -> Column:
         value = V.at(v, f"$.{name}")
@@ -72,12 +69,10 @@ def trusted_anchors(lines: DataFrame) -> DataFrame:
     the bad sessions are reduced to one row each before they meet the lines.
     """
     filled = lines.filter(F.regexp_replace("value", r"[\s\x1c-\x1f]+", "") != "")
-    marked = filled.withColumn("ok", valid_anchor(F.col("value")))
-    bad = marked.filter(~F.col("ok")).select("session").distinct()
-    v = V.parse_object(F.col("value"))
+    marked = settle(filled, {"v": V.parse_object(F.col("value"))})
+    bad = marked.filter(~valid_anchor(F.col("v"))).select("session").distinct()
     return (
         marked.join(bad, "session", "left_anti")
-        .withColumn("v", v)
         .select(
             "session",
             "pos",
