@@ -12,6 +12,7 @@ from snagline.functions import redaction as R
 from snagline.functions import rules as Q
 from snagline.functions import text as T
 from snagline.functions import variants as V
+from snagline.session import cut_lineage
 
 
 def whitelist_fields(df: DataFrame, rtype: str, v: str = "v") -> DataFrame:
@@ -185,12 +186,14 @@ def gate(
     """Validate, scrub, cut, validate again; keep whole batches only.
 
     `stamped` carries the caller's whitelisted values and the controlled fields.
+    The judged rows are written out once: the bad batches and the rows to keep
+    are both read from there, and random ids stay what they are.
     """
     caller = [*fixed.REPORT_KEYS, *fixed.RESOLUTION_KEYS]
     checked = validate_records(stamped)
     checked = as_text(checked, caller)
     scrubbed = truncate_to_schema(scrub_record(checked, literals))
-    final = validate_records(scrubbed, "late_errors")
+    final = cut_lineage(validate_records(scrubbed, "late_errors"))
     bad = (
         (F.size("errors") > 0) | F.col("rejected").isNotNull() | (F.size("late_errors") > 0)
     )

@@ -113,12 +113,12 @@ def ledger_audit(spark, d):
 
 @query(
     "all_or_nothing",
-    f"WITH {_RECORDS},\nbad AS (SELECT DISTINCT n // 4 AS batch FROM errors)\n"
-    "SELECT n AS pos, n // 4 AS batch FROM records WHERE n // 4 NOT IN (SELECT batch FROM bad)",
+    f"WITH {_RECORDS},\nbad AS (SELECT DISTINCT n // 2 AS batch FROM errors)\n"
+    "SELECT n AS pos, n // 2 AS batch FROM records WHERE n // 2 NOT IN (SELECT batch FROM bad)",
 )
 def all_or_nothing(spark, d):
     checked = settle(
-        _records(spark, d).withColumn("batch", F.floor(F.col("pos") / 4)),
+        _records(spark, d).withColumn("batch", F.floor(F.col("pos") / 2)),
         {"errors": Q.validate_object(F.col("v"), Q.RECORD_RULES, Q.RECORD_CONDITIONS)},
     )
     return gate.all_or_nothing(checked, F.size("errors") > 0, ["batch"]).select("pos", "batch")
@@ -178,7 +178,7 @@ def drop_strict_columns(spark, d):
 
 
 def _candidates(spark, d):
-    """Seeded documents as candidate reports, one batch per four documents.
+    """Seeded documents as candidate reports, one batch per two documents.
 
     Whole texts are judged: a document longer than the limit makes its batch fail.
     """
@@ -192,7 +192,7 @@ def _candidates(spark, d):
         )
     )
     return settle(
-        docs.select("doc_id", F.floor(n / 4).alias("batch"), raw.alias("value")), {"v": F.parse_json("value")}
+        docs.select("doc_id", F.floor(n / 2).alias("batch"), raw.alias("value")), {"v": F.parse_json("value")}
     ).drop("value")
 
 
@@ -249,8 +249,8 @@ def scrub_record(spark, d):
 @query(
     "gate",
     f"WITH {vw.SECRET_TEXTS},\n{_SCRUBBED},\n{_CHECKED},\n"
-    "bad AS (SELECT DISTINCT doc_id // 4 AS batch FROM checked WHERE too_long OR rejected)\n"
-    "SELECT doc_id, description FROM checked WHERE doc_id // 4 NOT IN (SELECT batch FROM bad)",
+    "bad AS (SELECT DISTINCT doc_id // 2 AS batch FROM checked WHERE too_long OR rejected)\n"
+    "SELECT doc_id, description FROM checked WHERE doc_id // 2 NOT IN (SELECT batch FROM bad)",
 )
 def run_gate(spark, d):
     accepted = gate.gate(_stamped(spark, d), vw.DENYLIST, ["batch"])
@@ -277,7 +277,7 @@ def write_review(spark, d):
 
 @query(
     "denylist_usable",
-    "SELECT count_if(c_acctbal > 0) AS n_literals, CAST(count_if(c_acctbal > 0) > 0 AS BIGINT) AS usable FROM customer",
+    "SELECT CAST(count_if(c_acctbal > 0) AS BIGINT) AS n_literals, CAST(count_if(c_acctbal > 0) > 0 AS BIGINT) AS usable FROM customer",
 )
 def denylist_usable(spark, d):
     from snagline.sources import ledger as src
