@@ -23,10 +23,8 @@ def prefix_owner(open_set: DataFrame, order: str) -> DataFrame:
 def text_prefixes(texts: DataFrame) -> DataFrame:
     """(repo, number, source, prefix): distinct id prefixes found in each text."""
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(fixed.PREFIX_PATTERN), F.lit(1)))
-    return texts.select(
-        "repo", "number", "source",
-        F.concat(F.lit(fixed.ID_PREFIX), F.explode(found)).alias("prefix"),
-    )
+    hits = texts.select("repo", "number", "source", F.explode(found).alias("_hex"))
+    return hits.withColumn("prefix", F.concat(F.lit(fixed.ID_PREFIX), "_hex")).drop("_hex")
 
 
 def prefix_sources(texts: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,33 +102,36 @@ def scan_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGISTRY_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
-def elements(docs: DataFrame, value: str = "value") -> DataFrame:
+def elements(docs: DataFrame, keep: Sequence[str] = (), value: str = "value") -> DataFrame:
     """Elements of array documents with their 0-based place: the place is the key."""
     array = F.try_variant_get(F.parse_json(F.col(value)), "$", "array<variant>")
-    return docs.select(F.posexplode(array).alias("cluster", "e"))
+    return docs.select(*keep, F.posexplode(array).alias("place", "e"))
 
 
-def scan_clusters(docs: DataFrame) -> DataFrame:
+def scan_clusters(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Clusters of each document; `keep` names columns that tell documents apart."""
     e = F.col("e")
     members = F.try_variant_get(e, f"$.{fixed.MEMBERS_KEY}", "array<string>")
-    return elements(docs).select(
-        F.col("cluster").cast("bigint").alias("cluster"),
+    return elements(docs, keep).select(
+        *keep,
+        F.col("place").cast("bigint").alias("cluster"),
         V.string_at(e, "$.improvement").alias("improvement"),
         members.alias("members"),
         V.string_at(e, "$.target").alias("target"),
         V.string_at(e, "$.effort").alias("effort"),
         V.string_at(e, "$.confidence").alias("confidence"),
-        element_errors(e, F.col("cluster"), Q.CLUSTER_RULES).alias("errors"),
+        element_errors(e, F.col("place"), Q.CLUSTER_RULES).alias("errors"),
     )
 
 
-def scan_consolidations(docs: DataFrame) -> DataFrame:
+def scan_consolidations(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     e = F.col("e")
-    return elements(docs).select(
-        F.col("cluster").cast("bigint").alias("entry"),
+    return elements(docs, keep).select(
+        *keep,
+        F.col("place").cast("bigint").alias("entry"),
         V.integer_at(e, "$.cluster").alias("cluster"),
         V.string_at(e, "$.issue").alias("issue"),
-        element_errors(e, F.col("cluster"), Q.CONSOLIDATION_RULES).alias("errors"),
+        element_errors(e, F.col("place"), Q.CONSOLIDATION_RULES).alias("errors"),
     )
 
 
