@@ -9,6 +9,7 @@ which keeps every step linear in the length of the text.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,9 @@ EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 BLANK = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
 PEM = r"(?s)-----BEGIN [^-]+-----.*?-----END [^-]+-----"
-JWT = rf"{EDGE}eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+{EDGE}"
+# An edge before or after a character that is always a word character.
+START, END = rf"(?<!{WORD})", rf"(?!{WORD})"
+JWT = rf"{START}eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+{EDGE}"
 # The scheme's run is entered at its first character; digits before the first
 # letter travel in the kept group.
 CREDENTIALS = (
@@ -28,7 +31,7 @@ CREDENTIALS = (
     rf"[^/@{BLANK}:]++:[^/@{BLANK}]++@"
 )
 KEY = (
-    rf"{EDGE}(?:sk-[A-Za-z0-9]{{10,}}|ghp_[A-Za-z0-9]{{10,}}|github_pat_[A-Za-z0-9_]{{10,}}"
+    rf"{START}(?:sk-[A-Za-z0-9]{{10,}}|ghp_[A-Za-z0-9]{{10,}}|github_pat_[A-Za-z0-9_]{{10,}}"
     rf"|xox[a-zA-Z0-9-]{{10,}}|AKIA[A-Z0-9]{{12,20}}){EDGE}"
 )
 # A local part starts at the first word edge of its run; what lies before that
@@ -37,10 +40,10 @@ _LOCAL = r"A-Za-z0-9._%+-"
 EMAIL = (
     rf"(?:\G|(?<![{_LOCAL}]))"
     rf"(?:(?<={WORD})([A-Za-z0-9_]*+)(?=[.%+-])|(?<!{WORD})([.%+-]*+)(?=[A-Za-z0-9_]))"
-    rf"[{_LOCAL}]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{EDGE}"
+    rf"[{_LOCAL}]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{END}"
 )
 _OCTET = r"(?:25[0-5]|2[0-4]\p{Nd}|1?\p{Nd}?\p{Nd})"
-IPV4 = rf"{EDGE}(?:{_OCTET}\.){{3}}{_OCTET}{EDGE}"
+IPV4 = rf"{START}(?:{_OCTET}\.){{3}}{_OCTET}{END}"
 IPV6_CANDIDATE = r"[0-9A-Fa-f:]{2,}(?:\.[0-9]{1,3}){0,3}"
 IPV6_HINT = r":[0-9A-Fa-f]*:"
 _TOKEN_CHARS = r"A-Za-z0-9+_-"
@@ -82,17 +85,37 @@ IPV6 = _ipv6_grammar()
 IPV6_WHOLE = rf"\A(:(?!:))?{IPV6}((?<!:):)?\z"
 
 
-def _replace(pattern: str, replacement: str) -> Callable[[Column], Column]:
-    return lambda c: F.regexp_replace(c, F.lit(pattern), F.lit(replacement))
+def _any_of(*parts: str) -> Callable[[Column], Column]:
+    return lambda c: reduce(Column.__or__, [c.contains(p) for p in parts])
 
 
-redact_pem = _replace(PEM, fixed.MARKERS["pem"])
-redact_jwt = _replace(JWT, fixed.MARKERS["jwt"])
-redact_url_creds = _replace(CREDENTIALS, "$1" + fixed.MARKERS["credentials"])
-redact_keys = _replace(KEY, fixed.MARKERS["key"])
-redact_email = _replace(EMAIL, "$1$2" + fixed.MARKERS["email"])
-redact_ipv4 = _replace(IPV4, fixed.MARKERS["ip"])
-redact_home = _replace(HOME, fixed.MARKERS["home"])
+# What a text must hold for a pattern to match at all.  A plain substring search
+# settles most texts before a pattern is tried.
+HINTS: dict[str, Callable[[Column], Column]] = {
+    "pem": _any_of("-----BEGIN "),
+    "jwt": _any_of("eyJ"),
+    "credentials": _any_of("://"),
+    "key": _any_of("sk-", "ghp_", "github_pat_", "xox", "AKIA"),
+    "email": _any_of("@"),
+    "ipv4": lambda c: c.rlike(r"\p{Nd}\.\p{Nd}"),
+    "home": _any_of("/Users/", "/home/"),
+}
+
+
+def _replace(name: str, pattern: str, replacement: str) -> Callable[[Column], Column]:
+    hint = HINTS[name]
+    return lambda c: F.when(
+        hint(c), F.regexp_replace(c, F.lit(pattern), F.lit(replacement))
+    ).otherwise(c)
+
+
+redact_pem = _replace("pem", PEM, fixed.MARKERS["pem"])
+redact_jwt = _replace("jwt", JWT, fixed.MARKERS["jwt"])
+redact_url_creds = _replace("credentials", CREDENTIALS, "$1" + fixed.MARKERS["credentials"])
+redact_keys = _replace("key", KEY, fixed.MARKERS["key"])
+redact_email = _replace("email", EMAIL, "$1$2" + fixed.MARKERS["email"])
+redact_ipv4 = _replace("ipv4", IPV4, fixed.MARKERS["ip"])
+redact_home = _replace("home", HOME, fixed.MARKERS["home"])
 
 
 def redact_token(c: Column, allowlist: Sequence[str] = fixed.TOKEN_ALLOWLIST) -> Column:
@@ -143,14 +166,10 @@ def denylist_hit(c: Column, literals: Sequence[str]) -> Column:
 
 
 # The fixed order of the steps; an earlier one claims what a later, more generic
-# one would break up.  IPv6 stands alone because it reads its input several times.
-BEFORE_IPV6 = [redact_pem, redact_jwt, redact_url_creds, redact_keys, redact_email]
-
-
-def _chain(c: Column, steps: Sequence[Callable[[Column], Column]]) -> Column:
-    for step in steps:
-        c = step(c)
-    return c
+# one would break up.
+STRUCTURED = [
+    redact_pem, redact_jwt, redact_url_creds, redact_keys, redact_email, redact_ipv6, redact_ipv4,
+]
 
 
 def _apply(df: DataFrame, cols: Sequence[str], fn: Callable[[Column], Column]) -> DataFrame:
@@ -173,14 +192,14 @@ def scrub_corpus(
     would otherwise make the engine compute the steps before it more than once.
     """
     every = list(text_cols) + list(link_cols)
-    df = _apply(df, every, lambda c: _chain(c, BEFORE_IPV6))
-    df = _apply(df, every, redact_ipv6)
-    df = _apply(df, every, redact_ipv4)
+    for step in STRUCTURED:
+        df = _apply(df, every, step)
     if runs_col:
         df = df.withColumn(
             runs_col, F.concat(*[F.coalesce(vocab_runs(F.col(c), allowlist), F.array()) for c in text_cols])
         )
-    df = _apply(df, text_cols, lambda c: redact_home(redact_token(c, allowlist)))
+    df = _apply(df, text_cols, lambda c: redact_token(c, allowlist))
+    df = _apply(df, text_cols, redact_home)
     if literals:
         df = _apply(df, every, lambda c: redact_denylist(c, literals))
     return df
@@ -232,7 +251,10 @@ PII_PATTERNS = {
 
 def pii_counts(c: Column, patterns: dict[str, str] = PII_PATTERNS) -> dict[str, Column]:
     """Matches per pattern in the untouched text."""
-    return {
-        f"n_{name}": F.regexp_count(c, F.lit(pattern)).cast("bigint")
-        for name, pattern in patterns.items()
-    }
+    out = {}
+    for name, pattern in patterns.items():
+        n = F.regexp_count(c, F.lit(pattern)).cast("bigint")
+        if name in HINTS:
+            n = F.when(HINTS[name](c), n).otherwise(F.lit(0).cast("bigint"))
+        out[f"n_{name}"] = n
+    return out

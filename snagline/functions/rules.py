@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snagline import fixed
 from snagline.functions import variants as V
 from snagline.functions.redaction import BLANK
+from snagline.functions.settle import settle
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,22 @@ def variant_field(v: Column, name: str) -> Field:
     )
 
 
+def field_structs(v: Column, names: Sequence[str]) -> dict[str, Column]:
+    """One struct per property with all its tests need; compute these once."""
+    out = {}
+    for name in names:
+        f = variant_field(v, name)
+        out[f"_f_{name}"] = F.struct(
+            f.value.alias("value"), f.string.alias("string"), f.is_string.alias("is_string")
+        )
+    return out
+
+
+def stored_field(name: str) -> Field:
+    c = F.col(f"_f_{name}")
+    return Field(c["value"].isNotNull(), c["string"], c["is_string"], c["value"])
+
+
 def string_field(c: Column) -> Field:
     return Field(c.isNotNull(), c, c.isNotNull(), None)
 
@@ -194,10 +211,14 @@ def errors_of(
     return errors
 
 
-def validate_object(v: Column, rules: Mapping[str, Rule], conditions: Sequence[Condition] = ()) -> Column:
-    """Errors of one parsed object against a rule set."""
-    fields = {n: variant_field(v, n) for n in rules}
-    return errors_of(fields, rules, conditions, unknown_keys(v, list(rules)))
+def validate_objects(
+    df: DataFrame, v: str, rules: Mapping[str, Rule], conditions: Sequence[Condition] = (),
+    out: str = "errors",
+) -> DataFrame:
+    """Parsed objects with their errors against a rule set."""
+    read = settle(df, {**field_structs(F.col(v), list(rules)), "_extra": unknown_keys(F.col(v), list(rules))})
+    errors = errors_of({n: stored_field(n) for n in rules}, rules, conditions, F.col("_extra"))
+    return settle(read, {out: errors}).drop(*[f"_f_{n}" for n in rules], "_extra")
 
 
 def validate_nested(

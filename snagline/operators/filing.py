@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from snagline import fixed
 from snagline.operators.clusters import cluster_members
+from snagline.session import cut_lineage
 
 
 def first_write_per_id(writes: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def label_union(filed: DataFrame) -> DataFrame:
     """
     owner = F.transform(
         "owner_labels",
-        lambda x, i: F.struct(x.alias("label"), (F.lit(10).cast("bigint") + F.col("cluster") * 1000 + i).alias("rank")),
+        lambda x, i: F.struct(x.alias("label"), (F.col("cluster") * (1 << 20) + 10 + i).cast("bigint").alias("rank")),
     )
     fixed_rank = {fixed.BASE_LABEL: 0, **{p: n + 1 for n, p in enumerate(fixed.PRIORITY_LABELS)}, fixed.FIX_NOW_LABEL: 4}
     rank_map = F.create_map(*[F.lit(x) for kv in fixed_rank.items() for x in kv])
@@ -110,8 +111,10 @@ def file_plan(
 ) -> DataFrame:
     """Every cluster with what this run does about it.
 
-    action: file, held, consolidate, skip or noop.
+    action: file, held, consolidate, skip or noop.  The clusters are read three
+    times, so they are written out once.
     """
+    enriched = cut_lineage(enriched)
     guard = rerun_guard(enriched, writes).select("cluster", "skip")
     placed = (
         enriched.filter(F.col("class") != "error")

@@ -231,7 +231,8 @@ def distinct_runs(review: DataFrame) -> DataFrame:
 def ledger_audit(records: DataFrame, v: str = "v") -> DataFrame:
     """Errors over a whole ledger, counted; a report, never a read filter."""
     return (
-        records.select(F.explode(Q.validate_object(F.col(v), Q.RECORD_RULES, Q.RECORD_CONDITIONS)).alias("error"))
+        Q.validate_objects(records.select(v), v, Q.RECORD_RULES, Q.RECORD_CONDITIONS)
+        .select(F.explode("errors").alias("error"))
         .groupBy("error")
         .agg(F.count(F.lit(1)).alias("n"))
     )

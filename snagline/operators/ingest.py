@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from snagline.functions import text as T
 from snagline.functions import variants as V
-from snagline.operators.settle import settle
+from snagline.functions.settle import settle
 
 
 def quarantine_reason(value: Column, parsed: Column) -> Column:

@@ -9,7 +9,7 @@ from snagline.functions import rules as Q
 from snagline.functions import text as T
 from snagline.functions import variants as V
 from snagline.operators import gate
-from snagline.operators.settle import settle
+from snagline.functions.settle import settle
 from snagline.plans import views as vw
 from snagline.plans.catalog import query
 from snagline.plans.redaction import _denylist, stages
@@ -19,7 +19,7 @@ _CAT, _SEV = fixed.CATEGORIES, ["high", "medium", "low", None, "urgent"]
 
 def _records(spark, d):
     """Events as stored records, each kind of fault somewhere."""
-    e = vw.table(spark, d, "events")
+    e = vw.table(spark, d, "events", heavy=True)
     n, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
     strict = u % 4 == 0
     resolution = kind == "purchase"
@@ -92,8 +92,8 @@ errors AS (SELECT n, error FROM found WHERE error IS NOT NULL)"""
 @query("validate_records", f"WITH {_RECORDS}\nSELECT n AS pos, error FROM errors")
 def validate_records(spark, d):
     """Basic and conditional rules; errors accumulate."""
-    errors = Q.validate_object(F.col("v"), Q.RECORD_RULES, Q.RECORD_CONDITIONS)
-    return _records(spark, d).select("pos", F.explode(errors).alias("error"))
+    checked = Q.validate_objects(_records(spark, d), "v", Q.RECORD_RULES, Q.RECORD_CONDITIONS)
+    return checked.select("pos", F.explode("errors").alias("error"))
 
 
 @query(
@@ -117,9 +117,9 @@ def ledger_audit(spark, d):
     "SELECT n AS pos, n // 2 AS batch FROM records WHERE n // 2 NOT IN (SELECT batch FROM bad)",
 )
 def all_or_nothing(spark, d):
-    checked = settle(
-        _records(spark, d).withColumn("batch", F.floor(F.col("pos") / 2)),
-        {"errors": Q.validate_object(F.col("v"), Q.RECORD_RULES, Q.RECORD_CONDITIONS)},
+    checked = Q.validate_objects(
+        _records(spark, d).withColumn("batch", F.floor(F.col("pos") / 2)), "v",
+        Q.RECORD_RULES, Q.RECORD_CONDITIONS,
     )
     return gate.all_or_nothing(checked, F.size("errors") > 0, ["batch"]).select("pos", "batch")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from snagline import fixed
 from snagline.functions import redaction as R
 from snagline.functions import text as T
-from snagline.operators.settle import settle
+from snagline.functions.settle import settle
 from snagline.plans import views as vw
 from snagline.plans.catalog import query
 
@@ -147,7 +147,7 @@ def scrub_corpus(spark, d):
     f"WITH {stages('documents', 'text', 'scrubbed')}\nSELECT doc_id, t AS text FROM scrubbed",
 )
 def scrub_documents(spark, d):
-    return R.scrub_corpus(vw.table(spark, d, "documents").select("doc_id", "text"), ["text"])
+    return R.scrub_corpus(vw.table(spark, d, "documents", heavy=True).select("doc_id", "text"), ["text"])
 
 
 @query(

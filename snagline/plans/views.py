@@ -13,13 +13,22 @@ from snagline import fixed
 from snagline.functions import variants as V
 from snagline.operators import clusters as C
 from snagline.operators import fold, tracking
-from snagline.operators.settle import settle
+from snagline.functions.settle import settle
+from snagline.session import spread
 
 NOW = "2024-01-31 00:00:00"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+KEYS = {
+    "events": ["event_id"], "documents": ["doc_id"], "orders": ["o_orderkey"],
+    "conversations": ["conv_id", "turn"], "lineitem": ["l_orderkey", "l_linenumber"],
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A given table; `heavy` when much work per row follows."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, *KEYS[name]) if heavy else df
 
 
 def full_id(n: Column) -> Column:
@@ -149,7 +158,7 @@ LEDGER_LINES = """ledger_lines AS (
 # --- orders as a batch by month ---------------------------------------------
 def month_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as lines to publish; some have a month 13, a few are not objects."""
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", heavy=True)
     n = F.col("o_orderkey")
     good_ts = text_ts(F.col("o_orderdate"))
     bad_ts = F.concat(F.left(good_ts, F.lit(5)), F.lit("13"), F.substring(good_ts, 8, 30))
@@ -193,7 +202,7 @@ PUBLISHED = f"""published AS (
 # --- transcripts over conversations ------------------------------------------
 def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as transcript lines: (session, line_no, value)."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", heavy=True)
     conv, turn, text = string(F.col("conv_id")), F.col("turn"), F.col("text")
     call_id = F.concat_ws("_", F.lit("tu"), conv, string(turn))
     next_id = F.concat_ws("_", F.lit("tu"), conv, string(turn + 1))
@@ -301,7 +310,7 @@ _CODES = [None, None, None, "127", "2", None, None, None, None, None, None, None
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as hook payloads: (pos, v)."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events", heavy=True)
     n, kind = F.col("event_id"), F.col("event_type")
     tool = pick(n % 3, ['"tool_name":"Bash",', '"tool_name":"Edit",', '"tool_name":7,'])
     head = (
@@ -372,7 +381,7 @@ EVENT_MARKERS = """markers AS (
 # --- texts with something to hide ----------------------------------------------
 def secret_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, whole, each followed by one of twelve kinds of tail."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", heavy=True)
     n, h = string(F.col("doc_id")), F.md5(string(F.col("doc_id")))
     L = F.lit
     tails = [
@@ -529,7 +538,7 @@ def issue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A large returned line names the part's report by id.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", heavy=True)
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("number"),
         F.concat(F.lit("acme/r"), string(F.floor(F.col("o_custkey") / 10))).alias("repo"),

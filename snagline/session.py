@@ -26,6 +26,7 @@ def build_session(master: str | None = None, app: str = "snagline", **conf: str)
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -59,6 +60,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core when a scan has fewer splits than the cluster has cores.
+
+    Meant for a plain scan in front of heavy per-row work.  A large input has
+    more splits than that and is left as it is.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Checkpoint to the shared folder, so a lost executor costs a re-read only."""
     shared_folder(df.sparkSession)

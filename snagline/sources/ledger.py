@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snagline.functions import variants as V
-from snagline.operators.settle import settle
+from snagline.functions.settle import settle
 
 # Ledger files by name, then the spool; inside a file, by line.
 SOURCE_ORDER = ["src_rank", "file", "block", "mid"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from snagline.functions import variants as V
 from snagline.operators import ordered
-from snagline.operators.settle import settle
+from snagline.functions.settle import settle
 from snagline.sources.ledger import scan_lines
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from snagline import fixed
 from snagline.functions import variants as V
 from snagline.operators import sessions as S
-from snagline.operators.settle import settle
+from snagline.functions.settle import settle
 from snagline.streaming.tables import read_batches, write_batch
 
 ANCHOR_SCHEMA = "session string, pos long, kind string, ts timestamp"
