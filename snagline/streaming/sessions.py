@@ -70,7 +70,8 @@ def late_batch(batch: DataFrame, batch_id: int, late: str, marks: str, delay_sec
 
     A row is late when it lies behind the latest time of earlier batches by more
     than the delay; each batch leaves its own latest time.  Late sessions are
-    mined again from the side table.
+    mined again from the side table.  The engine's own late filter trails by one
+    batch, so a row may be both counted and set aside: mining is at least once.
     """
     spark = batch.sparkSession
     high = read_batches(spark, marks, "high timestamp", before=batch_id).agg(F.max("high")).first()[0]
