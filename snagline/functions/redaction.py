@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snagline import fixed
+from snagline.functions.settle import settle
 
 WORD = r"[\p{L}\p{N}_]"
 EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
@@ -188,8 +189,8 @@ def scrub_corpus(
 
     `link_cols` take only the structured steps, so that a commit hash in a link
     survives.  `runs_col` adds the word-shaped runs the token step removes.
-    The steps are separate selects: a step that reads its input more than once
-    would otherwise make the engine compute the steps before it more than once.
+    The steps are separate selects, because each reads its input more than once,
+    and the result is settled, so that a filter on it is not pushed through them.
     """
     every = list(text_cols) + list(link_cols)
     for step in STRUCTURED:
@@ -202,7 +203,7 @@ def scrub_corpus(
     df = _apply(df, text_cols, redact_home)
     if literals:
         df = _apply(df, every, lambda c: redact_denylist(c, literals))
-    return df
+    return settle(df, {c: F.col(c) for c in [*every, *([runs_col] if runs_col else [])]})
 
 
 def redact_url_safe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
