@@ -261,7 +261,8 @@ def compact(
             .withColumn("must_keep", F.col("must_keep") | F.coalesce("_hit", F.lit(False)))
             .drop("_hit")
         )
-    reduced = cut_lineage(stage2(large))
+    # The windows read these lines several times; they are trimmed once.
+    reduced = cut_lineage(stage2(cut_lineage(large)))
     still = cut_lineage(
         transcript_bytes(reduced).filter(F.col("n_bytes") > budget).select("session")
     )

@@ -27,19 +27,18 @@ def text_prefixes(texts: DataFrame) -> DataFrame:
     return hits.withColumn("prefix", F.concat(F.lit(fixed.ID_PREFIX), "_hex")).drop("_hex")
 
 
-def prefix_sources(texts: DataFrame) -> DataFrame:
+def prefix_sources(mentions: DataFrame) -> DataFrame:
     """One row per issue and prefix; a body mention hides those in comments.
 
     "body" sorts before "comment", so the combining minimum is the rule.
     """
-    return (
-        text_prefixes(texts).groupBy("repo", "number", "prefix").agg(F.min("source").alias("source"))
-    )
+    keys = [c for c in mentions.columns if c != "source"]
+    return mentions.groupBy(*keys).agg(F.min("source").alias("source"))
 
 
 def comment_minus_body(texts: DataFrame) -> DataFrame:
     """Prefixes an issue carries in comments only."""
-    return prefix_sources(texts).filter(F.col("source") == "comment").drop("source")
+    return prefix_sources(text_prefixes(texts)).filter(F.col("source") == "comment").drop("source")
 
 
 def prefix_intersect(texts: DataFrame, owners: DataFrame) -> DataFrame:
@@ -51,9 +50,10 @@ def tracked_index(issues: DataFrame, texts: DataFrame, owners: DataFrame) -> Dat
     """One row per (prefix, issue).
 
     Prefixes are extracted once per text and met with the open set on equality;
-    no id is ever searched for in every text.
+    no id is ever searched for in every text.  Mentions of nothing open go first,
+    before the rest is brought together by issue.
     """
-    hits = prefix_sources(texts).join(owners, "prefix")
+    hits = prefix_sources(text_prefixes(texts).join(owners, "prefix"))
     return hits.join(issues, ["repo", "number"]).select(
         "prefix", "repo", "number", "url", "state", "state_reason", "labels", "full_id", "source"
     )

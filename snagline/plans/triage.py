@@ -598,7 +598,7 @@ def cluster_labels(spark, d):
 
 
 def _to_file(spark, d):
-    en = vw.enriched(spark, d)
+    en = cut_lineage(vw.enriched(spark, d))
     skip = L.rerun_guard(en, vw.prior_writes(spark, d)).filter(F.col("skip").isNull()).select("cluster")
     chosen = en.filter(F.col("class") == "file").join(skip, "cluster", "left_semi")
     return C.resolve_repo(chosen, G.target_repos(vw.registry(spark, d)))
