@@ -256,13 +256,14 @@ def valid_ts(spark, d):
     return o.select(F.col("o_orderkey").alias("pos"), T.valid_ts(ts).cast("int").alias("ok"))
 
 
-@query(
-    "date_parts",
-    _with(vw.LEDGER) + "SELECT pos, substr(ts, 1, 7) AS month, split_part(ts, 'T', 1) AS day FROM ledger",
-)
-def date_parts(spark, d):
-    led = vw.ledger(spark, d)
-    return led.select("pos", T.month_of(F.col("ts")).alias("month"), T.date_of(F.col("ts")).alias("day"))
+@query("month_of", _with(vw.LEDGER) + "SELECT pos, substr(ts, 1, 7) AS month FROM ledger")
+def month_of(spark, d):
+    return vw.ledger(spark, d).select("pos", T.month_of(F.col("ts")).alias("month"))
+
+
+@query("date_of", _with(vw.LEDGER) + "SELECT pos, split_part(ts, 'T', 1) AS day FROM ledger")
+def date_of(spark, d):
+    return vw.ledger(spark, d).select("pos", T.date_of(F.col("ts")).alias("day"))
 
 
 @query(

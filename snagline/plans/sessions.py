@@ -71,10 +71,10 @@ def session_counts(spark, d):
 
 
 @query(
-    "nontrivial_sessions",
+    "nontrivial_session",
     _with(vw.ENTRIES, _COUNTS) + f"SELECT * FROM counts WHERE human_turns >= {_MIN_TURNS} OR tool_errors > 0 OR denials > 0",
 )
-def nontrivial_sessions(spark, d):
+def nontrivial_session(spark, d):
     return S.nontrivial_sessions(S.session_counts(_flagged(spark, d)), _MIN_TURNS)
 
 
@@ -285,6 +285,25 @@ def compact_stage1(spark, d):
     return K.stage1(vw.transcript_entries(spark, d)).select("session", "seq", "line")
 
 
+@query("compact_entry", _with(vw.ENTRIES, _STAGE1) + "SELECT session, seq, line FROM stage1 WHERE is_denial = 1 OR n_errors > 0")
+def compact_entry(spark, d):
+    """Entries that hold a denial or an error, without their envelope."""
+    v = F.col("entry")
+    rows = vw.transcript_entries(spark, d).filter(E.denial_entry(v) | E.tool_error_entry(v))
+    return rows.select("session", "seq", E.compact_entry(v).alias("line"))
+
+
+@query(
+    "compact_blocks",
+    _with(vw.ENTRIES, _STAGE1)
+    + """SELECT session, seq, regexp_replace(substr(line, position('"content":' IN line) + 10), '\}(,"toolDenialKind":"user")?\}$', '') AS content FROM stage1""",
+)
+def compact_blocks(spark, d):
+    return vw.transcript_entries(spark, d).select(
+        "session", "seq", E.compact_blocks(F.col("entry")).alias("content")
+    )
+
+
 @query(
     "transcript_bytes",
     _with(vw.ENTRIES, _STAGE1) + "SELECT session, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes FROM stage1 GROUP BY 1",

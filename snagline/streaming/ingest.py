@@ -43,7 +43,10 @@ def ingest_batch(
     split = cut_lineage(ingest.quarantine_split(lines))
     ingest.write_quarantine(ingest.bad_lines(split), quarantine, batch_id)
     good = ingest.good_lines(split).withColumn("batch", F.lit(batch_id).cast("bigint"))
-    published = read_ledger(spark, ledger)
+    # Calendar months only: at most a few thousand short strings.  Naming them
+    # lets the read below skip every other month's folder.
+    months = [r.month for r in good.select("month").distinct().collect()]
+    published = read_ledger(spark, ledger).filter(F.col("month").isin(months))
     new = ingest.reconcile_by_id(good, published, LINE_ORDER)
     rows = new.select("id", "value", "batch", *LINE_ORDER, "month")
     if publish is None:
