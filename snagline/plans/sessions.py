@@ -375,7 +375,17 @@ def compact_stage3(spark, d):
 _GREEDY_BUDGET = 1500
 
 
-@query("greedy_budget")
+@query(
+    "greedy_budget",
+    "WITH RECURSIVE " + ",\n".join((vw.ENTRIES, _STAGE1))
+    + f""", walk AS (
+      SELECT session, seq, line, CASE WHEN strlen(line) + 1 <= {_GREEDY_BUDGET} THEN strlen(line) + 1 ELSE 0 END AS used,
+        strlen(line) + 1 <= {_GREEDY_BUDGET} AS kept FROM stage1 WHERE seq = 0
+      UNION ALL
+      SELECT s.session, s.seq, s.line, CASE WHEN w.used + strlen(s.line) + 1 <= {_GREEDY_BUDGET} THEN w.used + strlen(s.line) + 1 ELSE w.used END,
+        w.used + strlen(s.line) + 1 <= {_GREEDY_BUDGET} FROM walk w JOIN stage1 s ON s.session = w.session AND s.seq = w.seq + 1)
+    SELECT session, seq, line FROM walk WHERE kept""",
+)
 def greedy_budget(spark, d):
     lines = K.stage1(vw.transcript_entries(spark, d)).select("session", "seq", "line")
     return K.greedy_budget(lines, _GREEDY_BUDGET)
@@ -383,17 +393,17 @@ def greedy_budget(spark, d):
 
 @query(
     "compact_report",
-    _with(vw.ENTRIES, _STAGE1)
-    + "SELECT session, CAST(sum(strlen(line) + 1) AS BIGINT) AS stage1_bytes, "
-    f"CAST(CASE WHEN sum(strlen(line) + 1) <= {_BUDGET} THEN 1 ELSE 0 END AS BIGINT) AS done_at_once, "
-    "CAST(1 AS BIGINT) AS within_budget FROM stage1 GROUP BY 1",
+    _with(vw.ENTRIES, _STAGE1, _STAGE2, _ELIDE)
+    + f"""SELECT z.session, CAST(z.n AS BIGINT) AS stage1_bytes,
+      CAST(CASE WHEN z.n <= {_BUDGET} THEN 1 WHEN e.n <= {_BUDGET} THEN 2 ELSE 3 END AS BIGINT) AS stage, CAST(1 AS BIGINT) AS within_budget
+    FROM sized z LEFT JOIN (SELECT session, sum(strlen(line) + 1) AS n FROM elided GROUP BY 1) e USING (session)""",
 )
 def compact_report(spark, d):
-    """Stage and size per session; SQL can say which ones need no second stage."""
+    """Stage reached and size per session."""
     entries = vw.transcript_entries(spark, d)
     report = K.compact_report(entries, K.compact(entries, None, _BUDGET))
     before = K.transcript_bytes(K.stage1(entries), out="stage1_bytes")
     return report.join(before, "session").select(
-        "session", "stage1_bytes", (F.col("stage") == 1).cast("bigint").alias("done_at_once"),
+        "session", "stage1_bytes", "stage",
         (F.col("bytes_after") <= _BUDGET).cast("bigint").alias("within_budget"),
     )

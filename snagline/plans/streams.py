@@ -103,15 +103,22 @@ def stream_dedup(spark, d):
     return _sink(spark, ingest.stream_dedup(_replay(spark, rows), "ts", "40 days").select("id"))
 
 
-@query("stream_late")
+@query(
+    "stream_late",
+    "SELECT CAST(user_id AS VARCHAR) AS session, event_id AS pos FROM events WHERE user_id % 2 = 1 "
+    "AND ts < (SELECT max(ts) FROM events WHERE user_id % 2 = 0) - INTERVAL 24 HOUR",
+)
 def stream_late(spark, d):
-    """Which rows are late depends on the order of delivery: rows only."""
+    """Two deliveries in a known order: even users, then odd ones."""
     activity = vw.table(spark, d, "events").select(
-        vw.string(F.col("user_id")).alias("session"), F.col("ts").cast("timestamp").alias("ts")
+        vw.string(F.col("user_id")).alias("session"), F.col("event_id").alias("pos"),
+        F.col("ts").cast("timestamp").alias("ts"),
     )
     late, marks = scratch_path(spark, "late"), scratch_path(spark, "marks")
-    _finish(sessions.stream_late(_replay(spark, activity), late, marks, scratch_path(spark, "place")))
-    return tables.read_batches(spark, late, "session string, ts timestamp").select("session", "ts")
+    for batch_id in (0, 1):
+        delivery = activity.filter(F.col("session").cast("bigint") % 2 == batch_id)
+        sessions.late_batch(delivery, batch_id, late, marks, fixed.QUIET_HOURS * 3600)
+    return tables.read_batches(spark, late, "session string, pos long, ts timestamp").select("session", "pos")
 
 
 @query(
