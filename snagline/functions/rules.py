@@ -178,6 +178,16 @@ def unknown_keys(v: Column, known: Sequence[str]) -> Column:
     return F.array_except(keys, F.array(*[F.lit(k) for k in known]))
 
 
+def _listed(found: Sequence[Column]) -> Column:
+    """The messages that are there, as an array.
+
+    Joined and split again on a character no message holds: unlike a filtered
+    array this stays inside generated code.
+    """
+    joined = F.concat_ws("\x01", *found)
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, "\x01"))
+
+
 def _conditional(condition: Condition, fields: Mapping[str, Field]) -> Column:
     met = F.lit(True)
     for name, value in condition.when.items():
@@ -204,7 +214,7 @@ def errors_of(
     ]
     found += [_broken(n, r, fields[n]) for n, r in rules.items() if n in fields]
     found += [_conditional(c, fields) for c in conditions]
-    errors = F.filter(F.array(*found), lambda e: e.isNotNull())
+    errors = _listed(found)
     if extra_keys is not None:
         unexpected = F.transform(extra_keys, lambda k: F.concat(F.lit("unexpected property: "), k))
         errors = F.concat(F.coalesce(unexpected, F.array()), errors)
@@ -240,7 +250,7 @@ def validate_nested(
         if r.required
     ]
     found += [_broken(dotted(n), r, fields[n]) for n, r in rules.items()]
-    errors = F.filter(F.array(*found), lambda e: e.isNotNull())
+    errors = _listed(found)
     unexpected = F.transform(
         F.coalesce(unknown_keys(v, list(rules)), F.array().cast("array<string>")),
         lambda k: F.concat(path, F.lit(": unexpected property: "), k),

@@ -76,17 +76,15 @@ def first_per_id(
     )
 
 
-def _no_id(df: DataFrame) -> DataFrame:
-    return df.filter(F.coalesce(F.col("id"), F.lit("")) == "").select("month")
-
-
 def failed_groups(batch: DataFrame, published: DataFrame) -> DataFrame:
     """Months of the batch that hold a line without an id, old or new."""
-    touched = batch.select("month").distinct()
+    no_id = F.coalesce(F.col("id"), F.lit("")) == ""
+    months = batch.groupBy("month").agg(F.max(no_id).alias("_bad"))
+    old = published.filter(no_id).select("month").distinct().withColumn("_old", F.lit(True))
     return (
-        _no_id(batch)
-        .union(_no_id(published.join(touched, "month", "left_semi")))
-        .distinct()
+        months.join(old, "month", "left")
+        .filter(F.col("_bad") | F.coalesce("_old", F.lit(False)))
+        .select("month")
     )
 
 
