@@ -168,9 +168,9 @@ def open_by_severity(open_set: DataFrame) -> DataFrame:
         "unknown severity"
     )
     return (
-        open_set.select(shown.alias("severity"))
+        open_set.groupBy(shown.alias("severity")).agg(F.count(F.lit(1)).alias("n"))
         .rollup("severity")
-        .agg(F.count(F.lit(1)).alias("n_open"))
+        .agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("n_open"))
         .select(F.coalesce("severity", F.lit("total")).alias("severity"), "n_open")
     )
 
@@ -190,9 +190,15 @@ def top_open(open_set: DataFrame, k: int) -> DataFrame:
 
 
 def ledger_profile(df: DataFrame) -> DataFrame:
-    """Records per category, severity, month and machine, with every subtotal."""
+    """Records per category, severity, month and machine, with every subtotal.
+
+    Counted per full combination first: the cube multiplies those few rows, not
+    the records.
+    """
+    keys = ["category", "severity", "month", "machine"]
     return (
         df.withColumn("month", T.month_of(F.col("ts")))
-        .cube("category", "severity", "month", "machine")
-        .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+        .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        .cube(*keys)
+        .agg(F.sum("_n").alias("n"), F.grouping_id().alias("level"))
     )

@@ -296,7 +296,7 @@ def compact_entry(spark, d):
 @query(
     "compact_blocks",
     _with(vw.ENTRIES, _STAGE1)
-    + """SELECT session, seq, regexp_replace(substr(line, position('"content":' IN line) + 10), '\}(,"toolDenialKind":"user")?\}$', '') AS content FROM stage1""",
+    + r"""SELECT session, seq, regexp_replace(substr(line, position('"content":' IN line) + 10), '\}(,"toolDenialKind":"user")?\}$', '') AS content FROM stage1""",
 )
 def compact_blocks(spark, d):
     return vw.transcript_entries(spark, d).select(
