@@ -228,7 +228,34 @@ def manifest_of(plan: DataFrame, run_date: Column, urls: DataFrame | None = None
     )
 
 
-APPENDED_SECTIONS = ["filed", "consolidated", "resolved"]
+class InvalidManifest(ValueError):
+    """A manifest that readers could not use is not written."""
+
+
+def manifest_errors(rows: DataFrame) -> DataFrame:
+    """(run_date, section, cluster, error): entries that miss what their section needs."""
+    section = F.col("section")
+    links = F.coalesce(F.col("issue").rlike(r"\Ahttps?://\S+\z"), F.lit(False))
+    tests = [
+        (~F.col("run_date").rlike(rf"\A{fixed.RUN_DATE_PATTERN}\z"), "run_date"),
+        (section.isin("filed", "consolidated", "held") & (F.size("members") < 1), "members"),
+        (section.isin("filed", "consolidated", "held") & (F.col("target").isNull() | F.col("repo").isNull()), "target"),
+        (section.isin("filed", "held") & F.col("title").isNull(), "title"),
+        ((section == "filed") & (F.col("labels").isNull() | F.col("url").isNull()), "labels"),
+        ((section == "consolidated") & ~links, "issue"),
+    ]
+    found = F.split(F.concat_ws(",", *[F.when(t, F.lit(name)) for t, name in tests]), ",")
+    return rows.select("run_date", "section", "cluster", F.explode(found).alias("error")).filter("error <> ''")
+
+
+def checked_manifest(rows: DataFrame) -> DataFrame:
+    """`rows` unchanged, or an error naming the first bad entry."""
+    bad = manifest_errors(rows).orderBy("run_date", "section", "cluster").first()
+    if bad is not None:
+        raise InvalidManifest(f"{bad.run_date} {bad.section} cluster {bad.cluster}: {bad.error}")
+    return rows
+
+
 REPLACED_SECTIONS = ["held", "noop", "skipped"]
 
 

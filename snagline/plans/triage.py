@@ -689,7 +689,7 @@ merged AS (
 def _merged(spark, d):
     """The same plan run twice on one date, beside an earlier date."""
     plan = cut_lineage(_plan(spark, d))
-    new = L.manifest_of(plan, F.lit("2024-01-01"))
+    new = L.checked_manifest(L.manifest_of(plan, F.lit("2024-01-01")))
     before = L.manifest_of(plan, F.lit("2023-12-31"))
     return L.merge_manifest(before.unionByName(new), new)
 

@@ -238,3 +238,18 @@ def test_consolidation_checks(spark):
     assert ("repeated", 0) in check([(0, "https://t/7")] * 2)
     done = C.apply_consolidations(en, spark.createDataFrame([(0, "https://t/7")], "cluster long, issue string"))
     assert {r.cluster: (r["class"], r.issue) for r in done.collect()} == {0: ("consolidate", "https://t/7"), 1: ("noop", None)}
+
+
+def test_a_bad_manifest_is_not_written(spark):
+    schema = ("run_date string, section string, cluster long, members array<string>, target string, repo string, "
+              "title string, labels array<string>, url string, issue string")
+    good = [("2024-01-01", "filed", 0, [A], "alpha", "a/b", "t", ["x"], "", None),
+            ("2024-01-01", "consolidated", 1, [A], "alpha", "a/b", "t", None, None, "https://t/1"),
+            ("2024-01-01", "noop", 2, None, None, None, None, None, None, None)]
+    assert L.checked_manifest(spark.createDataFrame(good, schema)).count() == 3
+    bad = [("2024-1-1", "noop", 3) + (None,) * 7, ("2024-01-01", "filed", 4, [], "alpha", "a/b", "t", ["x"], "", None),
+           ("2024-01-01", "consolidated", 5, [A], "alpha", None, "t", None, None, "t/1")]
+    errors = L.manifest_errors(spark.createDataFrame(bad, schema)).collect()
+    assert sorted((r.cluster, r.error) for r in errors) == [(3, "run_date"), (4, "members"), (5, "issue"), (5, "target")]
+    with pytest.raises(L.InvalidManifest, match="cluster 4: members"):
+        L.checked_manifest(spark.createDataFrame(bad[1:2], schema))
