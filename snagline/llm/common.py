@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snagline.session import shared_folder
@@ -55,21 +55,32 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     })
 
 
+def with_keys(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns with the row key of `keyed`, as __llm_k1 and __llm_k2."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(*columns, *[
+        F.xxhash64(F.lit(i), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text).alias(f"__llm_k{i}") for i in (1, 2)
+    ])
+
+
 def crc_mod(doc_id: str, mod: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % mod
 
 
-def span_rows(df: DataFrame, keys: list[str], patterns: Mapping[str, str]) -> DataFrame:
+def span_rows(
+    df: DataFrame, keys: list[str], patterns: Mapping[str, str], wanted: Mapping[str, Column] | None = None
+) -> DataFrame:
     """One row per match of each pattern: keys, kind, hit, gap, start, end (code points, end exclusive).
 
     The pieces between the matches and the matches themselves come from the same
     scan of the pattern, so running lengths give the places. Only texts with a
-    match leave the scan, and only as matches.
+    match leave the scan, and only as matches; `wanted` holds a condition per kind.
     """
+    wanted = wanted or {}
     found = F.array(*[
         F.when(
-            F.col("text").rlike(p),
+            wanted.get(kind, F.lit(True)) & F.col("text").rlike(p),
             F.struct(
                 F.lit(kind).alias("kind"),
                 F.arrays_zip(
@@ -86,10 +97,9 @@ def span_rows(df: DataFrame, keys: list[str], patterns: Mapping[str, str]) -> Da
         .where(F.col("col.hit").isNotNull())
         .select(*keys, "kind", "pos", F.col("col.hit").alias("hit"), F.col("col.gap.n").alias("gap"), F.col("col.gap.tail").alias("before"))
     )
-    from pyspark.sql import Window
-
     upto = Window.partitionBy(*keys, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.repartition(*keys).withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(upto))
+    # Rows that repeat a key hold the same text.
+    rows = rows.repartition(*keys).dropDuplicates([*keys, "kind", "pos"]).withColumn("end", F.sum(F.col("gap") + F.length("hit")).over(upto))
     return rows.withColumn("start", F.col("end") - F.length("hit"))
 
 

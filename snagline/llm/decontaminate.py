@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snagline.llm.common import keyed, lower_ascii, settled, small_or_not
+from snagline.llm.common import keyed, lower_ascii, settled, small_or_not, with_keys
 
 #: Everything in ASCII but digits and letters stands between words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -146,21 +146,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, gram: i
     each. Empty tables give empty results, an empty benchmark no hits.
     """
     found = find_passages(docs, benchmark, span, gram).select(
-        F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), F.size("hits").cast("long").alias("_n_hit"), F.array_sort("items").alias("_items")
+        F.col("k1").alias("__llm_k1"), F.col("k2").alias("__llm_k2"), F.size("hits").cast("long").alias("__llm_n_hit"), F.array_sort("items").alias("__llm_items")
     )
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "n_items", "contaminated")]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    whole = docs.select(*own).withColumns({
-        f"k{i}_": F.xxhash64(F.lit(i), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text) for i in (1, 2)
-    }).withColumn("_text", text)
+    whole = with_keys(docs, own).withColumn("__llm_text", F.coalesce(F.col("text"), F.lit("")))
     # Counted by the characters between words, without a list of words.
-    bare = F.regexp_replace("_text", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+", "w")
+    bare = F.regexp_replace("__llm_text", r"[0-9A-Za-z\x{80}-\x{10FFFF}]+", "w")
     n_words = (F.length(bare) - F.length(F.replace(bare, F.lit("w"), F.lit("")))).cast("long")
-    out = whole.withColumn("n_words", n_words).join(found, ["k1_", "k2_"], "left")
-    hits = F.coalesce("_n_hit", F.lit(0).cast("long"))
+    out = whole.withColumn("n_words", n_words).join(found, ["__llm_k1", "__llm_k2"], "left")
+    hits = F.coalesce("__llm_n_hit", F.lit(0).cast("long"))
     return out.select(
         *own, "n_words", hits.alias("n_hit"),
-        F.coalesce("_items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("__llm_items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce(F.size("__llm_items"), F.lit(0)).cast("long").alias("n_items"),
         ((hits > 0) & (hits * share >= F.col("n_words"))).alias("contaminated"),
     )

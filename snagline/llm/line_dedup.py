@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snagline.llm.common import keyed, settled
+from snagline.llm.common import keyed, settled, with_keys
 
 #: Blanks that do not tell lines apart.
 BLANKS = " \t\r"
@@ -80,20 +80,17 @@ def line_dedup(
     drop = _lines(rows, "k1", "k2", "doc_id").join(marked, ["h1", "h2"])
     if keep_first:
         drop = drop.where(~here.eqNullSafe(F.col("first")))
-    drop = drop.groupBy("k1", "k2").agg(F.collect_set("line_no").alias("_drop"))
+    drop = drop.groupBy("k1", "k2").agg(F.collect_set("line_no").alias("__llm_drop"))
     others = [c for c in docs.columns if c not in ("text", "n_chars", "n_lines", "n_removed")]
-    whole = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    whole = whole.withColumns({
-        f"k{i}_": F.xxhash64(F.lit(i), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text") for i in (1, 2)
-    })
-    drop = drop.select(F.col("k1").alias("k1_"), F.col("k2").alias("k2_"), "_drop")
+    whole = with_keys(docs, [*others, "text"]).withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    drop = drop.select(F.col("k1").alias("__llm_k1"), F.col("k2").alias("__llm_k2"), "__llm_drop")
     lines = F.split("text", "\n", -1)
     n = F.size(lines)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("_drop")), lambda i: F.get(lines, i))
-    out = whole.join(drop, ["k1_", "k2_"], "left").select(
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("__llm_drop")), lambda i: F.get(lines, i))
+    out = whole.join(drop, ["__llm_k1", "__llm_k2"], "left").select(
         *others,
-        F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("__llm_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         n.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("__llm_drop"), F.lit(0)).cast("long").alias("n_removed"),
     )
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

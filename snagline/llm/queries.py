@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from snagline.llm.decontaminate import decontaminate
 from snagline.llm.line_dedup import line_dedup
+from snagline.llm.pii import find_personal
+from snagline.llm.secrets import scan_secrets
+from snagline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +84,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
     )
+
+
+@_query("op4_secrets")
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every blob against every rule version, from an empty ledger."""
+    out = scan_secrets(table(spark, sf_dir, "documents"), scratch_path(spark, "ledger"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@_query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data by pattern and by context."""
+    out = find_personal(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
