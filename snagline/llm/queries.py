@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from snagline.llm.decontaminate import decontaminate
 from snagline.llm.line_dedup import line_dedup
+from snagline.llm.minhash import near_copies
 from snagline.llm.pii import find_personal
 from snagline.llm.secrets import scan_secrets
 from snagline.session import scratch_path
@@ -100,3 +101,23 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
     )
+
+
+@_query("op3_minhash", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, list_slice(w, p + 1, p + 5) AS g
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS p FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM d UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) c ON c.node = d.doc_id
+""")
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies at a similarity of 0.85 on five-word shingles."""
+    return near_copies(table(spark, sf_dir, "documents"))
