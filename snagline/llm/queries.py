@@ -12,6 +12,7 @@ from snagline.llm.line_dedup import line_dedup
 from snagline.llm.minhash import near_copies
 from snagline.llm.pii import find_personal
 from snagline.llm.secrets import scan_secrets
+from snagline.llm.substring import cut_repeats
 from snagline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +122,25 @@ JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) c ON c.n
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies at a similarity of 0.85 on five-word shingles."""
     return near_copies(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_substring", r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, p, list_slice(w, p + 1, p + 20) AS x
+  FROM (SELECT doc_id, w, unnest(range(len(w) - 19)) AS p FROM d WHERE len(w) >= 20)
+), r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY x ORDER BY doc_id, p) AS k FROM g) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM r),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS q FROM d),
+kept AS (
+  SELECT words.doc_id, count(*) FILTER (WHERE gone.q IS NOT NULL) AS n_removed,
+         string_agg(x, ' ' ORDER BY words.q) FILTER (WHERE gone.q IS NULL) AS k
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.q = words.q GROUP BY words.doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+""")
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words inside twenty-word windows that stand somewhere before."""
+    return cut_repeats(table(spark, sf_dir, "documents")).drop("kept_text")

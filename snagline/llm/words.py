@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Entries of a per-worker memo before it starts anew; bounds a worker's memory.
 MEMO = 200_000
@@ -97,7 +95,52 @@ def winnowed(grams: np.ndarray, w: int) -> np.ndarray:
     return np.arange(len(windows)) + windows.argmin(axis=1)
 
 
-def frames(batches: Iterator[pd.DataFrame], make) -> Iterator[pd.DataFrame]:
-    """One output frame per batch."""
-    for batch in batches:
-        yield make(batch)
+def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hash of the words from each start up to (not with) each end, the length included."""
+    up, down = _powers_of(which, len(hashes) + 1)
+    words = mixed(hashes + np.uint64(0x632BE59BD9B4E019)) if which else hashes
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * down[: len(words)], dtype=np.uint64)])
+    length = (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed(mixed((sums[end] - sums[start]) * up[start]) + length)
+
+
+#: Columns that name a document in a task: a null id is told from 0, and texts that share an id stay apart.
+NAME = ["no_id", "doc_id", "t"]
+
+
+def named_rows(docs: DataFrame) -> DataFrame:
+    """(no_id, doc_id, t, text) without nulls, in small batches."""
+    rows = docs.select(
+        F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    return in_small_batches(rows.select("no_id", "doc_id", F.xxhash64("text").alias("t"), "text"))
+
+
+def id_of() -> Column:
+    """The id of a named row, null again where it was null."""
+    return F.expr("if(no_id, null, doc_id)")
+
+
+BITS = 26
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value's low BITS bits, in 2^BITS / 8 bytes whatever the number of values.
+
+    Summed up by Spark to 64-bit words first. It only saves moving rows that cannot
+    match; what passes is still joined exactly.
+    """
+    bit = F.col(column).bitwiseAND((1 << BITS) - 1)
+    words = (
+        keys.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("v"))
+        .groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    )
+    out = np.zeros(1 << (BITS - 6), dtype=np.int64)
+    out[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys.astype(np.uint64, copy=False) & np.uint64((1 << BITS) - 1)
+    return (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) != 0
