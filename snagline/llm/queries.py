@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from snagline.llm.decontaminate import decontaminate
 from snagline.llm.line_dedup import line_dedup
 from snagline.llm.minhash import near_copies
+from snagline.llm.packing import pack
 from snagline.llm.pii import find_personal
 from snagline.llm.secrets import scan_secrets
 from snagline.llm.substring import cut_repeats
+from snagline.llm.toxicity import score_toxicity
 from snagline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +146,16 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words inside twenty-word windows that stand somewhere before."""
     return cut_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@_query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores, learnt from the labelled documents that are not held out."""
+    out = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+@_query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in sequences of 4096 tokens."""
+    return pack(table(spark, sf_dir, "documents"))

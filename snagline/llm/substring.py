@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from snagline.llm.common import settled
 from snagline.llm.words import (
-    NAME, bitmap, id_of, in_bitmap, in_small_batches, named_rows, run_hashes, span_hashes, split_words, winnowed,
+    NAME, bitmap, id_of, in_bitmap, named_rows, only_in, run_hashes, span_hashes, split_words, winnowed,
     word_hashes,
 )
 
@@ -78,11 +78,6 @@ def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.concat(parts)
 
 
-def _only(bits: np.ndarray, inside: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch[in_bitmap(bits, batch["t"].to_numpy()) == inside]
-
-
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What is left of each text; `low` and `high` bound the words to remove, null for none."""
     for batch in batches:
@@ -104,13 +99,6 @@ def _first(df: DataFrame, keys: list[str]) -> DataFrame:
     return settled(df.groupBy(*keys).agg(F.min(F.struct(*NAME, "low")).alias("first"), F.count("*").alias("times")), "firsts")
 
 
-def _with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Texts of the documents that `spans` names, one row each, with the lists in `spans`."""
-    bits = bitmap(spans.select("t").distinct(), "t")
-    near = rows.mapInPandas(partial(_only, bits, True), _NAMED + ", text string")
-    return in_small_batches(near.join(spans, NAME))
-
-
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(no_id, doc_id, t, low list, high list): words that a window found earlier covers.
 
@@ -139,7 +127,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     )
     heads = settled(heads, "heads")
     windows = settled(
-        _with_spans(rows, heads).dropDuplicates(NAME).mapInPandas(_window_rows, f"w1 long, w2 long, {_NAMED}, low int"), "windows"
+        only_in(rows, bitmap(heads.select("t").distinct(), "t"), "t").join(heads, NAME).dropDuplicates(NAME).mapInPandas(_window_rows, f"w1 long, w2 long, {_NAMED}, low int"), "windows"
     )
     often = _first(windows, ["w1", "w2"]).where("times > 1")
     more = windows.join(often, ["w1", "w2"]).where(here != F.col("first")).select(
@@ -164,7 +152,6 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     spans = repeated_spans(rows)
     bits = bitmap(spans.select("t").distinct(), "t")
     out = "no_id boolean, doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    whole = rows.mapInPandas(partial(_only, bits, False), _NAMED + ", text string").mapInPandas(_cut, out)
-    near = rows.mapInPandas(partial(_only, bits, True), _NAMED + ", text string")
-    cut = near.join(spans, NAME, "left").mapInPandas(_cut, out)
+    whole = only_in(rows, bits, "t", inside=False).mapInPandas(_cut, out)
+    cut = only_in(rows, bits, "t").join(spans, NAME, "left").mapInPandas(_cut, out)
     return whole.unionByName(cut).select(id_of().alias("doc_id"), "n_words", "n_removed", "kept_text", "kept_sha256")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snagline.llm.common import BROADCAST_ROWS
+
 #: Entries of a per-worker memo before it starts anew; bounds a worker's memory.
 MEMO = 200_000
 #: Rows of an Arrow batch. Texts are long; this bounds what a task holds at once.
@@ -141,6 +145,27 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _only(column: str, bits: np.ndarray, inside: bool, batches):
+    for batch in batches:
+        yield batch[in_bitmap(bits, batch[column].to_numpy()) == inside]
+
+
+def only_in(rows: DataFrame, bits: np.ndarray, column: str, inside: bool = True) -> DataFrame:
+    """Rows whose value may be in the bitmap, or those whose value is not."""
+    return rows.mapInPandas(partial(_only, column, bits, inside), rows.schema)
+
+
+def matched(rows: DataFrame, few: DataFrame, on: list[str], hashed: str) -> DataFrame:
+    """Join texts with a settled table that names part of them, without moving the others.
+
+    Below a counted bound the table goes to the texts; beyond it a bitmap of its
+    hashes (`hashed`, a column of both sides) keeps most other texts in place.
+    """
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return in_small_batches(rows.join(F.broadcast(few), on))
+    return in_small_batches(only_in(rows, bitmap(few.select(hashed).distinct(), hashed), hashed).join(few, on))
+
+
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     low = keys.astype(np.uint64, copy=False) & np.uint64((1 << BITS) - 1)
     return (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) != 0
