@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from snagline.llm.decontaminate import decontaminate
 from snagline.llm.line_dedup import line_dedup
+from snagline.llm.lm import score_texts
 from snagline.llm.minhash import near_copies
 from snagline.llm.packing import pack
 from snagline.llm.pii import find_personal
@@ -159,3 +160,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents in sequences of 4096 tokens."""
     return pack(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_lm_scoring")
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every text, learnt from the documents that are not held out."""
+    return score_texts(table(spark, sf_dir, "documents"))
