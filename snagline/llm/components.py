@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snagline.llm.common import settled
 
 
+def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inside a task: for n places and links between them, the least place of each one's component."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = np.minimum(label, label[label])
+        if (label == before).all():
+            return label
+
+
 def _is_forest_of_stars(edges: DataFrame) -> bool:
     """Whether every larger end has one link, and no smaller end is a larger one."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snagline.llm.common import settled
-from snagline.llm.components import components
-from snagline.llm.words import in_small_batches, mixed, run_hashes, shingles, split_words, word_hashes
+from snagline.llm.components import components, labels_of
+from snagline.llm.words import in_small_batches, matched, mixed, run_hashes, shingles, split_words, word_hashes
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -150,25 +150,6 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None) -> tupl
     return np.nonzero(link)
 
 
-def _forest(ids: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
-    """Links that span what the pairs connect, each node with the least of its component."""
-    parent = list(range(len(ids)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(*(p.tolist() for p in pairs)):
-        x, y = root(x), root(y)
-        if x != y:
-            if ids[y] < ids[x]:
-                x, y = y, x
-            parent[y] = x
-    return [(int(ids[i]), int(ids[root(i)])) for i in range(len(ids)) if root(i) != i]
-
-
 def _confirm(frame: pd.DataFrame) -> pd.DataFrame:
     """Links among the documents of one block, or between those of two."""
     frame = frame.sort_values("doc_id")
@@ -180,7 +161,9 @@ def _confirm(frame: pd.DataFrame) -> pd.DataFrame:
         at = [np.flatnonzero(first), np.flatnonzero(~first)]
         x, y = linked_pairs([sets[i] for i in at[0]], [sets[i] for i in at[1]])
         pairs = at[0][x], at[1][y]
-    return pd.DataFrame(_forest(ids, pairs), columns=["a", "b"]).astype("int64")
+    label = labels_of(len(ids), *pairs)
+    tied = np.flatnonzero(label != np.arange(len(ids)))
+    return pd.DataFrame({"a": ids[tied], "b": ids[label[tied]]})
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -217,11 +200,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     placed = settled(
         groups.join(settled(sizes, "sizes"), "component").select(
             F.col("node").alias("doc_id"), F.col("component").alias("group"), "blocks",
-            F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
+            F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.xxhash64("node").alias("h"),
         ),
         "placed",
     )
-    sets = in_small_batches(rows.join(placed, "doc_id")).select("doc_id", "text", "group", "block", "blocks").mapInPandas(
+    near = matched(rows.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")), placed, ["doc_id", "h"], "h")
+    sets = near.select("doc_id", "text", "group", "block", "blocks").mapInPandas(
         _set_rows, "doc_id long, group long, block int, blocks int, shingles binary"
     )
     # Every block meets itself and every other block of its group once.
