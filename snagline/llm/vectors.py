@@ -20,6 +20,8 @@ SHARD, QUERIES = 2_048, 2_048
 NEIGHBOURS = 12
 #: First width of the beam, and vectors whose answers are audited against all of a shard.
 BEAM, AUDIT = 48, 64
+#: Nodes of a layer that the search of the layer below starts from.
+ENTRIES = 16
 #: A beam doubles when one in CROWDED of it links; one that would be wider than WIDEST holds the whole shard.
 CROWDED, WIDEST = 3, 200
 #: Share of the audited links that must be found before a beam is wide enough.
@@ -111,9 +113,11 @@ class Graph:
         rows = np.arange(q)
         k = min(entry.shape[1], beam)
         entry = entry[:, :k]
-        ids[:, :k] = entry
-        sims[:, :k] = np.einsum("qkd,qd->qk", self.x[entry], queries)
-        left[:, :k] = True
+        first = np.sort(entry, axis=1)
+        once = np.hstack([np.ones((q, 1), dtype=bool), first[:, 1:] != first[:, :-1]])
+        ids[:, :k] = np.where(once, first, -1)
+        sims[:, :k] = np.where(once, np.einsum("qkd,qd->qk", self.x[first], queries), -np.inf)
+        left[:, :k] = once
         seen[rows[:, None], entry] = True
         while True:
             score = np.where(left, sims, -np.inf)
@@ -135,8 +139,9 @@ class Graph:
     def near(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         entry = np.zeros((len(queries), 1), dtype=np.int64) + (self.members[-1][0] if len(self.x) else 0)
         for layer in reversed(range(1, len(self.layers))):
-            ids, sims = self._search(layer, queries, entry, 4)
-            entry = np.take_along_axis(ids, sims.argmax(axis=1)[:, None], axis=1)
+            ids, sims = self._search(layer, queries, entry, ENTRIES)
+            best = np.take_along_axis(ids, sims.argmax(axis=1)[:, None], axis=1)
+            entry = np.where(ids >= 0, ids, best)
         return self._search(0, queries, entry, beam)
 
 
