@@ -6,7 +6,7 @@ array's own length is ever put back together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snagline import fixed
@@ -32,42 +32,49 @@ def target_unknown(clusters: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def duplicate_assignment(clusters: DataFrame) -> DataFrame:
-    """Ids assigned more than once, in one cluster or in several."""
+    """Ids assigned more than once: how often, and their first and second place.
+
+    A reader that goes through the clusters in order stops at the second place.
+    """
+    members = cluster_members(clusters)
+    spot = F.struct("cluster", "place")
+    first = members.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("_first")).filter("n > 1")
     return (
-        cluster_members(clusters).groupBy("id")
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.min("cluster").alias("first_cluster"),
-            F.max("cluster").alias("last_cluster"),
+        members.join(first, "id").filter(spot > F.col("_first"))
+        .groupBy("id", "n", "_first").agg(F.min(spot).alias("_second"))
+        .select(
+            "id", "n", F.col("_first.cluster").alias("first_cluster"),
+            F.col("_second.cluster").alias("second_cluster"), F.col("_second.place").alias("second_place"),
         )
-        .filter("n > 1")
     )
 
 
 def cluster_violations(clusters: DataFrame, open_set: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(rule, cluster, subject): every broken rule.
+    """(rule, cluster, place, subject): every broken rule.
 
-    The first by (rule, cluster) is the one a strict reader would stop at.
+    Ordered by the first three columns, the first is where a strict reader stops;
+    `open_set` carries `pos`, the order its ids were read in.
     """
     length = F.length("improvement")
     bad_rating = lambda c: ~F.coalesce(F.col(c).isin(fixed.RATINGS), F.lit(False))
 
-    def rows(df: DataFrame, rule: int, subject: str, cluster: str = "cluster") -> DataFrame:
+    def rows(df: DataFrame, rule: int, subject: str, cluster: str = "cluster", place: Column = F.lit(0)) -> DataFrame:
         return df.select(
             F.lit(rule).cast("bigint").alias("rule"), F.col(cluster).cast("bigint").alias("cluster"),
-            F.col(subject).alias("subject"),
+            place.cast("bigint").alias("place"), F.col(subject).alias("subject"),
         )
 
-    unassigned = cluster_unassigned(clusters, open_set).withColumn(
+    unassigned = open_set.join(cluster_unassigned(clusters, open_set), "id", "left_semi").withColumn(
         "cluster", F.lit(None).cast("bigint")
     )
     parts = [
         rows(clusters.filter((length < 1) | (length > 120)), 1, "improvement"),
         rows(clusters.filter(bad_rating("effort")), 2, "effort"),
-        rows(clusters.filter(bad_rating("confidence")), 2, "confidence"),
+        rows(clusters.filter(bad_rating("confidence")), 2, "confidence", place=F.lit(1)),
         rows(target_unknown(clusters, vocabulary), 3, "target"),
-        rows(cluster_unknown_ids(clusters, open_set), 4, "id"),
-        rows(duplicate_assignment(clusters), 5, "id", "last_cluster"),
-        rows(unassigned, 6, "id"),
+        rows(cluster_unknown_ids(clusters, open_set), 4, "id", place=F.col("place")),
+        rows(duplicate_assignment(clusters), 5, "id", "second_cluster", F.col("second_place")),
+        rows(unassigned, 6, "id", place=F.col("pos")),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -75,6 +82,23 @@ def cluster_violations(clusters: DataFrame, open_set: DataFrame, vocabulary: Dat
     return out
 
 
+def first_violation(violations: DataFrame) -> DataFrame:
+    """The one row a strict reader reports, or none."""
+    return violations.orderBy("rule", "cluster", "place").limit(1)
+
+
+class InvalidClusters(ValueError):
+    """Clusters that break a rule are not planned."""
+
+
+def checked_clusters(clusters: DataFrame, open_set: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """`clusters` unchanged, or an error naming the first violation."""
+    bad = first_violation(cluster_violations(clusters, open_set, vocabulary)).first()
+    if bad is not None:
+        raise InvalidClusters(f"rule {bad.rule}, cluster {bad.cluster}: {bad.subject!r}")
+    return clusters
+
+
 def cluster_severity(clusters: DataFrame, open_set: DataFrame) -> DataFrame:
     """Gravest known severity of the members; low when none is known."""
     rank = T.severity_rank(F.col("severity"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snagline import fixed
@@ -17,23 +17,24 @@ def first_write_per_id(writes: DataFrame) -> DataFrame:
     )
 
 
+def _written(enriched: DataFrame, writes: DataFrame) -> DataFrame:
+    """(cluster, class, issue, id, url): members of clusters to write, with where they went before."""
+    todo = enriched.filter(F.col("class").isin("file", "consolidate"))
+    return todo.select("cluster", "class", "issue", F.explode("members").alias("id")).join(
+        first_write_per_id(writes), "id", "left"
+    )
+
+
 def rerun_guard(enriched: DataFrame, writes: DataFrame) -> DataFrame:
     """`skip`: why an earlier run makes a cluster's write unnecessary, or null.
 
-    `first_url` and `last_url` bound the places its ids were written to.
+    `guard_urls` holds every place that the reason speaks of.
     """
-    todo = enriched.filter(F.col("class").isin("file", "consolidate"))
     hit = F.col("url").isNotNull()
     elsewhere = F.when(F.col("url") != F.col("issue"), F.col("url"))
     per = (
-        todo.select("cluster", "class", "issue", F.posexplode("members").alias("place", "id"))
-        .join(first_write_per_id(writes), "id", "left")
-        .groupBy("cluster", "class", "issue")
-        .agg(
-            F.count(F.lit(1)).alias("n_members"), F.count_if(hit).alias("n_hits"),
-            F.min("url").alias("first_url"), F.max("url").alias("last_url"),
-            F.count(elsewhere).alias("n_elsewhere"),
-        )
+        _written(enriched, writes).groupBy("cluster", "class", "issue")
+        .agg(F.count(F.lit(1)).alias("n_members"), F.count_if(hit).alias("n_hits"), F.count(elsewhere).alias("n_elsewhere"))
     )
     whole = F.col("n_hits") == F.col("n_members")
     consolidate = F.col("class") == "consolidate"
@@ -45,7 +46,18 @@ def rerun_guard(enriched: DataFrame, writes: DataFrame) -> DataFrame:
         .when(whole, "already filed")
         .otherwise("partly filed")
     )
-    return per.select("cluster", "class", "n_hits", "n_members", "first_url", "last_url", skip.alias("skip"))
+    return per.select("cluster", "class", "n_hits", "n_members", skip.alias("skip"))
+
+
+def guard_urls(enriched: DataFrame, writes: DataFrame) -> DataFrame:
+    """(cluster, skip, url): every place an earlier run put a skipped cluster's ids.
+
+    A cluster filed elsewhere leaves out the issue it belongs to.
+    """
+    skipped = rerun_guard(enriched, writes).filter(F.col("skip").isNotNull()).select("cluster", "skip")
+    own = (F.col("skip") == "filed elsewhere") & (F.col("url") == F.col("issue"))
+    hits = _written(enriched, writes).filter(F.col("url").isNotNull())
+    return hits.join(skipped, "cluster").filter(~F.coalesce(own, F.lit(False))).select("cluster", "skip", "url").distinct()
 
 
 def fix_now() -> Column:
@@ -103,36 +115,59 @@ def label_preflight(needed: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def held_repos(problems: DataFrame) -> DataFrame:
-    return problems.select("repo").distinct()
+    """(repo, held_labels): what each repository lacks, missing labels first; as many as the run's labels."""
+    spot = F.struct((F.col("problem") != "missing").alias("late"), "rank", "label")
+    return problems.groupBy("repo").agg(
+        F.transform(F.array_sort(F.collect_list(spot)), lambda x: x["label"]).alias("held_labels")
+    )
 
 
 def file_plan(
     enriched: DataFrame, repos: DataFrame, writes: DataFrame, existing: DataFrame
 ) -> DataFrame:
-    """Every cluster with what this run does about it.
+    """Every cluster with what this run does about it: as many rows as clusters given.
 
-    action: file, held, consolidate, skip or noop.  The clusters are read three
-    times, so they are written out once.
+    action: file, held, consolidate, skip, noop, or error with the reason in
+    `problem`; see `checked_plan`.  A held cluster carries its repository's missing
+    labels in `held_labels`.  The clusters are read three times, so they are written
+    out once.
     """
     enriched = cut_lineage(enriched)
     guard = rerun_guard(enriched, writes).select("cluster", "skip")
     placed = (
-        enriched.filter(F.col("class") != "error")
-        .join(repos.select("target", "repo", "owner_labels", "kind"), "target", "left")
+        enriched.join(repos.select("target", "repo", "owner_labels", "kind"), "target", "left")
         .join(guard, "cluster", "left")
+        .withColumn(
+            "problem",
+            F.when(F.col("repo").isNull(), "unknown target").when(F.col("class") == "error", "more than one open issue"),
+        )
+        .withColumn("owner_labels", F.coalesce("owner_labels", F.array().cast("array<string>")))
     )
-    to_file = placed.filter((F.col("class") == "file") & F.col("skip").isNull())
-    held = held_repos(label_preflight(label_union(to_file), existing)).withColumn("_held", F.lit(True))
+    sound = F.col("problem").isNull()
+    to_file = placed.filter(sound & (F.col("class") == "file") & F.col("skip").isNull())
+    held = held_repos(label_preflight(label_union(to_file), existing))
     action = (
-        F.when(F.col("class") == "noop", "noop")
+        F.when(~sound, "error")
+        .when(F.col("class") == "noop", "noop")
         .when(F.col("skip").isNotNull(), "skip")
         .when(F.col("class") == "consolidate", "consolidate")
-        .when(F.col("_held"), "held")
+        .when(F.col("held_labels").isNotNull(), "held")
         .otherwise("file")
     )
-    return cluster_labels(
-        placed.join(held, "repo", "left").withColumn("action", action).drop("_held")
-    )
+    plan = placed.join(held, "repo", "left").withColumn("action", action)
+    return cluster_labels(plan.withColumn("held_labels", F.when(F.col("action") == "held", F.col("held_labels"))))
+
+
+class InvalidPlan(ValueError):
+    """A plan with a cluster that cannot be placed is not carried out."""
+
+
+def checked_plan(plan: DataFrame) -> DataFrame:
+    """`plan` unchanged, or an error naming the first cluster that cannot be placed."""
+    bad = plan.filter(F.col("action") == "error").orderBy("cluster").first()
+    if bad is not None:
+        raise InvalidPlan(f"cluster {bad.cluster}: {bad.problem} ({bad.target!r})")
+    return plan
 
 
 def plan_counts(plan: DataFrame) -> DataFrame:
@@ -207,27 +242,73 @@ def render_comment(clusters: DataFrame, open_set: DataFrame) -> DataFrame:
     )
 
 
-def manifest_of(plan: DataFrame, run_date: Column, urls: DataFrame | None = None) -> DataFrame:
-    """(run_date, section, cluster, ...): one row per manifest entry.
+MANIFEST = (
+    "run_date string, section string, cluster bigint, members array<string>, target string, repo string, "
+    "title string, labels array<string>, url string, issue string, id string, fix_url string, reason string, "
+    "state_reason string, closer string, note string"
+)
+
+
+def _entries(rows: DataFrame, run_date: str, section: Column, **columns: Column) -> DataFrame:
+    """Manifest rows: the named columns, null for the others."""
+    have = {"run_date": F.lit(run_date), "section": section, **columns}
+    kinds = dict(c.split(" ", 1) for c in MANIFEST.split(", "))
+    return rows.select(*[have.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
+
+
+#: What each job owns in a manifest, and whether a run of the same date adds to it.
+FILING_SECTIONS = {"filed": True, "consolidated": True, "held": False, "noop": False}
+CLOSING_SECTIONS = {"resolved": True, "skipped": False, "closed_without_evidence": False, "flush": False}
+
+
+def manifest_of(plan: DataFrame, run_date: str, urls: DataFrame | None = None) -> DataFrame:
+    """The filing job's entries, one row each.
 
     A manifest is stored as rows, partitioned by run date; a run of any size is
-    then written by many tasks.  `urls`: cluster, url of the issues created.
+    then written by many tasks.  `urls`: cluster, url of the issues created.  Skipped
+    clusters leave no entry; held ones name the labels their repository lacks.
     """
-    rows = plan.filter(F.col("action").isin("file", "consolidate", "held", "noop", "skip"))
-    if urls is not None:
-        rows = rows.join(urls, "cluster", "left")
-    else:
-        rows = rows.withColumn("url", F.lit(None).cast("string"))
-    section = F.create_map(
-        *[F.lit(x) for kv in {"file": "filed", "consolidate": "consolidated", "held": "held", "noop": "noop", "skip": "skipped"}.items() for x in kv]
-    )
-    return rows.select(
-        run_date.alias("run_date"), section[F.col("action")].alias("section"), "cluster", "members",
-        "target", "repo", F.col("improvement").alias("title"), "labels",
-        F.coalesce("url", F.lit("")).alias("url"), "issue",
+    sections = {"file": "filed", "consolidate": "consolidated", "held": "held", "noop": "noop"}
+    rows = checked_plan(plan).filter(F.col("action").isin(*sections))
+    rows = rows.join(urls, "cluster", "left") if urls is not None else rows.withColumn("url", F.lit(None).cast("string"))
+    section = F.create_map(*[F.lit(x) for kv in sections.items() for x in kv])[F.col("action")]
+    filed, held, noop = (F.col("action") == a for a in ("file", "held", "noop"))
+    return _entries(
+        rows, run_date, section, cluster=F.col("cluster"), members=F.when(~noop, F.col("members")),
+        target=F.when(~noop, F.col("target")), repo=F.when(~noop, F.col("repo")),
+        title=F.when(filed | held, F.col("improvement")),
+        labels=F.when(filed, F.col("labels")).when(held, F.col("held_labels")),
+        url=F.when(filed, F.coalesce("url", F.lit(""))), issue=F.when(F.col("action") == "consolidate", F.col("issue")),
     )
 
 
+def closing_manifest(
+    planned: DataFrame, resolved_ids: DataFrame, evidence: DataFrame, run_date: str, flush: DataFrame
+) -> DataFrame:
+    """The closing job's entries, one row each.
+
+    `planned`: id, issue, fix_url (`tracking.resolutions_planned`); an id in
+    `resolved_ids` was resolved before and is skipped.  `evidence`
+    (`tracking.closer_evidence`) names the issues closed without a merged pull
+    request.  `flush`: note, the last line of the flush.
+    """
+    known = resolved_ids.select("id").distinct()
+    link = {"id": F.col("id"), "issue": F.col("issue")}
+    parts = [
+        _entries(planned.join(known, "id", "left_anti"), run_date, F.lit("resolved"), **link, fix_url=F.col("fix_url")),
+        _entries(planned.join(known, "id", "left_semi"), run_date, F.lit("skipped"), **link, reason=F.lit("already resolved")),
+        _entries(
+            evidence.filter(F.col("outcome") == "no-evidence"), run_date, F.lit("closed_without_evidence"),
+            url=F.col("url"), state_reason=F.col("state_reason"), closer=F.col("closer_type"),
+        ),
+        _entries(flush, run_date, F.lit("flush"), note=F.col("note")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 class InvalidManifest(ValueError):
     """A manifest that readers could not use is not written."""
 
@@ -237,10 +318,14 @@ def manifest_errors(rows: DataFrame) -> DataFrame:
     section = F.col("section")
     links = F.coalesce(F.col("issue").rlike(r"\Ahttps?://\S+\z"), F.lit(False))
     tests = [
+        (~section.isin(*FILING_SECTIONS, *CLOSING_SECTIONS), "section"),
         (~F.col("run_date").rlike(rf"\A{fixed.RUN_DATE_PATTERN}\z"), "run_date"),
         (section.isin("filed", "consolidated", "held") & (F.size("members") < 1), "members"),
         (section.isin("filed", "consolidated", "held") & (F.col("target").isNull() | F.col("repo").isNull()), "target"),
         (section.isin("filed", "held") & F.col("title").isNull(), "title"),
+        ((section == "held") & F.col("labels").isNull(), "labels"),
+        (section.isin("resolved", "skipped") & (F.col("id").isNull() | F.col("issue").isNull()), "id"),
+        ((section == "closed_without_evidence") & F.col("url").isNull(), "url"),
         ((section == "filed") & (F.col("labels").isNull() | F.col("url").isNull()), "labels"),
         ((section == "consolidated") & ~links, "issue"),
     ]
@@ -256,21 +341,15 @@ def checked_manifest(rows: DataFrame) -> DataFrame:
     return rows
 
 
-REPLACED_SECTIONS = ["held", "noop", "skipped"]
-
+def merge_manifest(old: DataFrame, new: DataFrame, run_date: str, sections: dict[str, bool]) -> DataFrame:
+    """A re-run of one job on one date: what it adds to grows, what it replaces is cleared, the rest stays.
 
-def merge_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
-    """A same-date re-run: some sections grow, some are replaced, the rest stay.
-
-    Sections the new run does not own are kept; other dates are not touched.
+    `sections` are those of the job (`FILING_SECTIONS`, `CLOSING_SECTIONS`).  A run
+    without entries clears them all the same; other dates and jobs are not touched.
     """
-    dates = new.select("run_date").distinct().withColumn("_again", F.lit(True))
-    kept = (
-        old.join(dates, "run_date", "left")
-        .filter(F.col("_again").isNull() | ~F.col("section").isin(REPLACED_SECTIONS))
-        .drop("_again")
-    )
-    return kept.unionByName(new)
+    replaced = [name for name, grows in sections.items() if not grows]
+    stale = (F.col("run_date") == run_date) & F.col("section").isin(replaced)
+    return old.filter(~stale).unionByName(new)
 
 
 def write_manifest(merged: DataFrame, path: str) -> None:
@@ -281,6 +360,10 @@ def write_manifest(merged: DataFrame, path: str) -> None:
     )
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(path)
+
+
 def run_summary(manifest: DataFrame) -> DataFrame:
     """Counts per run date and the one-line summary."""
     def n(section: str) -> Column:

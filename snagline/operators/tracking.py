@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snagline import fixed
+from snagline.operators import ordered
+from snagline.session import cut_lineage
 
 
 def prefix_owner(open_set: DataFrame, order: str) -> DataFrame:
@@ -67,15 +69,15 @@ def issue_ids(index: DataFrame) -> DataFrame:
 
 
 def ids_per_issue(index: DataFrame) -> DataFrame:
-    """How many ids each issue carries, with the first and last of them."""
-    return issue_ids(index).groupBy("url", "repo", "number", "state", "state_reason").agg(
-        F.count(F.lit(1)).alias("n_ids"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
-    )
+    """The ids of each issue with their place, 0 for the smallest; an issue may hold any number of them."""
+    chunk = F.substring("id", 1, len(fixed.ID_PREFIX) + 3)
+    ranked = ordered.rank_in_group(issue_ids(index), ["url"], ["id"], chunk, "_n")
+    return ranked.withColumn("place", F.col("_n") - 1).drop("_n")
 
 
 def closed_coverage(index: DataFrame) -> DataFrame:
     """Closed issues with `rerouted`: every id is also on an open issue."""
-    ids = issue_ids(index)
+    ids = cut_lineage(issue_ids(index))
     open_ids = ids.filter(F.col("state") == "OPEN").select("id").distinct().withColumn("_hit", F.lit(True))
     return (
         ids.filter(F.col("state") == "CLOSED")

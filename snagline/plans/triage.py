@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from snagline import fixed
@@ -321,8 +322,8 @@ def comment_minus_body(spark, d):
 @query(
     "issue_ids",
     _with(*_TRACKED)
-    + "SELECT url, repo, number, state, state_reason, count(DISTINCT full_id) AS n_ids, min(full_id) AS first_id, max(full_id) AS last_id "
-    "FROM tracked GROUP BY 1, 2, 3, 4, 5",
+    + "SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) - 1 AS place FROM "
+    "(SELECT DISTINCT url, repo, number, state, state_reason, full_id AS id FROM tracked)",
 )
 def issue_ids(spark, d):
     return K.ids_per_issue(vw.index(spark, d))
@@ -377,6 +378,23 @@ def resolutions_planned(spark, d):
 _BAD = (vw.OPEN_PARTS, vw.CLUSTERS, vw.BAD_CLUSTERS, "bad_members AS (SELECT cluster, unnest(members) AS id, unnest(range(len(members))) AS place FROM bad_clusters)")
 
 
+# Some ids come back in a third cluster as well, so that the second place is not the last.
+_SPOTS = """again AS (
+  SELECT cluster, id, place FROM bad_members UNION ALL
+  SELECT cluster + 2, id, 1000 FROM bad_members WHERE cluster % 7 = 4 AND place = 0 AND cluster + 2 IN (SELECT cluster FROM bad_clusters)),
+numbered AS (SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY place) - 1 AS place FROM again),
+spots AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY cluster, place) AS nth, count(*) OVER (PARTITION BY id) AS n FROM numbered)"""
+
+
+def _bad_clusters(spark, d):
+    """The faulty clusters, the first id of some repeated in the cluster after next."""
+    bad = vw.bad_clusters(spark, d)
+    more = bad.filter(F.col("cluster") % 7 == 4).select((F.col("cluster") + 2).alias("cluster"), F.col("members")[0].alias("_more"))
+    rows = bad.join(more, "cluster", "left")
+    return rows.withColumn("members", F.when(F.col("_more").isNotNull(), F.array_append("members", F.col("_more"))).otherwise(F.col("members"))).drop("_more")
+
+
 @query("cluster_unknown_ids", _with(*_BAD) + "SELECT cluster, place, id FROM bad_members WHERE id NOT IN (SELECT id FROM open_set)")
 def cluster_unknown_ids(spark, d):
     rows = C.cluster_unknown_ids(vw.bad_clusters(spark, d), vw.open_parts(spark, d))
@@ -398,29 +416,45 @@ def target_unknown(spark, d):
 
 @query(
     "duplicate_assignment",
-    _with(*_BAD) + "SELECT id, count(*) AS n, min(cluster) AS first_cluster, max(cluster) AS last_cluster FROM bad_members GROUP BY id HAVING count(*) > 1",
+    _with(*_BAD, _SPOTS)
+    + "SELECT a.id, a.n, a.cluster AS first_cluster, b.cluster AS second_cluster, b.place AS second_place "
+    "FROM spots a JOIN spots b ON b.id = a.id AND b.nth = 2 WHERE a.nth = 1",
 )
 def duplicate_assignment(spark, d):
-    return C.duplicate_assignment(vw.bad_clusters(spark, d))
+    rows = C.duplicate_assignment(_bad_clusters(spark, d))
+    return rows.withColumn("second_place", F.col("second_place").cast("bigint"))
 
 
-@query(
-    "cluster_violations",
-    _with(*_BAD, vw.REGISTRY)
-    + """SELECT CAST(1 AS BIGINT) AS rule, cluster, improvement AS subject FROM bad_clusters WHERE length(improvement) NOT BETWEEN 1 AND 120
-    UNION ALL SELECT 2, cluster, effort FROM bad_clusters WHERE effort NOT IN ('low', 'medium', 'high')
-    UNION ALL SELECT 2, cluster, confidence FROM bad_clusters WHERE confidence NOT IN ('low', 'medium', 'high')
-    UNION ALL SELECT 3, cluster, target FROM bad_clusters WHERE target NOT IN (SELECT name FROM registry)
-    UNION ALL SELECT 4, cluster, id FROM bad_members WHERE id NOT IN (SELECT id FROM open_set)
-    UNION ALL SELECT 5, max(cluster), id FROM bad_members GROUP BY id HAVING count(*) > 1
-    UNION ALL SELECT 6, NULL, id FROM open_set WHERE id NOT IN (SELECT id FROM bad_members)""",
-)
-def cluster_violations(spark, d):
+_VIOLATIONS = """violations AS (
+  SELECT CAST(1 AS BIGINT) AS rule, cluster, 0 AS place, improvement AS subject FROM bad_clusters WHERE length(improvement) NOT BETWEEN 1 AND 120
+  UNION ALL SELECT 2, cluster, 0, effort FROM bad_clusters WHERE effort NOT IN ('low', 'medium', 'high')
+  UNION ALL SELECT 2, cluster, 1, confidence FROM bad_clusters WHERE confidence NOT IN ('low', 'medium', 'high')
+  UNION ALL SELECT 3, cluster, 0, target FROM bad_clusters WHERE target NOT IN (SELECT name FROM registry)
+  UNION ALL SELECT 4, cluster, place, id FROM bad_members WHERE id NOT IN (SELECT id FROM open_set)
+  UNION ALL SELECT 5, cluster, place, id FROM spots WHERE nth = 2
+  UNION ALL SELECT 6, NULL, pos, id FROM open_set WHERE id NOT IN (SELECT id FROM bad_members))"""
+
+
+def _violations(spark, d):
     return C.cluster_violations(
-        vw.bad_clusters(spark, d), vw.open_parts(spark, d), G.target_vocabulary(vw.registry(spark, d))
+        _bad_clusters(spark, d), vw.open_parts(spark, d), G.target_vocabulary(vw.registry(spark, d))
     )
 
 
+@query("cluster_violations", _with(*_BAD, _SPOTS, vw.REGISTRY, _VIOLATIONS) + "SELECT rule, cluster, CAST(place AS BIGINT) AS place, subject FROM violations")
+def cluster_violations(spark, d):
+    return _violations(spark, d)
+
+
+@query(
+    "first_violation",
+    _with(*_BAD, _SPOTS, vw.REGISTRY, _VIOLATIONS)
+    + "SELECT rule, cluster, CAST(place AS BIGINT) AS place, subject FROM violations ORDER BY rule, cluster, place LIMIT 1",
+)
+def first_violation(spark, d):
+    return C.first_violation(_violations(spark, d))
+
+
 @query("cluster_severity", _with(*_CLUSTERED) + "SELECT cluster, severity FROM graves")
 def cluster_severity(spark, d):
     return C.cluster_severity(vw.clusters(spark, d), vw.open_parts(spark, d))
@@ -548,12 +582,12 @@ def first_write_per_id(spark, d):
 
 
 _GUARD = """guard AS (
-  SELECT e.cluster, e.class, e.issue, count(w.url) AS n_hits, count(*) AS n_members, min(w.url) AS first_url, max(w.url) AS last_url,
+  SELECT e.cluster, e.class, e.issue, count(w.url) AS n_hits, count(*) AS n_members,
     count(CASE WHEN w.url <> e.issue THEN 1 END) AS n_else
   FROM enriched e JOIN placed_members m ON m.cluster = e.cluster LEFT JOIN first_writes w ON w.id = m.id
   WHERE e.class IN ('file', 'consolidate') GROUP BY 1, 2, 3),
 guarded AS (
-  SELECT cluster, class, n_hits, n_members, first_url, last_url, CASE WHEN class = 'consolidate' AND n_else > 0 THEN 'filed elsewhere'
+  SELECT cluster, class, n_hits, n_members, CASE WHEN class = 'consolidate' AND n_else > 0 THEN 'filed elsewhere'
     WHEN class = 'consolidate' AND n_hits = n_members THEN 'already consolidated' WHEN class = 'consolidate' OR n_hits = 0 THEN NULL
     WHEN n_hits = n_members THEN 'already filed' ELSE 'partly filed' END AS skip FROM guard)"""
 _GUARDED = (*_CLUSTERED, vw.PRIOR_WRITES, _WRITES, _GUARD)
@@ -564,6 +598,16 @@ def rerun_guard(spark, d):
     return L.rerun_guard(vw.enriched(spark, d), vw.prior_writes(spark, d))
 
 
+@query(
+    "guard_urls",
+    _with(*_GUARDED)
+    + "SELECT DISTINCT e.cluster, g.skip, w.url FROM guarded g JOIN enriched e USING (cluster) JOIN placed_members m USING (cluster) "
+    "JOIN first_writes w ON w.id = m.id WHERE g.skip IS NOT NULL AND NOT (g.skip = 'filed elsewhere' AND w.url = e.issue)",
+)
+def guard_urls(spark, d):
+    return L.guard_urls(vw.enriched(spark, d), vw.prior_writes(spark, d))
+
+
 @query(
     "fix_now",
     _with(vw.OPEN_PARTS, vw.CLUSTERS) + "SELECT cluster, CAST(effort = 'low' AND confidence = 'high' AS BIGINT) AS fix_now FROM clusters",
@@ -604,9 +648,24 @@ def _to_file(spark, d):
     return C.resolve_repo(chosen, G.target_repos(vw.registry(spark, d)))
 
 
-@query("label_union", _with(*_FILED) + "SELECT repo, label FROM needed")
+_RANKED = f"""listed AS (
+  SELECT o.repo, o.cluster, unnest(list_concat(base, owner_labels)) AS label,
+    unnest(list_concat(list_transform(base, lambda x: 0), list_transform(owner_labels, lambda x: 1))) AS own,
+    unnest(list_concat(range(len(base)), range(len(owner_labels)))) AS place
+  FROM own_labels o JOIN guarded g ON g.cluster = o.cluster WHERE o.class = 'file' AND g.skip IS NULL),
+ranked AS (
+  SELECT repo, label, min(CASE WHEN own = 1 THEN (9, cluster, place)
+    ELSE (list_position({_BASE}, label), CAST(0 AS BIGINT), CAST(0 AS BIGINT)) END) AS spot FROM listed GROUP BY 1, 2)"""
+
+
+@query(
+    "label_union",
+    _with(*_FILED, _RANKED) + "SELECT repo, label, row_number() OVER (PARTITION BY repo ORDER BY spot) AS position FROM ranked",
+)
 def label_union(spark, d):
-    return L.label_union(_to_file(spark, d)).select("repo", "label")
+    """A run's labels per repository are few, whatever the number of clusters."""
+    w = Window.partitionBy("repo").orderBy("rank")
+    return L.label_union(_to_file(spark, d)).select("repo", "label", F.row_number().over(w).cast("bigint").alias("position"))
 
 
 @query("label_preflight", _with(*_FILED) + "SELECT repo, label, problem, have FROM problems")
@@ -615,22 +674,34 @@ def label_preflight(spark, d):
     return L.label_preflight(needed, vw.existing_labels(spark, d)).select("repo", "label", "problem", "have")
 
 
-_PLAN = """plan AS (
-  SELECT e.cluster, t.repo, e.target, e.class, CASE WHEN e.class = 'noop' THEN 'noop' WHEN g.skip IS NOT NULL THEN 'skip'
-    WHEN e.class = 'consolidate' THEN 'consolidate' WHEN t.repo IN (SELECT repo FROM problems) THEN 'held' ELSE 'file' END AS action
-  FROM enriched e LEFT JOIN targets t USING (target) LEFT JOIN guarded g USING (cluster) WHERE e.class <> 'error')"""
+# Every eleventh cluster names a target that the registry does not know.
+_PLAN = """needed_here AS (
+  SELECT DISTINCT repo, unnest(list_concat(base, owner_labels)) AS label FROM own_labels o
+  JOIN guarded g ON g.cluster = o.cluster WHERE o.class = 'file' AND g.skip IS NULL AND o.cluster % 11 <> 5),
+problems_here AS (SELECT p.* FROM needed_here JOIN problems p USING (repo, label)),
+plan AS (
+  SELECT e.cluster, CASE WHEN e.cluster % 11 <> 5 THEN t.repo END AS repo, CASE WHEN e.cluster % 11 = 5 THEN 'nowhere' ELSE e.target END AS target,
+    e.class, e.members, e.improvement, e.issue, CASE WHEN e.cluster % 11 = 5 OR e.class = 'error' THEN 'error' WHEN e.class = 'noop' THEN 'noop'
+    WHEN g.skip IS NOT NULL THEN 'skip' WHEN e.class = 'consolidate' THEN 'consolidate'
+    WHEN t.repo IN (SELECT repo FROM problems_here) THEN 'held' ELSE 'file' END AS action
+  FROM enriched e LEFT JOIN targets t USING (target) LEFT JOIN guarded g USING (cluster))"""
 
 
 def _plan(spark, d):
+    target = F.when(F.col("cluster") % 11 == 5, "nowhere").otherwise(F.col("target"))
     return L.file_plan(
-        vw.enriched(spark, d), G.target_repos(vw.registry(spark, d)), vw.prior_writes(spark, d),
+        vw.enriched(spark, d).withColumn("target", target), G.target_repos(vw.registry(spark, d)), vw.prior_writes(spark, d),
         vw.existing_labels(spark, d),
     )
 
 
-@query("file_plan", _with(*_FILED, _PLAN) + "SELECT cluster, repo, action FROM plan")
+@query(
+    "file_plan",
+    _with(*_FILED, _PLAN)
+    + "SELECT cluster, target, repo, action, CASE WHEN target = 'nowhere' THEN 'unknown target' WHEN class = 'error' THEN 'more than one open issue' END AS problem FROM plan",
+)
 def file_plan(spark, d):
-    return _plan(spark, d).select("cluster", "repo", "action")
+    return _plan(spark, d).select("cluster", "target", "repo", "action", "problem")
 
 
 @query(
@@ -679,34 +750,80 @@ def member_order(spark, d):
     return L.render_comment(vw.clusters(spark, d), vw.open_parts(spark, d))
 
 
-_MANIFEST = """old AS (
-  SELECT '2024-01-01' AS run_date, CASE action WHEN 'file' THEN 'filed' WHEN 'consolidate' THEN 'consolidated' WHEN 'skip' THEN 'skipped' ELSE action END AS section, cluster, target, repo FROM plan),
+# Two filing runs and two closing runs of one date, beside an earlier date; the second
+# filing run plans the even clusters, the second closing run finds nothing.
+_MANIFEST = """marked AS (
+  SELECT repo, list(label ORDER BY problem <> 'missing', spot) AS lacks FROM problems_here JOIN ranked USING (repo, label) GROUP BY 1),
+run AS (
+  SELECT CASE action WHEN 'file' THEN 'filed' WHEN 'consolidate' THEN 'consolidated' ELSE action END AS section, cluster,
+    CASE WHEN action <> 'noop' THEN array_to_string(members, ',') END AS members, CASE WHEN action <> 'noop' THEN target END AS target,
+    CASE WHEN action <> 'noop' THEN repo END AS repo, CASE WHEN action IN ('file', 'held') THEN improvement END AS title,
+    CASE action WHEN 'held' THEN array_to_string(lacks, ',') WHEN 'file' THEN (
+      SELECT array_to_string(list_concat(base, list_filter(owner_labels, lambda x: NOT list_contains(base, x))), ',') FROM own_labels o WHERE o.cluster = plan.cluster) END AS labels,
+    CASE WHEN action = 'file' THEN 'https://t.example/new/' || cluster END AS url, CASE WHEN action = 'consolidate' THEN issue END AS issue,
+    CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS fix_url, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS VARCHAR) AS state_reason,
+    CAST(NULL AS VARCHAR) AS closer, CAST(NULL AS VARCHAR) AS note
+  FROM plan LEFT JOIN marked USING (repo) WHERE action IN ('file', 'consolidate', 'held', 'noop')),
+planned AS (
+  SELECT DISTINCT t.full_id AS id, v.url AS issue, c.url AS fix_url FROM coverage v JOIN closers c USING (repo, number)
+  JOIN tracked t ON t.url = v.url WHERE NOT v.rerouted AND c.merged),
+before AS (SELECT id FROM open_set WHERE pos % 3 = 0),
+closing AS (
+  SELECT CASE WHEN id IN (SELECT id FROM before) THEN 'skipped' ELSE 'resolved' END AS section, NULL AS cluster, NULL AS members, NULL AS target,
+    NULL AS repo, NULL AS title, NULL AS labels, NULL AS url, issue, id, CASE WHEN id NOT IN (SELECT id FROM before) THEN fix_url END AS fix_url,
+    CASE WHEN id IN (SELECT id FROM before) THEN 'already resolved' END AS reason, NULL AS state_reason, NULL AS closer, NULL AS note FROM planned
+  UNION ALL SELECT 'closed_without_evidence', NULL, NULL, NULL, NULL, NULL, NULL, v.url, NULL, NULL, NULL, NULL, v.state_reason, c.type, NULL
+  FROM coverage v JOIN closers c USING (repo, number) WHERE NOT v.rerouted AND NOT coalesce(c.merged, false)),
 merged AS (
-  SELECT * FROM old WHERE section NOT IN ('held', 'noop', 'skipped') UNION ALL SELECT * FROM old
-  UNION ALL SELECT '2023-12-31', section, cluster, target, repo FROM old)"""
+  SELECT '2023-12-31' AS run_date, * FROM run
+  UNION ALL SELECT '2024-01-01', * FROM run WHERE section IN ('filed', 'consolidated')
+  UNION ALL SELECT '2024-01-01', * FROM run WHERE cluster % 2 = 0
+  UNION ALL SELECT '2024-01-01', * FROM closing WHERE section = 'resolved'
+  UNION ALL SELECT '2024-01-02', * FROM closing
+  UNION ALL SELECT CASE WHEN n = 1 THEN '2024-01-01' ELSE '2024-01-02' END, 'flush', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+    CASE WHEN n = 1 THEN 'no output' ELSE 'flushed' END FROM (SELECT unnest([1, 2]) AS n))"""
+_MERGED = (*_FILED, _RANKED, _PLAN, _COVER, vw.CLOSE_EVENTS, _MANIFEST)
 
 
 def _merged(spark, d):
-    """The same plan run twice on one date, beside an earlier date."""
-    plan = cut_lineage(_plan(spark, d))
-    new = L.checked_manifest(L.manifest_of(plan, F.lit("2024-01-01")))
-    before = L.manifest_of(plan, F.lit("2023-12-31"))
-    return L.merge_manifest(before.unionByName(new), new)
-
-
-@query("write_manifest", _with(*_FILED, _PLAN, _MANIFEST) + "SELECT run_date, section, count(*) AS n, min(cluster) AS first_cluster FROM merged GROUP BY 1, 2")
-def write_manifest(spark, d):
+    """Runs merged one after another, each from the manifest as stored by the one before."""
     path = scratch_path(spark, "manifest")
-    L.write_manifest(_merged(spark, d), path)
-    stored = spark.read.parquet(path)
-    return stored.groupBy(F.col("run_date").cast("string").alias("run_date"), "section").agg(
-        F.count(F.lit(1)).alias("n"), F.min("cluster").alias("first_cluster")
-    )
+    plan = cut_lineage(_plan(spark, d).filter("action <> 'error'"))
+    urls = plan.select("cluster", F.concat(F.lit("https://t.example/new/"), vw.string(F.col("cluster"))).alias("url"))
+    even = plan.filter(F.col("cluster") % 2 == 0)
+    # Labels are held against what this run needs, so the second run keeps the first one's list.
+    index = cut_lineage(vw.index(spark, d))
+    evidence = cut_lineage(K.closer_evidence(index, vw.close_events(spark, d)))
+    planned = K.resolutions_planned(index, evidence)
+    done = vw.open_parts(spark, d).filter(F.col("pos") % 3 == 0).select("id")
+    line = lambda text: spark.range(1).select(F.lit(text).alias("note"))
+    filing = lambda p, day: (day, L.FILING_SECTIONS, L.manifest_of(p, day, urls))
+    closing = lambda p, e, day, text: (day, L.CLOSING_SECTIONS, L.closing_manifest(p, done, e, day, line(text)))
+    runs = [
+        filing(plan, "2023-12-31"), filing(plan, "2024-01-01"),
+        closing(planned, evidence, "2024-01-01", "flushed"), closing(planned, evidence, "2024-01-02", "flushed"),
+        filing(even, "2024-01-01"), closing(planned.limit(0), evidence.limit(0), "2024-01-01", "no output"),
+    ]
+    for n, (day, sections, rows) in enumerate(runs):
+        if n:
+            rows = L.merge_manifest(L.read_manifest(spark, path).filter(F.col("run_date") == day), rows, day, sections)
+        L.write_manifest(cut_lineage(L.checked_manifest(rows)), path)
+    return L.read_manifest(spark, path)
+
+
+@query(
+    "write_manifest",
+    _with(*_MERGED)
+    + "SELECT run_date, section, cluster, members, target, repo, title, labels, url, issue, id, fix_url, reason, state_reason, closer, note FROM merged",
+)
+def write_manifest(spark, d):
+    rows = _merged(spark, d)
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("members", "labels")})
 
 
 @query(
     "run_summary",
-    _with(*_FILED, _PLAN, _MANIFEST)
+    _with(*_MERGED)
     + """, counted AS (
       SELECT run_date, count_if(section = 'filed')::BIGINT AS filed, count_if(section = 'consolidated')::BIGINT AS consolidated, count_if(section = 'held')::BIGINT AS held,
         count_if(section = 'resolved')::BIGINT AS resolved, count_if(section = 'noop')::BIGINT AS noop,

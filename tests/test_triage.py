@@ -198,16 +198,63 @@ def test_closers_and_reroutes(spark):
     assert [(r.id, r.issue, r.fix_url) for r in planned] == [(B, "https://t/2", "p2")]
 
 
+def manifest(spark, rows):
+    names = [c.split()[0] for c in L.MANIFEST.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], L.MANIFEST)
+
+
+def entry(day, section, cluster, **more):
+    return {"run_date": day, "section": section, "cluster": cluster, **more}
+
+
+def places(df):
+    return sorted((r.run_date, r.section, r.cluster) for r in df.collect())
+
+
 def test_manifest_same_date_again(spark, tmp_path):
-    schema = "run_date string, section string, cluster long"
-    old = spark.createDataFrame([("d1", "filed", 1), ("d1", "held", 2), ("d1", "flush", 3), ("d1", "closed_without_evidence", 4), ("d0", "held", 9)], schema)
-    new = spark.createDataFrame([("d1", "filed", 5), ("d1", "noop", 6)], schema)
+    old = manifest(spark, [entry("d1", "filed", 1), entry("d1", "held", 2), entry("d1", "flush", 3), entry("d1", "closed_without_evidence", 4), entry("d0", "held", 9)])
+    new = manifest(spark, [entry("d1", "filed", 5), entry("d1", "noop", 6)])
     path = str(tmp_path / "m")
     L.write_manifest(old, path)
-    merged = L.merge_manifest(old, new)
+    merged = L.merge_manifest(old, new, "d1", L.FILING_SECTIONS)
     L.write_manifest(merged, path)
-    got = sorted((r.run_date, r.section, r.cluster) for r in spark.read.parquet(path).collect())
-    assert got == sorted([("d0", "held", 9), ("d1", "filed", 1), ("d1", "filed", 5), ("d1", "noop", 6), ("d1", "flush", 3), ("d1", "closed_without_evidence", 4)])
+    kept = [("d0", "held", 9), ("d1", "filed", 1), ("d1", "filed", 5), ("d1", "noop", 6)]
+    assert places(L.read_manifest(spark, path)) == sorted([*kept, ("d1", "flush", 3), ("d1", "closed_without_evidence", 4)])
+    # A closing run without entries clears what it owns, and nothing of the filing run.
+    assert places(L.merge_manifest(merged, new.limit(0), "d1", L.CLOSING_SECTIONS)) == sorted(kept)
+
+
+def test_closing_run_entries(spark):
+    planned = spark.createDataFrame([(A, "https://t/1", "p1"), (B, "https://t/1", "p1")], "id string, issue string, fix_url string")
+    done = spark.createDataFrame([(B,)], "id string")
+    evidence = spark.createDataFrame(
+        [("r", 1, "https://t/1", None, "resolve", "p1", "PullRequest"), ("r", 2, "https://t/2", "COMPLETED", "no-evidence", None, None)],
+        "repo string, number long, url string, state_reason string, outcome string, fix_url string, closer_type string")
+    flush = spark.createDataFrame([("no output",)], "note string")
+    rows = L.checked_manifest(L.closing_manifest(planned, done, evidence, "2024-01-01", flush)).collect()
+    got = sorted((r.section, r.id, r.issue, r.fix_url, r.reason, r.url, r.state_reason, r.note) for r in rows)
+    assert got == [
+        ("closed_without_evidence", None, None, None, None, "https://t/2", "COMPLETED", None), ("flush", None, None, None, None, None, None, "no output"),
+        ("resolved", A, "https://t/1", "p1", None, None, None, None), ("skipped", B, "https://t/1", None, "already resolved", None, None, None)]
+    assert {r.resolved for r in L.run_summary(L.closing_manifest(planned, done, evidence, "2024-01-01", flush)).collect()} == {1}
+
+
+def test_no_cluster_is_left_out_of_the_plan(spark):
+    en = clusters(spark, [([A], "alpha", "low", "high"), ([B], "nowhere", "low", "high"), ([D], "alpha", "low", "high")]).withColumns(
+        {"class": F.when(F.col("cluster") == 2, "error").otherwise("file"), "issue": F.lit(None).cast("string"), "severity": F.lit("high")})
+    have = spark.createDataFrame([("acme/alpha", x) for x in (fixed.BASE_LABEL, "priority:high", "team")], "repo string, name string")
+    plan = L.file_plan(en, G.target_repos(registry(spark)), writes(spark, [("pc_x", "z")]), have)
+    assert sorted((r.cluster, r.action, r.problem, r.held_labels) for r in plan.collect()) == [
+        (0, "held", None, [fixed.FIX_NOW_LABEL]), (1, "error", "unknown target", None), (2, "error", "more than one open issue", None)]
+    assert sum(r.n_clusters for r in L.plan_counts(plan).collect()) == 3
+    with pytest.raises(L.InvalidPlan, match="cluster 1: unknown target"):
+        L.manifest_of(plan, "2024-01-01")
+
+
+def test_the_second_place_of_an_id_counts(spark):
+    cs = clusters(spark, [([A], "alpha", "low", "low"), ([A], "alpha", "low", "low"), ([B], "alpha", "low", "low"), ([B], "alpha", "low", "low"), ([D], "alpha", "low", "low"), ([A], "alpha", "low", "low")])
+    got = sorted((r.id, r.n, r.first_cluster, r.second_cluster, r.second_place) for r in C.duplicate_assignment(cs).collect())
+    assert got == sorted([(A, 3, 0, 1, 0), (B, 2, 2, 3, 0)])
 
 
 def test_cluster_documents_name_the_failing_place(spark):
@@ -241,15 +288,12 @@ def test_consolidation_checks(spark):
 
 
 def test_a_bad_manifest_is_not_written(spark):
-    schema = ("run_date string, section string, cluster long, members array<string>, target string, repo string, "
-              "title string, labels array<string>, url string, issue string")
-    good = [("2024-01-01", "filed", 0, [A], "alpha", "a/b", "t", ["x"], "", None),
-            ("2024-01-01", "consolidated", 1, [A], "alpha", "a/b", "t", None, None, "https://t/1"),
-            ("2024-01-01", "noop", 2, None, None, None, None, None, None, None)]
-    assert L.checked_manifest(spark.createDataFrame(good, schema)).count() == 3
-    bad = [("2024-1-1", "noop", 3) + (None,) * 7, ("2024-01-01", "filed", 4, [], "alpha", "a/b", "t", ["x"], "", None),
-           ("2024-01-01", "consolidated", 5, [A], "alpha", None, "t", None, None, "t/1")]
-    errors = L.manifest_errors(spark.createDataFrame(bad, schema)).collect()
-    assert sorted((r.cluster, r.error) for r in errors) == [(3, "run_date"), (4, "members"), (5, "issue"), (5, "target")]
+    day, full = "2024-01-01", {"members": [A], "target": "alpha", "repo": "a/b", "title": "t"}
+    good = [entry(day, "filed", 0, **full, labels=["x"], url=""), entry(day, "consolidated", 1, **full, issue="https://t/1"), entry(day, "noop", 2)]
+    assert L.checked_manifest(manifest(spark, good)).count() == 3
+    bad = [entry("2024-1-1", "noop", 3), entry(day, "filed", 4, **{**full, "members": []}, labels=["x"], url=""),
+           entry(day, "consolidated", 5, **{**full, "repo": None}, issue="t/1"), entry(day, "held", 6, **full), entry(day, "odd", 7)]
+    errors = L.manifest_errors(manifest(spark, bad)).collect()
+    assert sorted((r.cluster, r.error) for r in errors) == [(3, "run_date"), (4, "members"), (5, "issue"), (5, "target"), (6, "labels"), (7, "section")]
     with pytest.raises(L.InvalidManifest, match="cluster 4: members"):
-        L.checked_manifest(spark.createDataFrame(bad[1:2], schema))
+        L.checked_manifest(manifest(spark, bad[1:2]))
