@@ -14,7 +14,7 @@ HEADLINE = [
     "fold_open", "fold_resolved", "open_by_severity", "triage_order", "ledger_profile",
     "scrub_documents", "pii_report", "quarantine_split", "reconcile_by_id", "validate_records",
     "session_counts", "anchor_events", "compact_stage1", "compact_stage2", "sweep_plan",
-    "tracked_index", "enrich_clusters", "closer_evidence", "file_plan", "stream_open_set",
+    "compact", "compact_stage3", "greedy_budget", "tracked_index", "enrich_clusters", "closer_evidence", "file_plan", "stream_open_set",
 ]
 
 

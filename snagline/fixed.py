@@ -53,6 +53,9 @@ MARKERS = {
     "home": "~",
     "denylist": "[redacted]",
 }
+PEM_PATTERN = "-----BEGIN [^-]+-----.*?-----END [^-]+-----"
+IPV6_CANDIDATE = r"[0-9A-Fa-f:]{2,}(?:\.[0-9]{1,3}){0,3}"
+HOME_PREFIX = "/(?:Users|home)/"
 TOKEN_ALLOWLIST = [
     "dependency-readiness",
     "backward-compatibility",
@@ -80,6 +83,9 @@ ANCHOR_TTL_DAYS = 7
 REVIEW_TTL_DAYS = 30
 SWEEP_SESSIONS = 5
 
+# Characters of an error message that its class is told from.
+ERROR_TEXT_LOOKED_AT = 1000
+
 # --- fixed values: transcript reduction -------------------------------------
 COMPACT_BUDGET = 200000
 ERROR_CAP = 4000

@@ -68,11 +68,11 @@ def _long_string(v: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, text)
 
 
-def _capped_input(v: Column) -> Column:
+def _capped_input(v: Column, cap: int) -> Column:
     def one(item: Column) -> Column:
-        long = _long_string(item["value"], fixed.INPUT_FIELD_CAP)
+        long = _long_string(item["value"], cap)
         short = F.concat(
-            F.left(long, F.lit(fixed.INPUT_FIELD_CAP)), F.lit("["), item["key"], F.lit(": "),
+            F.left(long, F.lit(cap)), F.lit("["), item["key"], F.lit(": "),
             F.octet_length(long), F.lit(" bytes elided]"),
         )
         value = F.when(long.isNotNull(), V.json_string(short)).otherwise(F.to_json(item["value"]))
@@ -82,21 +82,27 @@ def _capped_input(v: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(entries, one), ","), F.lit("}"))
 
 
-def _result_content(v: Column) -> Column:
+def _result_content(v: Column, cap: int, head: int) -> Column:
     text = V.string_at(v, "$.content")
-    too_long = F.when(F.length(text) > fixed.ERROR_CAP, text)
+    too_long = F.when(F.length(text) > cap, text)
     error = F.when(
         too_long.isNotNull(),
-        V.json_string(T.elide_payload(too_long, fixed.ERROR_CAP, "error content")),
+        V.json_string(T.elide_payload(too_long, cap, "error content")),
     ).otherwise(F.coalesce(_json_at(v, "$.content"), F.lit("null")))
-    quiet = F.when(text.isNotNull(), V.json_string(T.stub_payload(text))).otherwise(
+    quiet = F.when(text.isNotNull(), V.json_string(T.stub_payload(text, head))).otherwise(
         F.lit('"[tool_result: non-string payload elided]"')
     )
     return F.when(V.is_true_at(v, "$.is_error"), error).otherwise(quiet)
 
 
-def compact_block(b: Column) -> Column:
-    """JSON text of one trimmed block; null when the block is dropped."""
+def compact_block(
+    b: Column, input_cap: int = fixed.INPUT_FIELD_CAP, error_cap: int = fixed.ERROR_CAP, stub_head: int = fixed.STUB_HEAD
+) -> Column:
+    """JSON text of one trimmed block; null when the block is dropped.
+
+    Longer input fields and error payloads are cut to their caps; other results
+    keep a head.
+    """
     kind = V.string_at(b, "$.type")
     is_error = F.when(V.is_true_at(b, "$.is_error"), "true").otherwise("false")
     return (
@@ -110,32 +116,32 @@ def compact_block(b: Column) -> Column:
             _object(
                 F.lit('"type":"tool_result"'), _part("is_error", is_error),
                 _part("tool_use_id", _json_at(b, "$.tool_use_id")),
-                _part("content", _result_content(b)),
+                _part("content", _result_content(b, error_cap, stub_head)),
             ),
         )
         .when(
             kind == "tool_use",
             _object(
                 F.lit('"type":"tool_use"'), _part("id", _json_at(b, "$.id")),
-                _part("name", _json_at(b, "$.name")), _part("input", _capped_input(b)),
+                _part("name", _json_at(b, "$.name")), _part("input", _capped_input(b, input_cap)),
             ),
         )
         .when(V.kind(b).startswith("OBJECT"), F.to_json(b))
     )
 
 
-def compact_blocks(v: Column) -> Column:
-    """JSON text of the trimmed content: a string as it is, else its blocks."""
-    kept = F.filter(F.transform(blocks(v), compact_block), lambda t: t.isNotNull())
+def compact_blocks(v: Column, **caps: int) -> Column:
+    """JSON text of the trimmed content: a string as it is, else its blocks; `caps` as in `compact_block`."""
+    kept = F.filter(F.transform(blocks(v), lambda b: compact_block(b, **caps)), lambda t: t.isNotNull())
     listed = F.concat(F.lit("["), F.coalesce(F.array_join(kept, ","), F.lit("")), F.lit("]"))
     return F.when(V.kind(V.at(v, CONTENT)) == "STRING", _json_at(v, CONTENT)).otherwise(listed)
 
 
-def compact_entry(v: Column) -> Column:
-    """JSON text of an entry without its envelope."""
+def compact_entry(v: Column, **caps: int) -> Column:
+    """JSON text of an entry without its envelope; `caps` as in `compact_block`."""
     message = F.when(
         V.kind(V.at(v, "$.message")).startswith("OBJECT"),
-        _object(_part("role", _json_at(v, "$.message.role")), _part("content", compact_blocks(v))),
+        _object(_part("role", _json_at(v, "$.message.role")), _part("content", compact_blocks(v, **caps))),
     )
     denial = F.when(denial_entry(v), _json_at(v, "$.toolDenialKind"))
     return _object(
@@ -154,9 +160,9 @@ def note(content: Column) -> Column:
     )
 
 
-def malformed_note(line: Column, index: Column) -> Column:
+def malformed_note(line: Column, index: Column, excerpt_cap: int = fixed.MALFORMED_EXCERPT) -> Column:
     """A note that stands for a line that is not an entry."""
-    excerpt = F.left(line, F.lit(fixed.MALFORMED_EXCERPT))
+    excerpt = F.left(line, F.lit(excerpt_cap))
     for raw, shown in (("\\", "\\\\"), ("\t", "\\t"), ("\r", "\\r")):
         excerpt = F.replace(excerpt, F.lit(raw), F.lit(shown))
     quoted = F.when(

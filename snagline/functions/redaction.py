@@ -21,7 +21,7 @@ WORD = r"[\p{L}\p{N}_]"
 EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 BLANK = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 
-PEM = r"(?s)-----BEGIN [^-]+-----.*?-----END [^-]+-----"
+PEM = f"(?s){fixed.PEM_PATTERN}"
 # An edge before or after a character that is always a word character.
 START, END = rf"(?<!{WORD})", rf"(?!{WORD})"
 JWT = rf"{START}eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+{EDGE}"
@@ -45,11 +45,11 @@ EMAIL = (
 )
 _OCTET = r"(?:25[0-5]|2[0-4]\p{Nd}|1?\p{Nd}?\p{Nd})"
 IPV4 = rf"{START}(?:{_OCTET}\.){{3}}{_OCTET}{END}"
-IPV6_CANDIDATE = r"[0-9A-Fa-f:]{2,}(?:\.[0-9]{1,3}){0,3}"
+IPV6_CANDIDATE = fixed.IPV6_CANDIDATE
 IPV6_HINT = r":[0-9A-Fa-f]*:"
 _TOKEN_CHARS = r"A-Za-z0-9+_-"
 TOKEN = rf"(?<![={_TOKEN_CHARS}])[{_TOKEN_CHARS}]{{20,}}={{0,2}}(?![={_TOKEN_CHARS}])"
-HOME = rf"/(?:Users|home)/[^/{BLANK}]+"
+HOME = rf"{fixed.HOME_PREFIX}[^/{BLANK}]+"
 
 
 def _quoted(words: Sequence[str]) -> str:

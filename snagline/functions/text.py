@@ -37,11 +37,11 @@ def elide_payload(c: Column, cap: int, label: str) -> Column:
     )
 
 
-def stub_payload(c: Column) -> Column:
+def stub_payload(c: Column, head: int = fixed.STUB_HEAD) -> Column:
     """What is left of a tool result that reported no error."""
     return F.concat(
         F.lit("[tool_result: "), F.octet_length(c), F.lit(" bytes elided] "),
-        F.left(c, F.lit(fixed.STUB_HEAD)),
+        F.left(c, F.lit(head)),
     )
 
 
@@ -120,8 +120,12 @@ def triage_rank(severity: Column) -> Column:
     )
 
 
-def classify_error(v: Column) -> Column:
-    """Flags, then exit code, then keywords, then an exit phrase."""
+def classify_error(v: Column, looked_at: int = fixed.ERROR_TEXT_LOOKED_AT) -> Column:
+    """Flags, then exit code, then keywords, then an exit phrase.
+
+    Keywords and phrase are looked for in the first `looked_at` characters of the
+    joined message.
+    """
 
     def flagged(*paths: str) -> Column:
         test = F.lit(False)
@@ -138,8 +142,7 @@ def classify_error(v: Column) -> Column:
         F.coalesce(F.lower(V.string_at(v, path)), F.lit(""))
         for path in ("$.error_type", "$.error.type", "$.error.code", "$.error_message", "$.error")
     ]
-    # The keyword tests look at this much of the joined message.
-    text = F.left(F.concat_ws(" ", *parts), F.lit(1000))
+    text = F.left(F.concat_ws(" ", *parts), F.lit(looked_at))
     phrase = F.regexp_extract(text, r"(?U)exit\s+(?:code|status)\s*:?\s*(\d+)", 1)
     return (
         F.when(flagged("$.timeout", "$.timed_out", "$.error.timeout"), "timeout")

@@ -109,38 +109,30 @@ def _proposals(spark, d):
     return led.filter(F.col("rtype") == fixed.RESOLUTION).select("pos", "resolves", "status", "fix_url")
 
 
-_EARLY = f"""early AS (SELECT * FROM ledger WHERE ts < '2024-01-16')"""
-
-
-def _early(spark, d):
-    """The ledger as it stood in the middle of the month."""
-    return vw.ledger(spark, d).filter(F.col("ts") < "2024-01-16")
-
-
 @query(
     "resolve_target_exists",
-    _with(vw.LEDGER, _EARLY)
+    _with(vw.LEDGER)
     + f"SELECT pos, resolves, status, fix_url FROM ledger l WHERE rtype = '{fixed.RESOLUTION}' "
-    f"AND EXISTS (SELECT 1 FROM early e WHERE e.rtype = '{fixed.REPORT}' AND e.id = l.resolves)",
+    f"AND EXISTS (SELECT 1 FROM ledger e WHERE e.rtype = '{fixed.REPORT}' AND e.id = l.resolves)",
 )
 def resolve_target_exists(spark, d):
-    return fold.resolve_target_exists(_proposals(spark, d), _early(spark, d), ORDER)
+    return fold.resolve_target_exists(_proposals(spark, d), vw.ledger(spark, d), ORDER)
 
 
 @query(
     "already_resolved",
     _with(
-        vw.LEDGER, _EARLY,
-        f"firsts AS (SELECT * FROM early WHERE rtype = '{fixed.RESOLUTION}' "
+        vw.LEDGER,
+        f"firsts AS (SELECT * FROM ledger WHERE rtype = '{fixed.RESOLUTION}' "
         "QUALIFY row_number() OVER (PARTITION BY resolves ORDER BY pos) = 1)",
-        f"known AS (SELECT DISTINCT id FROM early WHERE rtype = '{fixed.REPORT}')",
+        f"known AS (SELECT DISTINCT id FROM ledger WHERE rtype = '{fixed.REPORT}')",
     )
     + "SELECT l.pos, l.resolves, f.status AS prior_status, f.fix_url AS prior_url, "
     "CAST(k.id IS NOT NULL AS BIGINT) AS found, CAST(f.resolves IS NOT NULL AS BIGINT) AS already_resolved "
     f"FROM ledger l LEFT JOIN firsts f ON f.resolves = l.resolves LEFT JOIN known k ON k.id = l.resolves WHERE l.rtype = '{fixed.RESOLUTION}'",
 )
 def already_resolved(spark, d):
-    seen = fold.check_proposals(_proposals(spark, d), _early(spark, d), ORDER)
+    seen = fold.check_proposals(_proposals(spark, d), vw.ledger(spark, d), ORDER)
     return seen.select(
         "pos", "resolves", "prior_status", "prior_url",
         F.col("found").cast("bigint"), F.col("already_resolved").cast("bigint"),

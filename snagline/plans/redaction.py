@@ -160,6 +160,7 @@ def denylist_hits(spark, d):
     return docs.filter(R.denylist_hit(F.col("text"), vw.DENYLIST)).select("doc_id")
 
 
+# The shapes that tell words from secrets.
 _SHAPES = (
     "(regexp_full_match(run, '(?:--?|_)?[A-Z]?[a-z]+(?:[-_][a-z]{2,})+') "
     "OR regexp_full_match(run, '_?[A-Z]{2,}(?:_[A-Z]{2,})+') "

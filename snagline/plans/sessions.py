@@ -175,27 +175,26 @@ def bounded_sweep(spark, d):
     return S.bounded_sweep(_sweep(spark, d)).select("session", "action", "reason")
 
 
-_DIGEST = """hashed AS (SELECT session, seq // 4096 AS up, seq, sha256(text) AS h FROM entries),
+_DIGEST = """hashed AS (SELECT session, seq // 4096 AS up, seq, sha256(raw) AS h FROM raw_lines),
 up1 AS (SELECT session, up // 4096 AS up, up AS seq, sha256(string_agg(h, '' ORDER BY seq)) AS h FROM hashed GROUP BY session, hashed.up),
 up2 AS (SELECT session, up AS seq, sha256(string_agg(h, '' ORDER BY seq)) AS h FROM up1 GROUP BY session, up1.up),
 digests AS (SELECT session, sha256(string_agg(h, '' ORDER BY seq)) AS digest FROM up2 GROUP BY session)"""
 
 
 def _digests(spark, d):
-    c = vw.table(spark, d, "conversations")
-    return S.session_digest(
-        c.select(vw.string(F.col("conv_id")).alias("session"), F.col("turn").alias("seq"), F.col("text").alias("raw"))
-    )
+    """Over the stored lines as they are, so that any change in one is seen."""
+    lines = vw.transcript_lines(spark, d)
+    return S.session_digest(lines.select("session", F.col("line_no").alias("seq"), F.col("value").alias("raw")))
 
 
-@query("session_digest", _with(vw.ENTRIES, _DIGEST) + "SELECT * FROM digests")
+@query("session_digest", _with(vw.ENTRIES, vw.RAW_LINES, _DIGEST) + "SELECT * FROM digests")
 def session_digest(spark, d):
     return _digests(spark, d)
 
 
 @query(
     "changed_sessions",
-    _with(vw.ENTRIES, _DIGEST) + "SELECT session, digest FROM digests WHERE CAST(session AS BIGINT) % 2 <> 0",
+    _with(vw.ENTRIES, vw.RAW_LINES, _DIGEST) + "SELECT session, digest FROM digests WHERE CAST(session AS BIGINT) % 2 <> 0",
 )
 def changed_sessions(spark, d):
     """Stored hashes: right for even sessions, wrong for some, absent for others."""
@@ -285,12 +284,11 @@ def compact_stage1(spark, d):
     return K.stage1(vw.transcript_entries(spark, d)).select("session", "seq", "line")
 
 
-@query("compact_entry", _with(vw.ENTRIES, _STAGE1) + "SELECT session, seq, line FROM stage1 WHERE is_denial = 1 OR n_errors > 0")
+@query("compact_entry", _with(vw.ENTRIES, _STAGE1) + "SELECT session, seq, line FROM stage1")
 def compact_entry(spark, d):
-    """Entries that hold a denial or an error, without their envelope."""
-    v = F.col("entry")
-    rows = vw.transcript_entries(spark, d).filter(E.denial_entry(v) | E.tool_error_entry(v))
-    return rows.select("session", "seq", E.compact_entry(v).alias("line"))
+    """Every entry without its envelope."""
+    rows = vw.transcript_entries(spark, d)
+    return rows.select("session", "seq", E.compact_entry(F.col("entry")).alias("line"))
 
 
 @query(

@@ -28,12 +28,23 @@ _CLUSTERED = (*_TRACKED, vw.CLUSTERS, vw.ENRICHED)
 
 
 # --- sources --------------------------------------------------------------------
+#: Comments that a listing page holds of each issue; few, so that the full list has work to do.
+COMMENTS_PER_ISSUE = 2
+
+
 def _stored_pages(spark, d, short=False):
-    """Listing pages of at most a hundred issues, written out and read back."""
+    """Listing pages of at most a hundred issues, written out and read back.
+
+    An issue has its whole body and its first comments; what a page can hold bounds both.
+    """
+    spot = F.struct("line", "text")
+    listed = lambda source: F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("source") == source, spot))), lambda x: x["text"]
+    )
     texts = vw.issue_texts(spark, d).groupBy("repo", "number").agg(
         F.count_if(F.col("source") == "comment").alias("n_comments"),
-        F.min(F.when(F.col("source") == "body", F.col("text"))).alias("body"),
-        F.min(F.when(F.col("source") == "comment", F.col("text"))).alias("comment"),
+        F.array_join(listed("body"), "\n").alias("body"),
+        F.slice(listed("comment"), 1, COMMENTS_PER_ISSUE).alias("comments"),
     )
     issues = vw.issues(spark, d).join(texts, ["repo", "number"], "left")
     node = F.struct(
@@ -42,8 +53,9 @@ def _stored_pages(spark, d, short=False):
         F.struct(F.transform("labels", lambda x: F.struct(x.alias("name"))).alias("nodes")).alias("labels"),
         F.struct(
             F.coalesce("n_comments", F.lit(0)).alias("totalCount"),
-            F.when(F.col("comment").isNotNull(), F.array(F.struct(F.col("comment").alias("body"))))
-            .otherwise(F.array().cast("array<struct<body:string>>")).alias("nodes"),
+            F.coalesce(
+                F.transform("comments", lambda x: F.struct(x.alias("body"))), F.array().cast("array<struct<body:string>>")
+            ).alias("nodes"),
         ).alias("comments"),
     )
     declared = issues.groupBy("repo").agg(F.count(F.lit(1)).alias("declared"))
@@ -54,7 +66,7 @@ def _stored_pages(spark, d, short=False):
     pages = (
         ordered.rank_in_group(issues, ["repo"], ["number"], ordered.chunk_of(F.col("number")), "_n")
         .withColumn("page", F.floor((F.col("_n") - 1) / 100))
-        .groupBy("repo", "page").agg(F.collect_list(node).alias("nodes"))
+        .groupBy("repo", "page").agg(F.array_sort(F.collect_list(node)).alias("nodes"))
         .join(declared, "repo")
     )
     listing = F.struct(F.col("declared").alias("totalCount"), "nodes")
@@ -64,37 +76,38 @@ def _stored_pages(spark, d, short=False):
     return src.scan_issues(src.scan_pages(spark, path))
 
 
-_COMMENTS = """listed AS (
-  SELECT i.*, coalesce(n_comments, 0) AS comments_total, CASE WHEN coalesce(n_comments, 0) > 0 THEN 1 ELSE 0 END AS n_listed
-  FROM issues i LEFT JOIN (SELECT repo, number, count(*) AS n_comments FROM issue_texts WHERE source = 'comment' GROUP BY 1, 2) c
+_LISTED = f"""listed AS (
+  SELECT i.*, body, coalesce(n_comments, 0) AS comments_total, coalesce(array_to_string(texts[:{COMMENTS_PER_ISSUE}], chr(10)), '') AS comments
+  FROM issues i LEFT JOIN (
+    SELECT repo, number, count(*) FILTER (WHERE source = 'comment') AS n_comments,
+      string_agg(text, chr(10) ORDER BY line, text) FILTER (WHERE source = 'body') AS body,
+      list(text ORDER BY line, text) FILTER (WHERE source = 'comment') AS texts FROM issue_texts GROUP BY 1, 2) c
   ON c.repo = i.repo AND c.number = i.number)"""
 
 
 @query(
     "scan_issues",
-    _with(vw.ISSUES, vw.ISSUE_TEXTS, _COMMENTS)
-    + "SELECT repo, number, state, state_reason, url, labels[1] AS label, CAST(comments_total AS BIGINT) AS comments_total, n_listed FROM listed",
+    _with(vw.ISSUES, vw.ISSUE_TEXTS, _LISTED)
+    + "SELECT repo, number, state, state_reason, url, array_to_string(labels, ',') AS labels, CAST(comments_total AS BIGINT) AS comments_total, "
+    "coalesce(body, '') AS body, comments FROM listed",
 )
 def scan_issues(spark, d):
     return _stored_pages(spark, d).select(
-        "repo", "number", "state", "state_reason", "url", F.col("labels")[0].alias("label"),
-        "comments_total", F.size("comments").alias("n_listed"),
+        "repo", "number", "state", "state_reason", "url", F.array_join("labels", ",").alias("labels"),
+        "comments_total", F.coalesce("body", F.lit("")).alias("body"), F.array_join("comments", "\n").alias("comments"),
     )
 
 
 @query(
     "scan_full_comments",
     _with(vw.ISSUES, vw.ISSUE_TEXTS)
-    + "SELECT repo, number, source, count(*) AS n FROM issue_texts WHERE source = 'comment' GROUP BY 1, 2, 3",
+    + "SELECT repo, number, 'comment' AS source, text FROM issue_texts WHERE source = 'comment' UNION ALL "
+    "SELECT repo, number, 'body', string_agg(text, chr(10) ORDER BY line, text) FROM issue_texts WHERE source = 'body' GROUP BY 1, 2",
 )
 def scan_full_comments(spark, d):
-    """Listings hold one comment each; the full list stands in where there are more."""
+    """The full list stands in for the comments of issues that have more than a page holds."""
     full = vw.issue_texts(spark, d).filter(F.col("source") == "comment").select("repo", "number", "text")
-    texts = src.issue_texts(_stored_pages(spark, d), full)
-    return (
-        texts.filter(F.col("source") == "comment").groupBy("repo", "number", "source")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return src.issue_texts(_stored_pages(spark, d), full).filter((F.col("source") == "comment") | (F.col("text") != ""))
 
 
 @query(

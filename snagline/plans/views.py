@@ -14,7 +14,7 @@ from snagline.functions import variants as V
 from snagline.operators import clusters as C
 from snagline.operators import fold, tracking
 from snagline.functions.settle import settle
-from snagline.session import spread
+from snagline.session import deal_small
 
 NOW = "2024-01-31 00:00:00"
 
@@ -26,9 +26,13 @@ KEYS = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
-    """A given table; `heavy` when much work per row follows."""
+    """A given table; `heavy` when much work per row follows.
+
+    A heavy table that is one small split is dealt out over the cores; see
+    `deal_small`.  Anything larger is read as its splits come.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, *KEYS[name]) if heavy else df
+    return deal_small(df, *KEYS[name]) if heavy else df
 
 
 def full_id(n: Column) -> Column:
@@ -271,6 +275,20 @@ ENTRIES = """entries AS (
   FROM conversations)"""
 
 
+RAW_LINES = """raw_lines AS (
+  SELECT session, seq, CASE
+    WHEN n_errors > 0 THEN '{"type":"user","message":{"role":"user","content":[{"type":"tool_result","tool_use_id":"tu_' || session || '_' || seq
+      || '","is_error":true,"content":' || to_json(text) || '}]},"sessionId":"' || session || '"}'
+    WHEN role = 'user' AND length(text) % 2 = 1 THEN '{"type":"user","message":{"role":"user","content":[{"type":"text","text":' || to_json(text)
+      || '}]},"sessionId":"' || session || '"}'
+    WHEN role = 'user' THEN '{"type":"user","message":{"role":"user","content":' || to_json(text) || '},"sessionId":"' || session || '"}'
+    WHEN role = 'assistant' THEN '{"type":"assistant","message":{"role":"assistant","content":[{"type":"thinking","thinking":' || to_json(text)
+      || '},{"type":"text","text":' || to_json(text) || '},{"type":"tool_use","id":"tu_' || session || '_' || (seq + 1) || '","name":"'
+      || CASE WHEN seq % 4 = 1 THEN 'Bash' ELSE 'Edit' END || '","input":{"command":' || to_json(text) || ',"n":' || seq || '}}]},"sessionId":"' || session || '"}'
+    ELSE '{"type":"system","toolDenialKind":"user","message":{"role":"system","content":' || to_json(text) || '},"sessionId":"' || session || '"}' END AS raw
+  FROM entries)"""
+
+
 def conversation_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors beside the transcripts: errors by id, denials by order."""
     c = table(spark, sf_dir, "conversations")
@@ -548,15 +566,15 @@ def issue_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("about part "), string(F.col("l_partkey")))
     )
     lines = li.select(
-        F.col("l_orderkey").alias("number"),
+        F.col("l_orderkey").alias("number"), F.col("l_linenumber").cast("bigint").alias("line"),
         F.when(F.col("l_linenumber") <= 2, "body").otherwise("comment").alias("source"), text.alias("text"),
     )
-    return lines.join(o, "number").select("repo", "number", "source", "text")
+    return lines.join(o, "number").select("repo", "number", "source", "text", "line")
 
 
 ISSUE_TEXTS = f"""issue_texts AS (
   SELECT 'acme/r' || (o_custkey // 10) AS repo, o_orderkey AS number,
-    CASE WHEN l_linenumber <= 2 THEN 'body' ELSE 'comment' END AS source,
+    CASE WHEN l_linenumber <= 2 THEN 'body' ELSE 'comment' END AS source, l_linenumber AS line,
     CASE WHEN l_returnflag = 'R' AND l_quantity >= 45 THEN 'seen ' || {full_id_sql('l_partkey')} || ' again'
       ELSE 'about part ' || l_partkey END AS text
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -616,7 +634,7 @@ def bad_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
         {
             "members": F.when(c % 7 == 3, F.concat("members", F.array(F.lit("pc_none"))))
             .when(c % 7 == 4, F.concat("members", F.slice("members", 1, 1)))
-            .when(c % 7 == 5, F.slice("members", 2, 100)).otherwise(F.col("members")),
+            .when(c % 7 == 5, F.slice("members", F.lit(2), F.size("members"))).otherwise(F.col("members")),
             "target": F.when(c % 5 == 2, "nobody").otherwise(F.col("target")),
             "effort": F.when(c % 11 == 6, "huge").otherwise(F.col("effort")),
             "improvement": F.when(c % 13 == 8, "").when(c % 13 == 9, F.repeat(F.lit("x"), 121))

@@ -27,6 +27,7 @@ def build_session(master: str | None = None, app: str = "snagline", **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -60,16 +61,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core when a scan has fewer splits than the cluster has cores.
+def deal_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal a scan of less than one split's bytes over the cores.
 
-    Meant for a plain scan in front of heavy per-row work.  A large input has
-    more splits than that and is left as it is.
+    Files of one row group cannot be split, so heavy work per row would run in one
+    task.  At most `spark.sql.files.maxPartitionBytes` are moved for it; a table of
+    more bytes is left as its splits come, whatever the number of cores.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism, *keys) if size <= limit else df
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

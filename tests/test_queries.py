@@ -1,9 +1,4 @@
-"""Registered queries beside their SQL on the smallest tables.
-
-A few of each kind by default; SNAGLINE_ALL=1 runs every one.
-"""
-
-import os
+"""Every registered query beside its SQL on the smallest tables, and what no plan may hold."""
 
 import duckdb
 import pytest
@@ -12,8 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FEW = ["fold_open", "scrub_documents", "reconcile_by_id", "session_counts", "compact_stage2", "tracked_index", "file_plan", "gate"]
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("SNAGLINE_ALL") else FEW
+NAMES = sorted(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -44,10 +38,15 @@ def test_every_oracle_has_a_query_and_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
-BANNED = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"]
+BANNED = ["CartesianProduct", "BroadcastNestedLoopJoin"]
+PYTHON = ["BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas"]
+#: Work that lies in eager steps or streams behind the returned frame; the operators of the
+#: `llm` subpackage choose their own style.
+RUNS_PYTHON = {"compact", "compact_stage3", "greedy_budget"}
 
 
-@pytest.mark.parametrize("name", ["fold_open", "scrub_documents", "reconcile_by_id", "session_counts", "tracked_index", "classify_cluster", "closer_evidence", "resolve_repo"])
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith(("op", "pipeline", "stream_"))))
 def test_plans_hold_no_nested_loop_and_no_python(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert not [b for b in BANNED if b in plan]
+    banned = BANNED + ([] if name in RUNS_PYTHON else PYTHON)
+    assert not [b for b in banned if b in plan]
