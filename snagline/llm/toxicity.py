@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snagline.llm.common import crc_mod
+from snagline.llm.common import crc_mod, settled, small_or_not
 from snagline.llm.words import in_small_batches
 
 #: Lengths of the n-grams, in bytes of the text with A-Z in lower case and runs of blanks as one.
@@ -19,9 +19,9 @@ SIZES = (3, 4, 5, 6)
 #: Buckets for the hashes of n-grams.
 BUCKETS = 1 << 18
 #: Labelled texts that the weights are fitted on, at most; log-count ratios are taken over all.
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Features fitted, at most; those whose ratios are most certain.
-FEATURES = 4_000
+FEATURES = 2_000
 #: Documents below which a feature is not considered.
 LEAST = 5
 #: From this score on a document counts as toxic.
@@ -94,8 +94,8 @@ class Model:
 
 def _fit_weights(ids: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray, penalty: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on the scaled features, by full-batch steps with momentum and decaying size."""
-    at = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    flat = np.concatenate(ids) if len(ids) else np.empty(0, dtype=np.int64)
+    at = np.repeat(np.arange(len(ids), dtype=np.int32), [len(i) for i in ids])
+    flat = np.concatenate(ids) if len(ids) else np.empty(0, dtype=np.int32)
     n, y = max(1, len(ids)), toxic.astype(float)
     w, b = np.zeros(len(ratio)), float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
@@ -128,10 +128,10 @@ def fit(labelled: DataFrame) -> Model:
     sure = np.abs(ratio) / np.sqrt((1 - p) / (toxic + 1) + (1 - q) / (clean + 1))
     best = np.argsort(-sure, kind="stable")[:FEATURES]
     chosen, ratio = counts["feature"].to_numpy()[best], ratio[best]
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("text", F.col("toxic").cast("int").alias("toxic"))
-    held = sample.mapInPandas(partial(_chosen_ids, chosen), "toxic int, ids binary").toPandas()
-    ids = [np.frombuffer(i, dtype=np.int32).astype(np.int64) for i in held["ids"]]
-    w, bias = _fit_weights(ids, held["toxic"].to_numpy(), ratio)
+    chosen_ids = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).distinct()
+    sample = labelled.join(F.broadcast(settled(chosen_ids, "sample")), "doc_id", "left_semi").limit(SAMPLE)
+    held = in_small_batches(sample.select("text", F.col("toxic").cast("int").alias("toxic"))).mapInPandas(partial(_chosen_ids, chosen), "toxic int, ids binary").toPandas()
+    w, bias = _fit_weights([np.frombuffer(i, dtype=np.int32) for i in held["ids"]], held["toxic"].to_numpy(), ratio)
     weights[chosen] = w
     return Model(weights, bias)
 
@@ -139,6 +139,7 @@ def fit(labelled: DataFrame) -> Model:
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, toxic) of documents with a label; of several labels of a document the largest holds."""
     toxic = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    toxic = small_or_not(settled(toxic, "labels"))
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(toxic, "doc_id")
 
 
