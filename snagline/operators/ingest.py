@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from snagline.functions import text as T
 from snagline.functions import variants as V
 from snagline.functions.settle import settle
+from snagline.session import cut_lineage
 
 
 def quarantine_reason(value: Column, parsed: Column) -> Column:
@@ -88,12 +89,22 @@ def failed_groups(batch: DataFrame, published: DataFrame) -> DataFrame:
     )
 
 
+#: Failed months that may be sent to every task; the calendar keeps them far below.
+MONTHS_SENT = 100_000
+
+
 def reconcile_by_id(batch: DataFrame, published: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows of the batch that their month does not hold yet, one per id.
 
-    A month with an unusable id is left out whole; `failed_groups` names it.
+    A month with an unusable id is left out whole; `failed_groups` names it.  The
+    batch is settled, so its lines are parsed once; the failed months, counted
+    first, go to the rows, and one shuffle on month and id is left.
     """
-    sound = batch.join(failed_groups(batch, published), "month", "left_anti")
+    batch = cut_lineage(batch)
+    failed = cut_lineage(failed_groups(batch, published))
+    if failed.limit(MONTHS_SENT + 1).count() <= MONTHS_SENT:
+        failed = F.broadcast(failed)
+    sound = batch.join(failed, "month", "left_anti")
     return first_per_id(sound, order).join(
         published.select("month", "id"), ["month", "id"], "left_anti"
     )

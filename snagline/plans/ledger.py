@@ -324,21 +324,17 @@ def reconcile_failed_groups(spark, d):
 @query(
     "append_ledger",
     _with(vw.MONTH_LINES, _FIRST, vw.PUBLISHED)
-    + "SELECT month, count(*) AS n_rows, min(id) AS first_id FROM batch b "
-    "WHERE NOT EXISTS (SELECT 1 FROM published p WHERE p.month = b.month AND p.id = b.id) GROUP BY 1",
+    + "SELECT month, id, pos FROM batch b WHERE NOT EXISTS (SELECT 1 FROM published p WHERE p.month = b.month AND p.id = b.id)",
 )
 def append_ledger(spark, d):
-    """Written twice: the second time nothing is new."""
+    """Appended twice; the second time everything is there already."""
     path = scratch_path(spark, "ledger")
     first = ingest.reconcile_by_id(_batch(spark, d), vw.published(spark, d), ["pos"])
     ingest.append_ledger(first, path)
     stored = spark.read.parquet(path).select(F.col("month").cast("string"), "id")
     seen = vw.published(spark, d).unionByName(stored)
     ingest.append_ledger(ingest.reconcile_by_id(_batch(spark, d), seen, ["pos"]), path)
-    return (
-        spark.read.parquet(path).groupBy(F.col("month").cast("string").alias("month"))
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("first_id"))
-    )
+    return spark.read.parquet(path).select(F.col("month").cast("string").alias("month"), "id", "pos")
 
 
 @query(

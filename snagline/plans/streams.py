@@ -9,7 +9,9 @@ from snagline.functions import text as T
 from snagline.plans import views as vw
 from snagline.plans.catalog import query
 from snagline.plans.ledger import _with
-from snagline.session import scratch_path
+from snagline.plans.sessions import _DIGEST as DIGEST
+from snagline.operators import sessions as S
+from snagline.session import cut_lineage, scratch_path
 from snagline.streaming import ingest, open_set, sessions, tables
 
 _FILES = 3
@@ -25,6 +27,23 @@ def _replay(spark, df, one_batch=False):
     return reader.parquet(path)
 
 
+def _in_order(spark, df, deliveries):
+    """A stream of one batch per condition in `deliveries`, in their order."""
+    path = scratch_path(spark, "deliveries")
+    for part in deliveries:
+        df.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _thirds(df, column):
+    """Conditions that cut a table into three along a column's range."""
+    low, high = (r.cast("double") for r in (F.min(column), F.max(column)))
+    low, high = df.select(low.alias("a"), high.alias("b")).first()
+    at = F.col(column).cast("double")
+    one, two = low + (high - low) / 3, low + (high - low) * 2 / 3
+    return [at < one, (at >= one) & (at < two), at >= two]
+
+
 def _finish(q):
     q.awaitTermination()
     if q.exception():
@@ -44,7 +63,7 @@ def _sink(spark, stream, mode="append"):
 @query(
     "stream_ingest",
     _with(vw.MONTH_LINES)
-    + "SELECT month, count(DISTINCT id) AS n_rows, min(id) AS first_id FROM month_lines WHERE reason IS NULL GROUP BY 1",
+    + "SELECT DISTINCT month, id FROM month_lines WHERE reason IS NULL",
 )
 def stream_ingest(spark, d):
     """Delivered twice under two checkpoints: the second delivery adds nothing."""
@@ -54,9 +73,7 @@ def stream_ingest(spark, d):
     for _ in range(2):
         lines = ingest.spool_stream(spark, spool)
         _finish(ingest.stream_ingest(lines, ledger, quarantine, scratch_path(spark, "place")))
-    return ingest.read_ledger(spark, ledger).groupBy("month").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("first_id")
-    )
+    return ingest.read_ledger(spark, ledger).select("month", "id")
 
 
 @query("stream_anchors", _with(vw.PAYLOADS) + "SELECT pos, session_id, kind, error_class FROM friction")
@@ -68,13 +85,14 @@ def stream_anchors(spark, d):
 
 @query(
     "stream_cap",
-    _with(vw.EVENT_ANCHORS) + "SELECT session, least(count(*), 10) AS n FROM anchors GROUP BY 1",
+    _with(vw.EVENT_ANCHORS)
+    + "SELECT session, pos, kind FROM anchors QUALIFY row_number() OVER (PARTITION BY session ORDER BY pos) <= 10",
 )
 def stream_cap(spark, d):
-    path = scratch_path(spark, "anchors")
-    _finish(sessions.stream_cap(_replay(spark, vw.event_anchors(spark, d)), path, scratch_path(spark, "place"), 10))
-    kept = tables.read_batches(spark, path, sessions.ANCHOR_SCHEMA)
-    return kept.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    """Three deliveries in the order of the anchors."""
+    path, anchors = scratch_path(spark, "anchors"), vw.event_anchors(spark, d)
+    _finish(sessions.stream_cap(_in_order(spark, anchors, _thirds(anchors, "pos")), path, scratch_path(spark, "place"), 10))
+    return tables.read_batches(spark, path, sessions.ANCHOR_SCHEMA).select("session", "pos", "kind")
 
 
 _WINDOWS = """stamped AS (
@@ -90,10 +108,12 @@ windows AS (SELECT user_id, w, min(ts) AS first_ts, max(ts) AS last_ts, count(*)
     "WHERE last_ts + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR",
 )
 def stream_quiet(spark, d):
+    """Three deliveries along the time axis, so that the watermark moves between them."""
     activity = vw.table(spark, d, "events").select(
         vw.string(F.col("user_id")).alias("session"), F.col("ts").cast("timestamp").alias("ts")
     )
-    closed = _sink(spark, sessions.stream_quiet(_replay(spark, activity, one_batch=True)))
+    stream = _in_order(spark, activity, _thirds(activity, "ts"))
+    closed = _sink(spark, sessions.stream_quiet(stream))
     return closed.select("session", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"), "n_events")
 
 
@@ -115,9 +135,8 @@ def stream_late(spark, d):
         F.col("ts").cast("timestamp").alias("ts"),
     )
     late, marks = scratch_path(spark, "late"), scratch_path(spark, "marks")
-    for batch_id in (0, 1):
-        delivery = activity.filter(F.col("session").cast("bigint") % 2 == batch_id)
-        sessions.late_batch(delivery, batch_id, late, marks, fixed.QUIET_HOURS * 3600)
+    even = F.col("session").cast("bigint") % 2 == 0
+    _finish(sessions.stream_late(_in_order(spark, activity, [even, ~even]), late, marks, scratch_path(spark, "place")))
     return tables.read_batches(spark, late, "session string, pos long, ts timestamp").select("session", "pos")
 
 
@@ -144,17 +163,30 @@ def stream_open_set(spark, d):
     return open_set.current(spark, log)
 
 
+_CHANGED = DIGEST.replace("raw_lines", "other_lines")
+for _name in ("hashed", "up1", "up2", "digests"):
+    _CHANGED = _CHANGED.replace(f"{_name} AS", f"{_name}_x AS").replace(f"FROM {_name} ", f"FROM {_name}_x ").replace(f"{_name}.up", f"{_name}_x.up")
+
+
 @query(
     "stream_unchanged_skip",
-    "SELECT CAST(conv_id AS VARCHAR) AS session, count(*) AS n FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY 1",
+    _with(vw.ENTRIES, vw.RAW_LINES, DIGEST, "other_lines AS (SELECT session, seq, raw || ' ' AS raw FROM raw_lines)", _CHANGED)
+    + "SELECT session, digest, CASE WHEN CAST(session AS BIGINT) % 3 = 0 THEN CAST(2 AS BIGINT) ELSE 1 END AS n FROM digests "
+    "UNION ALL SELECT session, digest, 1 FROM digests_x WHERE CAST(session AS BIGINT) % 3 = 0",
 )
 def stream_unchanged_skip(spark, d):
-    """Every session delivered three times with the same content is worked on once."""
-    c = vw.table(spark, d, "conversations").select(
-        vw.string(F.col("conv_id")).alias("session"), F.sha2(vw.string(F.col("conv_id")), 256).alias("digest"),
-        F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"),
+    """Three deliveries of every session: as it is, some of them changed, and as it was."""
+    lines = vw.transcript_lines(spark, d).withColumnRenamed("line_no", "seq")
+    digest = lambda raw: S.session_digest(lines.select("session", "seq", raw.alias("raw")))
+    plain, other = digest(F.col("value")), digest(F.concat("value", F.lit(" ")))
+    third = F.col("session").cast("bigint") % 3 == 0
+    deliveries = (
+        plain.withColumn("pos", F.lit(0))
+        .unionByName(plain.filter(~third).unionByName(other.filter(third)).withColumn("pos", F.lit(1)))
+        .unionByName(plain.withColumn("pos", F.lit(2)))
     )
     changed = scratch_path(spark, "changed")
-    _finish(sessions.stream_unchanged_skip(_replay(spark, c), changed, scratch_path(spark, "place")))
+    stream = _in_order(spark, cut_lineage(deliveries), [F.col("pos") == n for n in range(3)])
+    _finish(sessions.stream_unchanged_skip(stream, changed, scratch_path(spark, "place")))
     rows = tables.read_batches(spark, changed, sessions.DIGEST_SCHEMA)
-    return rows.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("session", "digest").agg(F.count(F.lit(1)).alias("n"))
