@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from snagline.llm.components import components, labels_of
 #: Cosine from which a pair links.
 LINK = 0.93
 #: Vectors of a shard's graph, and queries that a task puts to one shard at a time.
-SHARD, QUERIES = 2_048, 2_048
+SHARD, QUERIES = 8_192, 2_048
 #: Neighbours of a node on the upper layers; twice as many on the ground.
 NEIGHBOURS = 12
 #: First width of the beam, and vectors whose answers are audited against all of a shard.
@@ -45,7 +45,7 @@ class Graph:
         self.layers = []
         for layer in range(int(self.level.max(initial=0)) + 1):
             width = NEIGHBOURS * (2 if layer == 0 else 1)
-            self.layers.append(np.full((n, width), -1, dtype=np.int64))
+            self.layers.append(np.full((n, width), -1, dtype=np.int32))
         self.members = [np.flatnonzero(self.level >= layer) for layer in range(len(self.layers))]
         for layer in reversed(range(len(self.layers))):
             self._build(layer)
@@ -145,7 +145,7 @@ class Graph:
         return self._search(0, queries, entry, beam)
 
 
-def shard_links(vectors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def shard_links(graph: Graph, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Places (query, vector) with a cosine of LINK or more, and the audited recall of the last beam.
 
     A query with links in a third of its beam may have more to find: its beam doubles, and beyond WIDEST
@@ -153,7 +153,7 @@ def shard_links(vectors: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, n
     queries is held against all vectors of the shard, and all beams double until
     RECALL of those links are found.
     """
-    graph = Graph(vectors)
+    vectors = graph.x
     beam = min(BEAM, len(vectors))
     audited = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
     truth = queries[audited] @ vectors.T >= LINK
@@ -173,9 +173,10 @@ def _beam_links(graph: Graph, queries: np.ndarray, beam: int) -> tuple[np.ndarra
     todo, a, b = np.arange(len(queries)), [], []
     while len(todo):
         if beam > WIDEST or beam >= len(graph.x):
-            row, col = np.nonzero(queries[todo] @ graph.x.T >= LINK)
-            a.append(todo[row])
-            b.append(col)
+            for part in np.array_split(todo, -(-len(todo) // 512)):
+                row, col = np.nonzero(queries[part] @ graph.x.T >= LINK)
+                a.append(part[row])
+                b.append(col)
             break
         ids, sims = graph.near(queries[todo], beam)
         full = (sims >= LINK).sum(axis=1) * CROWDED >= beam
@@ -191,23 +192,29 @@ def _unit(frame: pd.DataFrame) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _links(frame: pd.DataFrame) -> pd.DataFrame:
+def _grow(frame: pd.DataFrame) -> pd.DataFrame:
+    """A shard's graph with the ids and sizes of its classes, as one row."""
+    frame = frame.sort_values("rep")
+    made = pickle.dumps((Graph(_unit(frame)), frame["rep"].to_numpy(), frame["size"].to_numpy()))
+    return frame[["label", "bytes", "shard", "blocks"]].head(1).assign(graph=[made])
+
+
+def _links(asked: pd.DataFrame, grown: pd.DataFrame) -> pd.DataFrame:
     """What the queries dealt to a shard link with, confirmed in double precision.
 
     Per query with links its id twice and how many vectors they are; and links (a, b)
     with a zero that span what is connected here. No row per pair.
     """
-    shard, asked = frame[frame["stored"]], frame[~frame["stored"]]
-    none = pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
-    if not len(shard) or not len(asked):
-        return none
-    x, q = _unit(shard), _unit(asked)
-    at, to, _ = shard_links(x, q)
+    if not len(asked) or not len(grown):
+        return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
+    graph, b_ids, sizes = pickle.loads(grown["graph"].iloc[0])
+    x, q = graph.x, _unit(asked)
+    at, to, _ = shard_links(graph, q)
     cosine = np.concatenate([np.einsum("ij,ij->i", q[at[i : i + 65536]], x[to[i : i + 65536]]) for i in range(0, len(at), 65536)] or [np.empty(0)])
-    a_ids, b_ids = asked["rep"].to_numpy(), shard["rep"].to_numpy()
+    a_ids = asked["rep"].to_numpy()
     use = (cosine >= LINK) & (a_ids[at] != b_ids[to])
     at, to = at[use], to[use]
-    counts = np.bincount(at, weights=shard["size"].to_numpy()[to], minlength=len(asked)).astype(np.int64)
+    counts = np.bincount(at, weights=sizes[to], minlength=len(asked)).astype(np.int64)
     some = np.flatnonzero(counts)
     ids, place = np.unique(np.concatenate([a_ids[at], b_ids[to]]), return_inverse=True)
     label = labels_of(len(ids), place[: len(at)], place[len(at) :])
@@ -238,8 +245,8 @@ def near_vectors(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     Vectors of equal, not null labels link at a cosine of 0.93 or more, in double
     precision. Equal vectors of a label are one class, told by its smallest vec_id, and
     are never paired off; a class counts by its size in the links of others. A label's
-    classes are dealt over shards by their hash; each shard holds one graph, and every
-    class asks every shard of its label, in blocks of bounded size. Work therefore
+    classes are dealt over shards by their hash; each shard's graph is built once and
+    settled, and every class asks every shard of its label, in blocks of bounded size. Work therefore
     grows with a label's size times its number of shards; `shard` is as large as a
     task's memory allows.
 
@@ -268,14 +275,19 @@ def near_vectors(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
         "vector-shards",
     )
     placed = classes.withColumn("bytes", F.length("vector")).join(sizes, ["label", "bytes"])
-    base = ["label", "bytes", "rep", "size", "vector"]
     own = F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")
     block = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    stored = placed.select(*base, own.alias("shard"), every("blocks").alias("block"), F.lit(True).alias("stored"))
-    asked = placed.select(*base, every("shards").alias("shard"), block.alias("block"), F.lit(False).alias("stored"))
+    kind = dict(rows.dtypes)["label"]
+    stored = placed.select("label", "bytes", "rep", "size", "vector", "blocks", own.alias("shard"))
+    grown = settled(
+        stored.groupBy("label", "bytes", "shard").applyInPandas(_grow, f"label {kind}, bytes int, shard int, blocks int, graph binary"), "graphs"
+    )
+    where = ["label", "bytes", "shard", "block"]
+    asked = placed.select("label", "bytes", "rep", "vector", every("shards").alias("shard"), block.alias("block"))
     met = settled(
-        stored.unionByName(asked).groupBy("label", "bytes", "shard", "block").applyInPandas(_links, "a long, b long, n long"), "vector-links"
+        asked.groupBy(*where).cogroup(grown.withColumn("block", every("blocks")).groupBy(*where))
+        .applyInPandas(_links, "a long, b long, n long"), "vector-links",
     )
     counted = met.where("n > 0").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "rep")
     ties = met.where("n = 0").select("a", "b").unionByName(

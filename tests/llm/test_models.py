@@ -111,7 +111,7 @@ def test_graph_recall():
     x = rng.normal(size=(1500, 32))
     x[700:] = x[rng.integers(0, 50, 800)] + rng.normal(size=(800, 32)) * 0.2
     x /= np.linalg.norm(x, axis=1)[:, None]
-    a, b, recall = vectors.shard_links(x, x[::3])
+    a, b, recall = vectors.shard_links(vectors.Graph(x), x[::3])
     truth = x[::3] @ x.T >= vectors.LINK
     assert truth[a, b].all() and len(a) >= 0.999 * truth.sum() and recall >= vectors.RECALL
 
