@@ -24,14 +24,22 @@ def _flagged(spark, d):
     return S.entry_flags(vw.transcript_entries(spark, d))
 
 
-@query("scan_transcripts", _with(vw.ENTRIES) + "SELECT session, count(*) AS n_entries, CAST(max(seq) AS BIGINT) AS last_seq FROM entries GROUP BY 1")
+@query(
+    "scan_transcripts",
+    _with(vw.ENTRIES, vw.RAW_LINES)
+    + "SELECT session, CAST(seq AS BIGINT) AS seq, CAST(seq + seq // 5 AS BIGINT) AS line_no, "
+    "CASE WHEN seq % 11 = 10 THEN '{broken' ELSE raw END AS raw, seq % 11 <> 10 AS is_entry FROM raw_lines",
+)
 def scan_transcripts(spark, d):
-    """Stored lines, given their places again."""
-    path = scratch_path(spark, "transcripts")
-    vw.transcript_lines(spark, d).write.parquet(path)
-    stored = src.as_entries(spark.read.parquet(path))
-    return stored.groupBy("session").agg(
-        F.count(F.lit(1)).alias("n_entries"), F.max("seq").alias("last_seq")
+    """One file per session, with a blank line after every fifth and some that are broken."""
+    path, n = scratch_path(spark, "transcripts"), F.col("line_no")
+    lines = vw.transcript_lines(spark, d).withColumn("value", F.when(n % 11 == 10, "{broken").otherwise(F.col("value")))
+    rows = lines.select(F.concat("session", F.lit(".jsonl")).alias("file"), (n * 2).alias("place"), "value").unionByName(
+        lines.filter(n % 5 == 4).select(F.concat("session", F.lit(".jsonl")).alias("file"), (n * 2 + 1).alias("place"), F.lit("").alias("value"))
+    )
+    vw.named_files(rows, path)
+    return src.scan_transcripts(spark, path).select(
+        "session", "seq", "line_no", "raw", F.col("entry").isNotNull().alias("is_entry")
     )
 
 
@@ -91,17 +99,18 @@ def classify_error(spark, d):
 @query(
     "scan_anchors",
     _with(vw.CONVERSATION_ANCHORS)
-    + "SELECT session, pos, kind, tool_name, tool_use_id FROM anchors "
+    + "SELECT session, row_number() OVER (PARTITION BY session ORDER BY pos) - 1 AS pos, kind, tool_name, tool_use_id FROM anchors "
     "WHERE session NOT IN (SELECT session FROM anchors WHERE tool_name = 'Edit' AND kind = 'permission_prompt')",
 )
 def scan_anchors(spark, d):
-    """One mis-typed line discards its session's whole set."""
-    a = vw.conversation_anchors(spark, d)
+    """One file per session; one mis-typed line discards its session's whole set."""
+    a, path = vw.conversation_anchors(spark, d), scratch_path(spark, "anchors")
     bad = (F.col("tool_name") == "Edit") & (F.col("kind") == "permission_prompt")
     line = F.to_json(F.struct("kind", "tool_name", "tool_use_id"))
     wrong = F.replace(line, F.lit('"kind":"permission_prompt"'), F.lit('"kind":["x"]'))
-    lines = a.select("session", "pos", F.when(F.coalesce(bad, F.lit(False)), wrong).otherwise(line).alias("value"))
-    return src.trusted_anchors(lines)
+    value = F.when(F.coalesce(bad, F.lit(False)), wrong).otherwise(line)
+    vw.named_files(a.select(F.concat("session", F.lit(".jsonl")).alias("file"), F.col("pos").alias("place"), value.alias("value")), path)
+    return src.scan_anchors(spark, path)
 
 
 @query(

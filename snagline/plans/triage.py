@@ -212,27 +212,26 @@ def scan_consolidations(spark, d):
 @query(
     "scan_manifests",
     _with(vw.OPEN_PARTS, vw.CLUSTERS)
-    + "SELECT strftime(DATE '2024-01-01' + CAST(cluster // 16 AS INTEGER), '%Y-%m-%d') AS run_date, CAST(count(*) AS BIGINT) AS n_ids, min(id) AS first_id, "
-    "max('https://t.example/' || cluster) AS last_url FROM (SELECT cluster, unnest(members) AS id FROM clusters) GROUP BY 1",
+    + """SELECT run_date, CAST(section AS INTEGER) AS section, CAST(entry AS INTEGER) AS entry, CAST(place AS INTEGER) AS place, id, url FROM (
+      SELECT strftime(DATE '2024-01-01' + CAST(cluster // 16 AS INTEGER), '%Y-%m-%d') AS run_date, cluster % 3 = 0 AS section,
+        row_number() OVER (PARTITION BY cluster // 16, cluster % 3 = 0 ORDER BY cluster) - 1 AS entry,
+        'https://t.example/' || cluster AS url, unnest(members) AS id, unnest(range(len(members))) AS place FROM clusters)""",
 )
 def scan_manifests(spark, d):
-    """One document per date, stored and read back as ids."""
+    """One file per date, beside files of other names; every id that was ever written out."""
     c = F.col("cluster")
     date = vw.string(F.date_add(F.lit("2024-01-01").cast("date"), F.floor(c / 16).cast("int")))
-    entry = F.struct(
-        F.col("members").alias(fixed.MEMBERS_KEY), F.concat(F.lit("https://t.example/"), vw.string(c)).alias("url")
-    )
-    docs = (
-        vw.clusters(spark, d).groupBy(date.alias("run_date")).agg(F.collect_list(entry).alias("filed"))
-        .select("run_date", F.to_json(F.struct("run_date", "filed")).alias("value"))
-    )
-    path = scratch_path(spark, "manifests")
-    docs.write.parquet(path)
-    stored = spark.read.parquet(path).select(F.col("run_date").alias("file_date"), F.parse_json("value").alias("m"))
-    writes = src.prior_writes_of(stored)
-    return writes.groupBy("run_date").agg(
-        F.count(F.lit(1)).alias("n_ids"), F.min("id").alias("first_id"), F.max("url").alias("last_url")
+    link = F.concat(F.lit("https://t.example/"), vw.string(c))
+    entry = lambda name: F.struct(c, F.col("members").alias(fixed.MEMBERS_KEY), link.alias(name))
+    kept = lambda name, when: F.array_sort(F.collect_list(F.when(when, entry(name)))).alias("filed" if name == "url" else "consolidated")
+    docs = vw.clusters(spark, d).groupBy(date.alias("run_date")).agg(kept("url", c % 3 != 0), kept("issue", c % 3 == 0))
+    value = F.to_json(F.struct("run_date", "filed", "consolidated")).alias("value")
+    path, place = scratch_path(spark, "manifests"), F.lit(0).alias("place")
+    rows = docs.select(F.concat("run_date", F.lit(".json")).alias("file"), place, value).unionByName(
+        docs.select(F.concat("run_date", F.lit(".json.bak")).alias("file"), place, value)
     )
+    vw.named_files(rows.unionByName(spark.range(1).select(F.lit("notes.json").alias("file"), place, F.lit("[1").alias("value"))), path)
+    return src.prior_writes_of(src.scan_manifests(spark, path))
 
 
 # --- registry ---------------------------------------------------------------------

@@ -35,6 +35,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> D
     return deal_small(df, *KEYS[name]) if heavy else df
 
 
+def named_files(rows: DataFrame, path: str) -> None:
+    """Store rows (file, place, value) as text files of these names, lines in order of place.
+
+    Spark writes one folder per name; the file in it is then given its name.
+    """
+    spark, parts = rows.sparkSession, f"{path}-parts"
+    ordered_rows = rows.repartition("file").sortWithinPartitions("file", "place")
+    ordered_rows.select("file", "value").write.partitionBy("file").text(parts)
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(new(path))
+    for folder in fs.globStatus(new(f"{parts}/file=*")):
+        (part,) = fs.globStatus(new(folder.getPath(), "part-*"))
+        fs.rename(part.getPath(), new(path, folder.getPath().getName().removeprefix("file=")))
+
+
 def full_id(n: Column) -> Column:
     return F.format_string("pc_%08x-0000-4000-8000-%012x", n, n)
 
