@@ -21,7 +21,7 @@ from snagline.functions import entries as E
 from snagline.functions import excerpt as X
 from snagline.operators import ordered
 from snagline.operators import sessions as S
-from snagline.session import cut_lineage
+from snagline.session import cut_lineage, scratch_path
 
 # Bisection steps answered by one pass over the lines.
 STEPS = 6
@@ -187,46 +187,58 @@ def _cut(lines: DataFrame) -> DataFrame:
     return lines.mapInPandas(run, "session string, seq long, line string")
 
 
-def greedy_budget(lines: DataFrame, budget: int) -> DataFrame:
+#: Lines of a session that one fold of the greedy budget goes over.
+GREEDY_CHUNK = 4096
+
+
+def greedy_budget(lines: DataFrame, budget: int, rows: int = GREEDY_CHUNK) -> DataFrame:
     """Whole lines in order; one that does not fit is skipped, later ones still count.
 
-    A round keeps each session's longest fitting stretch and resumes after the
-    line that broke it, now looking only at lines no larger than what is left.
-    Every round keeps at least one line of every session still in play.
+    Sizes are settled once, apart by chunk of the order.  A pass folds one chunk of
+    every session, handing on what is left of each budget, so the passes follow the
+    length of the longest session and never the shape of the data; a session without
+    room for its smallest line drops out.  A fold holds `rows` numbers at most.
     """
-    sized = lines.withColumn("_size", line_bytes(F.col("line")))
-    state = sized.select("session").distinct().select(
-        "session", F.lit(budget).cast("bigint").alias("_left"), F.lit(-1).cast("bigint").alias("_after")
-    )
-    kept: list[DataFrame] = []
-    while True:
-        open_lines = cut_lineage(
-            sized.join(state, "session").filter(
-                (F.col("seq") > F.col("_after")) & (F.col("_size") <= F.col("_left"))
-            )
-        )
-        if open_lines.isEmpty():
-            break
-        summed = ordered.running_total(
-            open_lines, ["session"], "seq", ordered.chunk_of(F.col("seq")), F.col("_size"), "_sum"
+    spark = lines.sparkSession
+    path = scratch_path(spark, "sizes")
+    chunk = ordered.chunk_of(F.col("seq"), rows)
+    lines.select(
+        "session", F.col("seq").cast("bigint").alias("seq"), line_bytes(F.col("line")).cast("bigint").alias("size"), chunk.alias("chunk")
+    ).write.partitionBy("chunk").parquet(path)
+    sizes = spark.read.schema("session string, seq bigint, size bigint, chunk bigint").parquet(path)
+    state = cut_lineage(
+        sizes.groupBy("session").agg(F.min("size").alias("least")).select(
+            "session", "least", F.lit(budget).cast("bigint").alias("left")
         )
-        stops = (
-            summed.filter(F.col("_sum") > F.col("_left")).groupBy("session")
-            .agg(F.min("seq").alias("_stop"))
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = x["size"] <= acc["left"]
+        return F.struct(
+            F.when(fits, acc["left"] - x["size"]).otherwise(acc["left"]).alias("left"),
+            F.when(fits, F.array_append(acc["kept"], x["seq"])).otherwise(acc["kept"]).alias("kept"),
         )
-        taken = cut_lineage(
-            summed.join(stops, "session", "left")
-            .filter(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop")))
+
+    kept: list[DataFrame] = []
+    for (n,) in sizes.select("chunk").distinct().orderBy("chunk").collect():
+        start = F.struct(F.col("left"), F.array().cast("array<bigint>").alias("kept"))
+        members = F.array_sort(F.collect_list(F.struct("seq", "size")))
+        folded = cut_lineage(
+            sizes.filter(F.col("chunk") == n).join(state.filter("left >= least"), "session").filter("size <= left")
+            .groupBy("session", "left").agg(members.alias("m"))
+            .select("session", F.aggregate("m", start, step).alias("f"))
         )
-        kept.append(taken.select("session", "seq", "line"))
+        kept.append(folded.select("session", F.explode("f.kept").alias("seq")))
         state = cut_lineage(
-            taken.filter(F.col("_stop").isNotNull())
-            .groupBy("session", "_stop", "_left").agg(F.sum("_size").alias("_used"))
-            .select("session", (F.col("_left") - F.col("_used")).alias("_left"), F.col("_stop").alias("_after"))
+            state.join(folded.select("session", F.col("f.left").alias("now")), "session", "left").select(
+                "session", "least", F.coalesce("now", "left").alias("left")
+            )
         )
+        if state.filter("left >= least").isEmpty():
+            break
     if not kept:
         return lines.limit(0).select("session", "seq", "line")
-    return reduce(DataFrame.unionByName, kept)
+    return lines.join(reduce(DataFrame.unionByName, kept), ["session", "seq"]).select("session", "seq", "line")
 
 
 def stage3(lines: DataFrame, budget: int, steps: int = STEPS) -> DataFrame:
