@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snagline.llm.common import crc_mod, settled
-from snagline.llm.words import MEMO, in_small_batches, split_words
+from snagline.llm.words import MEMO, in_small_batches, only_cache, split_words
 
 #: Classes that the model tells apart: the most frequent words, the end, and KINDS kinds of other words.
 CLASSES, KINDS = 1024, 64
 WORDS = CLASSES - KINDS - 1
 END = CLASSES - KINDS - 1
-#: Words whose counts every task holds; the counts of rarer ones are joined.
+#: Words whose counts every task holds, at most; the counts of rarer ones are joined.
 HEAD = 1 << 18
 DIM = 24
 BATCH = 1024
@@ -33,10 +33,10 @@ class _Names(dict):
     """58 bits of a word's hash above its kind: the last byte and whether it is long."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
         kind = (word[-1] & 31) | (32 if len(word) > 8 else 0)
-        value = self[word] = (xxhash.xxh3_64_intdigest(word) & ~63 & 0x7FFFFFFFFFFFFFFF) | kind
+        value = (xxhash.xxh3_64_intdigest(word) & ~63 & 0x7FFFFFFFFFFFFFFF) | kind
+        if len(self) < MEMO:  # a full memo stays as it is: frequent words came early
+            self[word] = value
         return value
 
 
@@ -52,6 +52,7 @@ def _named(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    only_cache("names", _names)
     held, size = [], 0
     for batch in batches:
         names = _named(batch["text"])[0]
@@ -99,7 +100,12 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     """From settled counts (word, c): the head, the totals, and the room of each kind of other words."""
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
+    # The head's least count, from the number of words per size of count: a few hundred rows.
+    size = F.floor(F.log2("c") * 16).cast("int")
+    sizes = counts.groupBy(size.alias("size")).agg(F.count("*").alias("n")).toPandas().sort_values("size", ascending=False)
+    fits = sizes.loc[sizes["n"].cumsum() <= HEAD, "size"]
+    head = counts.where(size >= int(fits.min())).toPandas() if len(fits) else counts.limit(0).toPandas()
+    head = head.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     short = head.head(WORDS)
     kinds = (
@@ -205,6 +211,7 @@ def train(rows: DataFrame, vocabulary_, unigram: np.ndarray) -> dict[str, np.nda
     keys = ["one", "two", "out", "bias"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only_cache("names", _names)
         words = vocabulary_.value
         trainer = Trainer(unigram, 7)
         for batch in batches:
@@ -277,6 +284,7 @@ def score_texts(docs: DataFrame, mod: int = 7, out: int = 2) -> DataFrame:
     end_log = float(np.log10(ends + 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only_cache("names", _names)
         v, (p, z) = shared.value, model.value
         room = np.log10(v.room)
         for batch in batches:

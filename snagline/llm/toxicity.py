@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snagline.llm.common import crc_mod, settled, small_or_not
-from snagline.llm.words import in_small_batches
+from snagline.llm.words import in_small_batches, only_cache
 
 #: Lengths of the n-grams, in bytes of the text with A-Z in lower case and runs of blanks as one.
 SIZES = (3, 4, 5, 6)
@@ -61,6 +61,7 @@ def _stamps(found: np.ndarray) -> np.ndarray:
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per task, how many clean and toxic documents hold each feature."""
+    only_cache("none")
     held = np.zeros((2, BUCKETS), dtype=np.int64)
     docs = np.zeros(2, dtype=np.int64)
     for batch in batches:

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snagline.llm.common import BROADCAST_ROWS
 
-#: Entries of a per-worker memo before it starts anew; bounds a worker's memory.
-MEMO = 200_000
+#: Entries of a per-worker memo; bounds a worker's memory.
+MEMO = 300_000
 #: Rows of an Arrow batch. Texts are long; this bounds what a task holds at once.
 BATCH_ROWS = 500
 
@@ -29,17 +28,34 @@ def split_words(text: str | None, lower: bool) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
+_caches: dict[str, dict] = {}
+
+
+def only_cache(name: str, cache: dict | None = None) -> None:
+    """Called at the start of a task: what a reused worker remembers for other operators goes."""
+    for other, held in _caches.items():
+        if other != name:
+            held.clear()
+    if cache is not None:
+        _caches[name] = cache
+
+
 class WordHashes(dict):
     """64-bit hash of a word, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < MEMO:  # a full memo stays as it is: frequent words came early
+            self[word] = value
         return value
 
 
 _hashes = WordHashes()
+
+
+def word_cache() -> None:
+    """The start of a task that hashes words."""
+    only_cache("words", _hashes)
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -108,62 +124,65 @@ def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, which: i
     return mixed(mixed((sums[end] - sums[start]) * up[start]) + length)
 
 
-#: Columns that name a document in a task: a null id is told from 0, and texts that share an id stay apart.
-NAME = ["no_id", "doc_id", "t"]
+#: Columns that name a document in a task: texts that share an id stay apart by a hash.
+NAME = ["doc_id", "t"]
+#: What a null id is taken for, so that it comes last.
+NO_ID = (1 << 63) - 1
 
 
 def named_rows(docs: DataFrame) -> DataFrame:
-    """(no_id, doc_id, t, text) without nulls, in small batches."""
-    rows = docs.select(
-        F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    return in_small_batches(rows.select("no_id", "doc_id", F.xxhash64("text").alias("t"), "text"))
+    """(doc_id, t, text) without nulls, in small batches."""
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return in_small_batches(rows.select("doc_id", F.hash("text").alias("t"), "text"))
 
 
 def id_of() -> Column:
     """The id of a named row, null again where it was null."""
-    return F.expr("if(no_id, null, doc_id)")
+    return F.nullif("doc_id", F.lit(NO_ID))
 
 
-BITS = 26
+BITS = 25
 
 
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A bit for each value's low BITS bits, in 2^BITS / 8 bytes whatever the number of values.
+def bitmap(spark: SparkSession, keys: DataFrame, column: str):
+    """Broadcast of a bit for each value's low BITS bits: 2^BITS / 8 bytes whatever the number of values.
 
     Summed up by Spark to 64-bit words first. It only saves moving rows that cannot
     match; what passes is still joined exactly.
     """
     bit = F.col(column).bitwiseAND((1 << BITS) - 1)
     words = (
-        keys.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("v"))
-        .groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+        keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("v"))
+        .groupBy("w").agg(F.bit_or("v").alias("v"))
     )
     out = np.zeros(1 << (BITS - 6), dtype=np.int64)
-    out[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
+    for part in words.mapInPandas(_as_bytes, "w binary, v binary").toLocalIterator():
+        out[np.frombuffer(part["w"], dtype=np.int32)] = np.frombuffer(part["v"], dtype=np.int64)
+    return spark.sparkContext.broadcast(out.view(np.uint64))
 
 
-def _only(column: str, bits: np.ndarray, inside: bool, batches):
+def _as_bytes(batches):
     for batch in batches:
-        yield batch[in_bitmap(bits, batch[column].to_numpy()) == inside]
-
+        yield pd.DataFrame({"w": [batch["w"].to_numpy(dtype=np.int32).tobytes()], "v": [batch["v"].to_numpy(dtype=np.int64).tobytes()]})
 
-def only_in(rows: DataFrame, bits: np.ndarray, column: str, inside: bool = True) -> DataFrame:
-    """Rows whose value may be in the bitmap, or those whose value is not."""
-    return rows.mapInPandas(partial(_only, column, bits, inside), rows.schema)
 
+def matched(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """Join texts with a settled table that names part of them.
 
-def matched(rows: DataFrame, few: DataFrame, on: list[str], hashed: str) -> DataFrame:
-    """Join texts with a settled table that names part of them, without moving the others.
-
-    Below a counted bound the table goes to the texts; beyond it a bitmap of its
-    hashes (`hashed`, a column of both sides) keeps most other texts in place.
+    Below a counted bound the names go to the texts first, so that the others are not
+    moved; beyond it all texts are.
     """
     if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return in_small_batches(rows.join(F.broadcast(few), on))
-    return in_small_batches(only_in(rows, bitmap(few.select(hashed).distinct(), hashed), hashed).join(few, on))
+        rows = rows.join(F.broadcast(few.select(*on).distinct()), on, "left_semi")
+    return in_small_batches(rows.join(few, on))
+
+
+def matched_or_not(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """The same, and the other texts with nulls."""
+    if few.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return in_small_batches(rows.join(few, on, "left"))
+    others = rows.join(F.broadcast(few.select(*on).distinct()), on, "left_anti")
+    return in_small_batches(matched(rows, few, on).unionByName(others, allowMissingColumns=True))
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
