@@ -152,6 +152,81 @@ def compact_entry(v: Column, **caps: int) -> Column:
     )
 
 
+def _strings(values: Column) -> Column:
+    """The strings among an array of values."""
+    return F.filter(F.transform(values, lambda x: V.string_at(x, "$")), lambda x: x.isNotNull())
+
+
+def text_fields(v: Column) -> Column:
+    """The texts of a trimmed entry that may be cut further, as an array."""
+
+    def of_block(b: Column) -> Column:
+        own = F.filter(F.array(V.string_at(b, "$.text"), V.string_at(b, "$.content")), lambda x: x.isNotNull())
+        given = _strings(F.map_values(F.try_variant_get(b, "$.input", "map<string,variant>")))
+        return F.concat(own, F.coalesce(given, F.array().cast("array<string>")))
+
+    whole = V.string_at(v, CONTENT)
+    listed = F.flatten(F.transform(blocks(v), of_block))
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.coalesce(listed, F.array().cast("array<string>")))
+
+
+def _cut_value(value: Column, cap: Column) -> Column:
+    text = V.string_at(value, "$")
+    return F.when(text.isNotNull(), V.json_string(T.head_tail_excerpt(text, cap))).otherwise(F.to_json(value))
+
+
+def _cut_object(value: Column, cap: Column, keys: list[str] | None = None) -> Column:
+    """An object with the strings under `keys` (all, if None) cut, and those of an `input` in it."""
+
+    def one(item: Column) -> Column:
+        name, x = item["key"], item["value"]
+        cut = _cut_value(x, cap)
+        if keys is not None:
+            within = F.when((name == "input") & V.kind(x).startswith("OBJECT"), _cut_object(x, cap)).otherwise(F.to_json(x))
+            cut = F.when(name.isin(keys), cut).otherwise(within)
+        return F.concat(V.json_string(name), F.lit(":"), cut)
+
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, one), ","), F.lit("}"))
+
+
+def _cut_block(b: Column, cap: Column) -> Column:
+    kind = V.string_at(b, "$.type")
+    given = V.at(b, "$.input")
+    return (
+        F.when(kind == "text", _object(F.lit('"type":"text"'), _part("text", _cut_value(V.at(b, "$.text"), cap))))
+        .when(
+            kind == "tool_result",
+            _object(
+                F.lit('"type":"tool_result"'), _part("is_error", _json_at(b, "$.is_error")),
+                _part("tool_use_id", _json_at(b, "$.tool_use_id")), _part("content", _cut_value(V.at(b, "$.content"), cap)),
+            ),
+        )
+        .when(
+            kind == "tool_use",
+            _object(
+                F.lit('"type":"tool_use"'), _part("id", _json_at(b, "$.id")), _part("name", _json_at(b, "$.name")),
+                _part("input", F.when(V.kind(given).startswith("OBJECT"), _cut_object(given, cap)).otherwise(F.to_json(given))),
+            ),
+        )
+        .otherwise(_cut_object(b, cap, ["text", "content"]))
+    )
+
+
+def cut_entry(v: Column, cap: Column) -> Column:
+    """JSON text of a trimmed entry, every text cut to `cap` characters."""
+    listed = F.concat(F.lit("["), F.array_join(F.transform(blocks(v), lambda b: _cut_block(b, cap)), ","), F.lit("]"))
+    content = F.when(V.string_at(v, CONTENT).isNotNull(), _cut_value(V.at(v, CONTENT), cap)).otherwise(listed)
+    message = F.when(
+        V.kind(V.at(v, "$.message")).startswith("OBJECT"),
+        _object(_part("role", _json_at(v, "$.message.role")), _part("content", content)),
+    )
+    return _object(
+        _part("type", F.coalesce(_json_at(v, "$.type"), F.lit("null"))), _part("isMeta", _json_at(v, "$.isMeta")),
+        _part("message", message), _part("toolDenialKind", _json_at(v, "$.toolDenialKind")),
+    )
+
+
 def note(content: Column) -> Column:
     """JSON text of an entry that stands for something left out."""
     return F.concat(

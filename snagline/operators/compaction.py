@@ -8,23 +8,22 @@ in one task, whatever its size.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snagline import fixed
 from snagline.functions import entries as E
-from snagline.functions import excerpt as X
+from snagline.functions import text as T
+from snagline.functions import variants as V
+from snagline.functions.settle import settle
 from snagline.operators import ordered
 from snagline.operators import sessions as S
 from snagline.session import cut_lineage, scratch_path
 
 # Bisection steps answered by one pass over the lines.
-STEPS = 6
+STEPS = 4
 
 
 def line_bytes(line: Column) -> Column:
@@ -81,41 +80,40 @@ def stage2(lines: DataFrame) -> DataFrame:
     return elide_runs(neighborhood_keep(lines))
 
 
-def _mids(lo: int, hi: int, steps: int) -> list[int]:
+def _asked(lo: Column, hi: Column, steps: int) -> Column:
     """Caps the next `steps` bisection steps can ask for, parents before children."""
-    nodes = [(lo, hi)]
-    out = []
-    for i in range(2**steps - 1):
-        a, b = nodes[i]
-        mid = (a + b + 1) // 2 if a < b else a
-        out.append(mid)
-        nodes += [(a, max(mid - 1, a)), (mid, b)] if a < b else [(a, b), (a, b)]
-    return out
-
-
-def _sums_per_session(steps: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for (session, lo, hi), part in pdf.groupby(["session", "lo", "hi"], sort=False):
-                caps = np.array(_mids(int(lo), int(hi), steps), dtype=np.int64)
-                total = np.zeros(len(caps), dtype=np.int64)
-                for line in part["line"]:
-                    total += X.bytes_at_caps(line, caps)
-                rows.append((session, total.tolist()))
-            yield pd.DataFrame(rows, columns=["session", "sums"])
-
-    return run
+    span = lambda a, b: F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
+    start = F.struct(F.array(span(lo, hi)).alias("nodes"), F.array().cast("array<bigint>").alias("caps"))
+
+    def grow(acc: Column, i: Column) -> Column:
+        a, b = F.get(acc["nodes"], i)["a"], F.get(acc["nodes"], i)["b"]
+        mid = F.when(a < b, F.floor((a + b + 1) / 2)).otherwise(a)
+        low = F.when(a < b, F.greatest(mid - 1, a)).otherwise(b)
+        return F.struct(
+            F.concat(acc["nodes"], F.array(span(a, low), span(mid, b))).alias("nodes"),
+            F.array_append(acc["caps"], mid.cast("bigint")).alias("caps"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(2**steps - 2)), start, grow, lambda acc: acc["caps"])
+
+
+def written_bytes(text: Column) -> Column:
+    """Bytes of a text inside a JSON string."""
+    return (F.octet_length(V.json_string(text)) - 2).cast("bigint")
 
 
 def _step(lines: DataFrame, state: DataFrame, budget: int, steps: int) -> DataFrame:
-    """Advance every session's bisection by `steps` steps."""
+    """Advance every session's bisection by `steps` steps.
+
+    `lines`: session, texts; `state`: session, lo, hi, bare.
+    """
+    asked = state.select("session", "bare", _asked(F.col("lo"), F.col("hi"), steps).alias("caps"))
+    text = F.col("text")
     sums = (
-        lines.join(state, "session")
-        .select("session", "line", "lo", "hi")
-        .mapInPandas(_sums_per_session(steps), "session string, sums array<long>")
-        .select("session", F.posexplode("sums").alias("node", "n"))
+        lines.select("session", F.explode("texts").alias("text")).join(asked, "session")
+        .select("session", F.posexplode(F.transform("caps", lambda c: written_bytes(T.head_tail_excerpt(text, c.cast("int"))))).alias("node", "n"))
         .groupBy("session", "node").agg(F.sum("n").alias("n"))
+        .join(state.select("session", "bare"), "session").select("session", "node", (F.col("n") + F.col("bare")).alias("n"))
         # As many rows per session as the pass asked caps for.
         .groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("node", "n"))).alias("sums"))
     )
@@ -123,7 +121,8 @@ def _step(lines: DataFrame, state: DataFrame, budget: int, steps: int) -> DataFr
     def walk(acc: Column, _: Column) -> Column:
         lo, hi, node = acc["lo"], acc["hi"], acc["node"]
         mid = F.floor((lo + hi + 1) / 2)
-        fits = F.col("sums")[node] <= budget
+        # A session without texts is as long at any cap.
+        fits = F.coalesce(F.col("sums")[node], F.col("bare")) <= budget
         live = lo < hi
         return F.struct(
             F.when(live & fits, mid).otherwise(lo).cast("bigint").alias("lo"),
@@ -137,30 +136,17 @@ def _step(lines: DataFrame, state: DataFrame, budget: int, steps: int) -> DataFr
     )
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, walk)
     return (
-        state.join(sums, "session").select("session", found.alias("s"))
-        .select("session", "s.lo", "s.hi")
+        state.join(sums, "session", "left").select("session", "bare", found.alias("s"))
+        .select("session", "s.lo", "s.hi", "bare")
     )
 
 
 def _measured(lines: DataFrame) -> DataFrame:
-    """Longest field, and bytes with every field emptied, per session."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        zero = np.array([0], dtype=np.int64)
-        for pdf in batches:
-            yield pd.DataFrame(
-                {
-                    "session": pdf["session"],
-                    "longest": [X.longest_field(t) for t in pdf["line"]],
-                    "bare": [int(X.bytes_at_caps(t, zero)[0]) for t in pdf["line"]],
-                }
-            )
-
-    return (
-        lines.select("session", "line")
-        .mapInPandas(run, "session string, longest long, bare long")
-        .groupBy("session")
-        .agg(F.max("longest").alias("hi"), F.sum("bare").alias("bare"))
+    """Longest text, and bytes with every text emptied, per session."""
+    texts = F.aggregate("texts", F.lit(0).cast("bigint"), lambda n, x: n + written_bytes(x))
+    return lines.groupBy("session").agg(
+        F.max(F.coalesce(F.array_max(F.transform("texts", lambda x: F.length(x).cast("bigint"))), F.lit(0))).alias("hi"),
+        F.sum(line_bytes(F.col("line")) - texts).alias("bare"),
     )
 
 
@@ -171,7 +157,7 @@ def largest_cap(lines: DataFrame, hi: DataFrame, budget: int, steps: int = STEPS
     the result: each pass adds up the sizes at every cap the next steps could ask
     for, then all sessions take those steps.
     """
-    state = cut_lineage(hi.select("session", F.lit(0).cast("bigint").alias("lo"), F.col("hi").cast("bigint")))
+    state = cut_lineage(hi.select("session", F.lit(0).cast("bigint").alias("lo"), F.col("hi").cast("bigint"), "bare"))
     longest = state.agg(F.max("hi")).first()[0] or 0
     for _ in range(math.ceil(int(longest).bit_length() / steps)):
         state = cut_lineage(_step(lines, state, budget, steps))
@@ -179,12 +165,8 @@ def largest_cap(lines: DataFrame, hi: DataFrame, budget: int, steps: int = STEPS
 
 
 def _cut(lines: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["line"] = [X.cut_line(t, int(c)) for t, c in zip(pdf["line"], pdf["cap"])]
-            yield pdf[["session", "seq", "line"]]
-
-    return lines.mapInPandas(run, "session string, seq long, line string")
+    cut = E.cut_entry(F.col("v"), F.col("cap").cast("int"))
+    return settle(lines, {"v": F.parse_json("line")}).select("session", "seq", cut.alias("line"))
 
 
 #: Lines of a session that one fold of the greedy budget goes over.
@@ -242,8 +224,12 @@ def greedy_budget(lines: DataFrame, budget: int, rows: int = GREEDY_CHUNK) -> Da
 
 
 def stage3(lines: DataFrame, budget: int, steps: int = STEPS) -> DataFrame:
-    """Every text cut to one cap per session; the largest the search finds."""
-    lines = cut_lineage(lines.select("session", F.col("seq").cast("bigint").alias("seq"), "line"))
+    """Every text cut to one cap per session; the largest the search finds.
+
+    `lines` are as `stage1` writes them.  Their texts are read once.
+    """
+    parsed = settle(lines.select("session", F.col("seq").cast("bigint").alias("seq"), "line"), {"v": F.parse_json("line")})
+    lines = cut_lineage(parsed.select("session", "seq", "line", E.text_fields(F.col("v")).alias("texts")))
     measured = cut_lineage(_measured(lines))
     fits = measured.filter(F.col("bare") <= budget)
     caps = largest_cap(lines.join(fits.select("session"), "session", "left_semi"), fits, budget, steps)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from snagline import fixed
 from snagline.functions import entries as E
 from snagline.functions import text as T
 from snagline.operators import compaction as K
@@ -372,11 +373,85 @@ def compact(spark, d):
     return K.compact(vw.transcript_entries(spark, d), vw.conversation_anchors(spark, d), _BUDGET)
 
 
-@query("compact_stage3")
+_CAP_STEPS = 20
+_STAGE3_BUDGET = 1200
+_MARK = fixed.TRUNCATION_MARKER
+
+
+def _excerpt_sql(text: str, cap: str) -> str:
+    """Head, marker and tail of a text within a cap."""
+    room = f"({cap} - {len(_MARK)})"
+    head = f"(({room} + 1) // 2)"
+    return (
+        f"(CASE WHEN {cap} <= 0 THEN '' WHEN length({text}) <= {cap} THEN {text} WHEN {room} <= 0 THEN left('{_MARK}', {cap}) "
+        f"ELSE left({text}, {head}) || '{_MARK}' || CASE WHEN {room} - {head} > 0 THEN right({text}, {room} - {head}) ELSE '' END END)"
+    )
+
+
+def _written_sql(text: str) -> str:
+    return f"(strlen(CAST(to_json({text}) AS VARCHAR)) - 2)"
+
+
+def _search_sql(budget: int, lines: str, out: str) -> str:
+    """The search for the largest cap per session over `lines` (session, seq, texts, line), and the cut lines.
+
+    A fixed number of halvings, more than any text has bits. A cut line is the line
+    with each text in its place between the pieces around it (`parts`).
+    """
+    steps = [f"""{out}_fields AS (SELECT session, seq, unnest(texts) AS t FROM {lines}),
+{out}_bare AS (
+  SELECT l.session, CAST(sum(strlen(line) + 1 - coalesce(b, 0)) AS BIGINT) AS bare FROM {lines} l
+  LEFT JOIN (SELECT session, seq, sum({_written_sql('t')}) AS b FROM {out}_fields GROUP BY 1, 2) f ON f.session = l.session AND f.seq = l.seq GROUP BY 1),
+{out}_0 AS (
+  SELECT b.session, bare, 0 AS lo, coalesce(max(length(t)), 0) AS hi FROM {out}_bare b LEFT JOIN {out}_fields f ON f.session = b.session
+  WHERE bare <= {budget} GROUP BY 1, 2)"""]
+    for k in range(_CAP_STEPS):
+        steps.append(f"""{out}_{k + 1} AS (
+  SELECT session, bare, CASE WHEN lo < hi AND fits THEN mid ELSE lo END AS lo, CASE WHEN lo < hi AND NOT fits THEN mid - 1 ELSE hi END AS hi FROM (
+    SELECT s.session, bare, lo, hi, (lo + hi + 1) // 2 AS mid,
+      bare + coalesce(sum({_written_sql(_excerpt_sql('t', '((lo + hi + 1) // 2)'))}), 0) <= {budget} AS fits
+    FROM {out}_{k} s LEFT JOIN {out}_fields f ON f.session = s.session GROUP BY s.session, bare, lo, hi))""")
+    cut = _excerpt_sql("t", "cap")
+    steps.append(f"""{out}_caps AS (
+  SELECT session, lo AS cap, true AS whole FROM {out}_{_CAP_STEPS} UNION ALL SELECT session, 0, false FROM {out}_bare WHERE bare > {budget}),
+{out}_cut AS (
+  SELECT l.session, l.seq, c.whole, parts[1] || coalesce(list_aggregate(list_transform(range(1, len(texts) + 1), lambda i:
+    to_json({cut.replace('length(t)', 'length(texts[i])').replace('left(t,', 'left(texts[i],').replace('right(t,', 'right(texts[i],').replace('THEN t ', 'THEN texts[i] ')}) || parts[i + 1]), 'string_agg', ''), '') AS line
+  FROM {lines} l JOIN {out}_caps c ON c.session = l.session),
+{out}_ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS nth FROM {out}_cut WHERE NOT whole),
+{out}_walk AS (
+  SELECT session, seq, line, nth, CASE WHEN strlen(line) + 1 <= {budget} THEN strlen(line) + 1 ELSE 0 END AS used, strlen(line) + 1 <= {budget} AS kept
+  FROM {out}_ranked WHERE nth = 1
+  UNION ALL
+  SELECT r.session, r.seq, r.line, r.nth, CASE WHEN w.used + strlen(r.line) + 1 <= {budget} THEN w.used + strlen(r.line) + 1 ELSE w.used END,
+    w.used + strlen(r.line) + 1 <= {budget} FROM {out}_walk w JOIN {out}_ranked r ON r.session = w.session AND r.nth = w.nth + 1),
+{out} AS (SELECT session, seq, line FROM {out}_cut WHERE whole UNION ALL SELECT session, seq, line FROM {out}_walk WHERE kept)""")
+    return ",\n".join(steps)
+
+
+# The lines of stage 1 with their texts, and the pieces between these.
+_PIECES = """pieces AS (
+  SELECT s.session, s.seq, s.line, CASE WHEN e.role = 'assistant' THEN [e.text, CASE WHEN length(e.text) > 200
+      THEN e.text[1:200] || '[command: ' || strlen(e.text) || ' bytes elided]' ELSE e.text END] ELSE [e.text] END AS texts,
+    CASE WHEN s.n_errors > 0 THEN ['{"type":"user","message":{"role":"user","content":[{"type":"tool_result","is_error":true,"tool_use_id":"tu_'
+        || s.session || '_' || s.seq || '","content":', '}]}}']
+      WHEN e.role = 'user' AND length(e.text) % 2 = 1 THEN ['{"type":"user","message":{"role":"user","content":[{"type":"text","text":', '}]}}']
+      WHEN e.role = 'user' THEN ['{"type":"user","message":{"role":"user","content":', '}}']
+      WHEN e.role = 'assistant' THEN ['{"type":"assistant","message":{"role":"assistant","content":[{"type":"text","text":',
+        '},{"type":"tool_use","id":"tu_' || s.session || '_' || (s.seq + 1) || '","name":"' || CASE WHEN s.seq % 4 = 1 THEN 'Bash' ELSE 'Edit' END || '","input":{"command":',
+        ',"n":' || s.seq || '}}]}}']
+      ELSE ['{"type":"system","message":{"role":"system","content":', '},"toolDenialKind":"user"}'] END AS parts
+  FROM stage1 s JOIN entries e ON e.session = s.session AND e.seq = s.seq)"""
+
+
+@query(
+    "compact_stage3",
+    "WITH RECURSIVE " + ",\n".join((vw.ENTRIES, _STAGE1, _PIECES, _search_sql(_STAGE3_BUDGET, "pieces", "found"))) + " SELECT session, seq, line FROM found",
+)
 def compact_stage3(spark, d):
     """The largest cap per session that the search finds."""
     lines = K.stage1(vw.transcript_entries(spark, d)).select("session", "seq", "line")
-    return K.stage3(lines, 1200)
+    return K.stage3(lines, _STAGE3_BUDGET)
 
 
 _GREEDY_BUDGET = 1500

@@ -1,16 +1,55 @@
 import json
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from snagline import fixed
-from snagline.functions import excerpt as X
+from snagline.functions import entries as E
 from snagline.functions import text as T
 from snagline.operators import compaction as K
 from tests.test_sessions import call, result, transcripts, user
 
 
+class X:
+    """The plain form of what is cut, for lines as stage 1 writes them."""
+
+    @staticmethod
+    def dump(entry):
+        return json.dumps(entry, ensure_ascii=False, separators=(",", ":"))
+
+    @staticmethod
+    def excerpt(s, cap):
+        mark = fixed.TRUNCATION_MARKER
+        if len(s) <= cap:
+            return s
+        room = cap - len(mark)
+        return mark[:cap] if room <= 0 else s[: room - room // 2] + mark + (s[-(room // 2):] if room // 2 else "")
+
+    @staticmethod
+    def walk(line, change):
+        """The line with every text passed through `change`."""
+        entry = json.loads(line)
+        message = entry.get("message", {})
+        if isinstance(message.get("content"), str):
+            message["content"] = change(message["content"])
+        for block in message.get("content", []) if isinstance(message.get("content"), list) else []:
+            for holder, keys in ((block, ["text", "content"]), (block.get("input"), block.get("input"))):
+                for k in list(keys) if isinstance(holder, dict) else []:
+                    if isinstance(holder.get(k), str):
+                        holder[k] = change(holder[k])
+        return X.dump(entry)
+
+    @staticmethod
+    def cut_line(line, cap):
+        return X.walk(line, lambda s: X.excerpt(s, cap))
+
+    @staticmethod
+    def longest_field(line):
+        found = [0]
+        X.walk(line, lambda s: found.append(len(s)) or s)
+        return max(found)
+
+
 def size(line):
     return len(line.encode()) + 1
 
@@ -70,18 +109,21 @@ def random_line(rng):
         return X.dump(user(text(120)))
     if kind == 1:
         return X.dump({"type": "assistant", "message": {"content": [
-            {"type": "text", "text": text(90)}, {"type": "tool_use", "input": {"a": text(60), "n": 3, "b": text(5)}}]}})
+            {"type": "text", "text": text(90)}, {"type": "tool_use", "input": {"a": text(60), "b": text(5), "n": 3}}]}})
     if kind == 2:
-        return X.dump(user([{"type": "tool_result", "is_error": True, "content": text(80)}, {"type": "odd", "content": [1], "text": text(9)}]))
-    return X.dump({"type": "summary", "extra": text(3)})
+        return X.dump(user([{"type": "tool_result", "is_error": True, "content": text(80)}, {"content": [1], "text": text(9), "type": "odd"}]))
+    return X.dump({"type": "summary"})
 
 
-def test_sizes_by_cap_are_the_real_sizes():
+def test_cut_lines_and_sizes_for_every_cap(spark):
     rng = random.Random(5)
-    caps = np.arange(0, 130)
-    for _ in range(60):
-        line = random_line(rng)
-        assert X.bytes_at_caps(line, caps).tolist() == [size(X.cut_line(line, int(c))) for c in caps]
+    lines = [random_line(rng) for _ in range(60)]
+    df = spark.createDataFrame([(t,) for t in lines], "line string").withColumn("v", F.parse_json("line"))
+    rows = df.select("line", F.explode(F.sequence(F.lit(0), F.lit(129))).alias("cap"), "v").select(
+        "line", "cap", E.cut_entry(F.col("v"), F.col("cap")).alias("cut"),
+        F.expr("1").alias("one"), E.text_fields(F.col("v")).alias("texts")).collect()
+    assert all(r.cut == X.cut_line(r.line, r.cap) for r in rows)
+    assert all(max([0, *map(len, r.texts)]) == X.longest_field(r.line) for r in rows if r.cap == 0)
 
 
 def greedy(lines, budget):
