@@ -367,12 +367,6 @@ def compact_stage2(spark, d):
     return K.stage2(lines.join(over, "session", "left_semi"))
 
 
-@query("compact")
-def compact(spark, d):
-    """Every session within the budget, whatever stage that takes."""
-    return K.compact(vw.transcript_entries(spark, d), vw.conversation_anchors(spark, d), _BUDGET)
-
-
 _CAP_STEPS = 20
 _STAGE3_BUDGET = 1200
 _MARK = fixed.TRUNCATION_MARKER
@@ -454,6 +448,34 @@ def compact_stage3(spark, d):
     return K.stage3(lines, _STAGE3_BUDGET)
 
 
+_WHOLE = f"""sized AS (SELECT session, sum(strlen(line) + 1) AS n FROM stage1 GROUP BY 1),
+hits AS (SELECT session, seq FROM id_hits UNION SELECT session, seq FROM nth_hits),
+marked AS (
+  SELECT s.session, s.seq, line, max(CAST(is_human = 1 OR n_errors > 0 OR is_denial = 1 OR h.seq IS NOT NULL AS INT)) OVER (
+    PARTITION BY s.session ORDER BY s.seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS keep
+  FROM stage1 s JOIN sized z ON z.session = s.session AND n > {_BUDGET} LEFT JOIN hits h ON h.session = s.session AND h.seq = s.seq)"""
+_STILL = f"""elided_sizes AS (SELECT session, sum(strlen(line) + 1) AS n FROM elided GROUP BY 1),
+still AS (
+  SELECT e.session, e.seq, e.line, coalesce(p.texts, [json_extract_string(e.line, '$.message.content')]) AS texts,
+    coalesce(p.parts, ['{{"type":"note","message":{{"role":"system","content":', '}}}}']) AS parts
+  FROM elided e JOIN elided_sizes z ON z.session = e.session AND n > {_BUDGET}
+  LEFT JOIN pieces p ON p.session = e.session AND p.seq = e.seq AND p.line = e.line)"""
+
+
+@query(
+    "compact",
+    "WITH RECURSIVE " + ",\n".join((
+        vw.ENTRIES, _STAGE1, vw.CONVERSATION_ANCHORS, _CALLS, _WHOLE, _ELIDE, _PIECES, _STILL, _search_sql(_BUDGET, "still", "cut"),
+    ))
+    + f" SELECT s.session, seq, line, 1 AS stage FROM stage1 s JOIN sized z ON z.session = s.session AND n <= {_BUDGET} "
+    f"UNION ALL SELECT e.session, seq, line, 2 FROM elided e JOIN elided_sizes z ON z.session = e.session AND n <= {_BUDGET} "
+    "UNION ALL SELECT session, seq, line, 3 FROM cut",
+)
+def compact(spark, d):
+    """Every session within the budget, whatever stage that takes."""
+    return K.compact(vw.transcript_entries(spark, d), vw.conversation_anchors(spark, d), _BUDGET)
+
+
 _GREEDY_BUDGET = 1500
 
 

@@ -27,17 +27,15 @@ def rows_of(columns, names, rows):
 
 BANNED = ["CartesianProduct", "BroadcastNestedLoopJoin"]
 PYTHON = ["BatchEvalPython", "ArrowEvalPython", "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas"]
-#: These still cut texts in Python; operators of the `llm` subpackage choose their own style.
-RUNS_PYTHON = {"compact", "compact_stage3", "compact_report"}
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, db, name):
-    """Its rows are those of its SQL; its plan holds no nested loop and no Python."""
+    """Its rows are those of its SQL; its plan holds no nested loop and, outside the `llm` subpackage, no Python."""
     df = entry.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     llm = name == "pipeline" or re.match(r"op\d+_", name)
-    assert not [b for b in BANNED + ([] if llm or name in RUNS_PYTHON else PYTHON) if b in plan]
+    assert not [b for b in BANNED + ([] if llm else PYTHON) if b in plan]
     if name not in entry.oracle_sql():
         assert df.count() > 0
         return
