@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from snagline.llm.common import settled
 from snagline.llm.components import components, labels_of
-from snagline.llm.words import in_small_batches, matched, mixed, run_hashes, shingles, split_words, word_hashes
+from snagline.llm.words import in_small_batches, matched, mixed, run_hashes, shingles, split_words, word_cache, word_hashes
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -57,6 +57,7 @@ def _sets(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    word_cache()
     for batch in batches:
         out = []
         for doc_id, no_id, text in zip(batch["doc_id"], batch["no_id"], batch["text"]):
@@ -112,6 +113,7 @@ def _candidates(signed: DataFrame) -> DataFrame:
 
 
 def _set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    word_cache()
     for batch in batches:
         batch = batch.assign(shingles=[_sets(t)[1].tobytes() for t in batch["text"]])
         yield batch[["doc_id", "group", "block", "blocks", "shingles"]]
@@ -200,11 +202,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     placed = settled(
         groups.join(settled(sizes, "sizes"), "component").select(
             F.col("node").alias("doc_id"), F.col("component").alias("group"), "blocks",
-            F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.xxhash64("node").alias("h"),
+            F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
         ),
         "placed",
     )
-    near = matched(rows.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")), placed, ["doc_id", "h"], "h")
+    near = matched(rows.where("doc_id IS NOT NULL"), placed, ["doc_id"])
     sets = near.select("doc_id", "text", "group", "block", "blocks").mapInPandas(
         _set_rows, "doc_id long, group long, block int, blocks int, shingles binary"
     )

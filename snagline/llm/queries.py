@@ -147,7 +147,7 @@ FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """)
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words inside twenty-word windows that stand somewhere before."""
-    return cut_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return cut_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
 
 
 @_query("op8_toxicity")
