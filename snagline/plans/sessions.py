@@ -497,17 +497,18 @@ def greedy_budget(spark, d):
 
 @query(
     "compact_report",
-    _with(vw.ENTRIES, _STAGE1, _STAGE2, _ELIDE)
-    + f"""SELECT z.session, CAST(z.n AS BIGINT) AS stage1_bytes,
-      CAST(CASE WHEN z.n <= {_BUDGET} THEN 1 WHEN e.n <= {_BUDGET} THEN 2 ELSE 3 END AS BIGINT) AS stage, CAST(1 AS BIGINT) AS within_budget
-    FROM sized z LEFT JOIN (SELECT session, sum(strlen(line) + 1) AS n FROM elided GROUP BY 1) e USING (session)""",
+    "WITH RECURSIVE " + ",\n".join((
+        vw.ENTRIES, vw.RAW_LINES, _STAGE1, _STAGE2, _ELIDE, _PIECES, _STILL, _search_sql(_BUDGET, "still", "cut"),
+    ))
+    + f""", whole AS (
+      SELECT s.session, line, 1 AS stage FROM stage1 s JOIN sized z ON z.session = s.session AND n <= {_BUDGET}
+      UNION ALL SELECT e.session, line, 2 FROM elided e JOIN elided_sizes z ON z.session = e.session AND n <= {_BUDGET}
+      UNION ALL SELECT session, line, 3 FROM cut),
+    after AS (SELECT session, CAST(max(stage) AS BIGINT) AS stage, CAST(sum(strlen(line) + 1) AS BIGINT) AS n FROM whole GROUP BY 1)
+    SELECT b.session, CAST(b.n AS BIGINT) AS bytes_before, coalesce(a.stage, 3) AS stage, coalesce(a.n, 0) AS bytes_after
+    FROM (SELECT session, sum(strlen(raw) + 1) AS n FROM raw_lines GROUP BY 1) b LEFT JOIN after a ON a.session = b.session""",
 )
 def compact_report(spark, d):
-    """Stage reached and size per session."""
+    """Stage reached and bytes before and after, per session."""
     entries = vw.transcript_entries(spark, d)
-    report = K.compact_report(entries, K.compact(entries, None, _BUDGET))
-    before = K.transcript_bytes(K.stage1(entries), out="stage1_bytes")
-    return report.join(before, "session").select(
-        "session", "stage1_bytes", "stage",
-        (F.col("bytes_after") <= _BUDGET).cast("bigint").alias("within_budget"),
-    )
+    return K.compact_report(entries, K.compact(entries, None, _BUDGET)).select("session", "bytes_before", "stage", "bytes_after")
