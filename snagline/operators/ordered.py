@@ -56,6 +56,28 @@ def rank_in_group(
     )
 
 
+def running_counts(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], chunk: Column, counts: dict[str, Column]
+) -> DataFrame:
+    """Several counts from the start of the group up to and with this row, in one pass.
+
+    `counts`: out column -> the condition a row must meet.
+    """
+    flags = {f"_c{i}": F.coalesce(c, F.lit(False)).cast("bigint") for i, c in enumerate(counts.values())}
+    cut = df.withColumns({"_chunk": chunk, **flags})
+    w = W.partitionBy(*key).orderBy("_chunk").rowsBetween(*_BEFORE)
+    before = cut.groupBy(*key, "_chunk").agg(*[F.sum(c).alias(c) for c in flags]).select(
+        *key, "_chunk", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_b{c}") for c in flags]
+    )
+    local = W.partitionBy(*key, "_chunk").orderBy(*order).rowsBetween(*_UP_TO)
+    return (
+        cut.withColumns({f"_l{c}": F.sum(c).over(local) for c in flags})
+        .join(before, [*key, "_chunk"])
+        .withColumns({out: F.col(f"_b{c}") + F.col(f"_l{c}") for out, c in zip(counts, flags)})
+        .drop("_chunk", *[f"{p}{c}" for c in flags for p in ("", "_b", "_l")])
+    )
+
+
 def running_total(
     df: DataFrame, key: Sequence[str], order: str, chunk: Column, value: Column, out: str
 ) -> DataFrame:

@@ -38,7 +38,16 @@ def as_entries(lines: DataFrame) -> DataFrame:
 
 
 def scan_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    return as_entries(_numbered(spark, path))
+    """The entries of every transcript file, as in `as_entries`; line and place are counted in one pass."""
+    lines = scan_lines(spark, path).withColumn("session", session_of(F.col("file")))
+    filled = F.col("value") != ""
+    counted = ordered.running_counts(
+        lines, ["session"], ["mid"], F.col("block"), {"_line": F.lit(True), "_place": filled}
+    )
+    placed = counted.filter(filled).select(
+        "session", (F.col("_place") - 1).alias("seq"), (F.col("_line") - 1).alias("line_no"), F.col("value").alias("raw")
+    )
+    return settle(placed, {"entry": V.parse_object(F.col("raw"))})
 
 
 def transcript_files(spark: SparkSession, path: str) -> DataFrame:
