@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from snagline import fixed
 from snagline.functions import variants as V
 from snagline.operators import sessions as S
 from snagline.functions.settle import settle
-from snagline.streaming.tables import read_batches, write_batch
+from snagline.session import cut_lineage
+from snagline.streaming.tables import read_state, write_batch, write_state
 
 ANCHOR_SCHEMA = "session string, pos long, kind string, ts timestamp"
 DIGEST_SCHEMA = "session string, digest string"
@@ -29,10 +32,12 @@ def cap_batch(
     """Keep each session's first `cap` anchors over all batches.
 
     The batch is cut to `cap` rows per session before anything is shuffled, so a
-    session that floods the stream costs no more than any other.  `since` lets
-    anchors older than the retention fall out of the count.
+    session that floods the stream costs no more than any other.  What was kept is
+    read from the state of the batch before, `cap` rows of a session at most; `since`
+    lets anchors older than the retention fall out of it and of the count.
     """
-    kept = read_batches(batch.sparkSession, path, ANCHOR_SCHEMA, before=batch_id)
+    state = f"{path.rstrip('/')}-state"
+    kept = read_state(batch.sparkSession, state, ANCHOR_SCHEMA, batch_id)
     if since is not None:
         kept = kept.filter(F.col("ts").isNull() | (F.col("ts") >= since))
     have = kept.groupBy("session").agg(F.count(F.lit(1)).alias("_have"))
@@ -42,12 +47,18 @@ def cap_batch(
     room = first.withColumn("_place", place).join(have, "session", "left").filter(
         F.col("_place") + F.coalesce("_have", F.lit(0)) <= cap
     )
-    write_batch(room.select("session", "pos", "kind", "ts"), path, batch_id)
+    room = cut_lineage(room.select("session", "pos", "kind", "ts"))
+    write_batch(room, path, batch_id)
+    write_state(kept.unionByName(room), state, batch_id)
 
 
-def stream_cap(anchors: DataFrame, path: str, checkpoint: str, cap: int = fixed.ANCHOR_CAP) -> StreamingQuery:
+def stream_cap(
+    anchors: DataFrame, path: str, checkpoint: str, cap: int = fixed.ANCHOR_CAP,
+    since: Callable[[], Column] | None = None,
+) -> StreamingQuery:
+    """`since`: called in every batch, the oldest time that still counts."""
     return (
-        anchors.writeStream.foreachBatch(lambda b, i: cap_batch(b, i, path, cap))
+        anchors.writeStream.foreachBatch(lambda b, i: cap_batch(b, i, path, cap, since() if since else None))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
@@ -73,9 +84,9 @@ def late_batch(batch: DataFrame, batch_id: int, late: str, marks: str, delay_sec
     mined again from the side table.  The engine's own late filter trails by one
     batch, so a row may be both counted and set aside: mining is at least once.
     """
-    spark = batch.sparkSession
-    high = read_batches(spark, marks, "high timestamp", before=batch_id).agg(F.max("high")).first()[0]
-    write_batch(batch.agg(F.max("ts").alias("high")), marks, batch_id)
+    before = read_state(batch.sparkSession, marks, "high timestamp", batch_id)
+    high = before.agg(F.max("high")).first()[0]
+    write_state(before.unionByName(batch.agg(F.max("ts").alias("high"))).agg(F.max("high").alias("high")), marks, batch_id)
     if high is None:
         rows = batch.limit(0)
     else:
@@ -97,14 +108,16 @@ def unchanged_batch(batch: DataFrame, batch_id: int, changed: str) -> None:
     """Pass on sessions whose latest content differs from what was last passed on.
 
     `batch`: session, pos, digest.  Only the last hash of a session counts, so
-    content that goes back to an older form is worked on again.
+    content that goes back to an older form is worked on again.  The state is one
+    hash per session.
     """
-    stored = (
-        read_batches(batch.sparkSession, changed, DIGEST_SCHEMA, before=batch_id)
-        .groupBy("session").agg(F.max_by("digest", "batch").alias("stored"))
-    )
+    state = f"{changed.rstrip('/')}-state"
+    known = read_state(batch.sparkSession, state, DIGEST_SCHEMA, batch_id)
     latest = batch.groupBy("session").agg(F.max_by("digest", "pos").alias("digest"))
-    write_batch(S.changed_sessions(latest, stored).select("session", "digest"), changed, batch_id)
+    new = S.changed_sessions(latest, known.withColumnRenamed("digest", "stored")).select("session", "digest")
+    new = cut_lineage(new)
+    write_batch(new, changed, batch_id)
+    write_state(known.join(new, "session", "left_anti").unionByName(new), state, batch_id)
 
 
 def stream_unchanged_skip(deliveries: DataFrame, changed: str, checkpoint: str) -> StreamingQuery:

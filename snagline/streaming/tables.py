@@ -21,3 +21,28 @@ def read_batches(spark: SparkSession, path: str, schema: str, before: int | None
         return spark.createDataFrame([], full)
     rows = spark.read.schema(full).parquet(path)
     return rows if before is None else rows.filter(F.col("batch") < before)
+
+
+def _states(spark: SparkSession, path: str) -> tuple:
+    """The file system, and the folder of each batch that left a state."""
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = new(f"{path.rstrip('/')}/after=*")
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, {int(f.getPath().getName().removeprefix("after=")): f.getPath() for f in fs.globStatus(root) or ()}
+
+
+def read_state(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
+    """What the last batch before this one left: as large as what is alive, however many batches there were."""
+    _, found = _states(spark, path)
+    last = max((n for n in found if n < before), default=None)
+    if last is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(found[last].toString())
+
+
+def write_state(rows: DataFrame, path: str, batch_id: int) -> None:
+    """The state after this batch; the one before it stays for a retry, older ones go."""
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/after={batch_id}")
+    fs, found = _states(rows.sparkSession, path)
+    for n in sorted(n for n in found if n < batch_id)[:-1]:
+        fs.delete(found[n], True)

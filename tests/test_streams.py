@@ -55,6 +55,14 @@ def test_cap_over_batches_and_retries(spark, tmp_path):
     assert sorted(r.pos for r in third) == [60, 61]
 
 
+def test_state_is_as_large_as_what_is_alive(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for n in range(4):
+        assert [r.n for r in tables.read_state(spark, path, "n long", n).collect()] == ([n - 1] if n else [])
+        tables.write_state(spark.range(n, n + 1).toDF("n"), path, n)
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if p.is_dir()) == ["after=2", "after=3"]
+
+
 DAY = 86400
 
 
