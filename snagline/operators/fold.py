@@ -59,18 +59,34 @@ def _present(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [n for n in names if n in df.columns]
 
 
-def paired(df: DataFrame, order: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """(key, report, resolution, first_resolution): one row per id seen anywhere."""
+def _kinds() -> tuple[Column, Column]:
     is_report = (F.col("rtype") == fixed.REPORT) & F.col("id").isNotNull()
     is_resolution = (F.col("rtype") == fixed.RESOLUTION) & F.col("resolves").isNotNull()
+    return tuple(F.coalesce(c, F.lit(False)) for c in (is_report, is_resolution))
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """Records under the id they report or resolve."""
+    is_report, is_resolution = _kinds()
+    key = F.when(is_resolution, F.col("resolves")).when(is_report, F.col("id"))
+    return df.withColumn("key", key).filter(F.col("key").isNotNull())
+
+
+def paired(df: DataFrame, order: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """(key, reported, closed, report, resolution, first_resolution): one row per id seen anywhere.
+
+    Whoever only asks whether a report or a resolution is there takes the flags, and
+    the fields of the other are never carried.
+    """
+    is_report, is_resolution = _kinds()
     rank = F.struct(*order)
     report = F.struct(*_present(df, REPORT_FIELDS), *extra)
     resolution = F.struct(*_present(df, RESOLUTION_FIELDS))
     return (
-        df.withColumn("key", F.when(is_resolution, F.col("resolves")).when(is_report, F.col("id")))
-        .filter(F.col("key").isNotNull())
+        _keyed(df)
         .groupBy("key")
         .agg(
+            F.max(is_report).alias("reported"), F.max(is_resolution).alias("closed"),
             F.max_by(report, F.when(is_report, rank)).alias("report"),
             F.max_by(resolution, F.when(is_resolution, rank)).alias("resolution"),
             F.min_by(resolution, F.when(is_resolution, rank)).alias("first_resolution"),
@@ -82,7 +98,7 @@ def fold_open(df: DataFrame, order: Sequence[str], extra: Sequence[str] = ()) ->
     """Reports that no resolution points at, whatever a resolution's status."""
     return (
         paired(df, order, extra)
-        .filter(F.col("report").isNotNull() & F.col("resolution").isNull())
+        .filter(F.col("reported") & ~F.col("closed"))
         .select("report.*")
     )
 
@@ -91,7 +107,7 @@ def fold_resolved(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Each resolved report with the last resolution that points at it."""
     return (
         paired(df, order)
-        .filter(F.col("report").isNotNull() & F.col("resolution").isNotNull())
+        .filter(F.col("reported") & F.col("closed"))
         .select(
             "report.*",
             F.col("resolution.status").alias("status"),
@@ -104,7 +120,7 @@ def orphan_resolutions(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Resolutions that match no report: inert, but worth a look."""
     return (
         paired(df, order)
-        .filter(F.col("report").isNull() & F.col("resolution").isNotNull())
+        .filter(~F.col("reported") & F.col("closed"))
         .select("resolution.*")
     )
 
@@ -117,10 +133,10 @@ def check_proposals(proposals: DataFrame, records: DataFrame, order: Sequence[st
     """
     known = paired(records, order).select(
         F.col("key").alias("resolves"),
-        F.col("report").isNotNull().alias("_found"),
+        F.col("reported").alias("_found"),
         F.col("first_resolution.status").alias("prior_status"),
         F.col("first_resolution.fix_url").alias("prior_url"),
-        F.col("first_resolution").isNotNull().alias("_closed"),
+        F.col("closed").alias("_closed"),
     )
     return (
         proposals.join(known, "resolves", "left")
@@ -175,8 +191,11 @@ def open_by_severity(open_set: DataFrame) -> DataFrame:
     )
 
 
-def resolved_count(resolved: DataFrame) -> DataFrame:
-    return resolved.agg(F.count(F.lit(1)).alias("n_resolved"))
+def resolved_count(records: DataFrame) -> DataFrame:
+    """How many reports a resolution points at: two flags per id, no other field."""
+    is_report, is_resolution = _kinds()
+    per = _keyed(records).groupBy("key").agg(F.max(is_report).alias("reported"), F.max(is_resolution).alias("closed"))
+    return per.agg(F.count_if(F.col("reported") & F.col("closed")).alias("n_resolved"))
 
 
 def top_open(open_set: DataFrame, k: int) -> DataFrame:

@@ -70,7 +70,7 @@ def open_by_severity(spark, d):
     _with(vw.LEDGER, vw.FOLD) + "SELECT count(*) AS n_resolved FROM reports p JOIN resolutions r ON r.resolves = p.id",
 )
 def resolved_count(spark, d):
-    return fold.resolved_count(fold.fold_resolved(vw.ledger(spark, d), ORDER))
+    return fold.resolved_count(vw.ledger(spark, d))
 
 
 @query(
