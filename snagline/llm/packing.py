@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snagline.llm.common import settled
-from snagline.llm.words import in_small_batches
+from snagline.llm.words import in_small_batches, only_cache
 
 #: Items (pieces, or open sequences of an earlier round) that one task packs at a time.
 SHARD = 20_000
@@ -74,6 +74,7 @@ _encoders: dict[str, _Encoder] = {}
 
 def _pieces(path: str, capacity: int, end: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     encode = _encoders.get(path) or _encoders.setdefault(path, _Encoder(path))
+    only_cache("stretches", encode.memo)
     last = struct.pack("<I", end)
     for batch in batches:
         out = []
