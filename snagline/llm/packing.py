@@ -25,17 +25,32 @@ LONGEST_KEPT = 64
 
 
 _POINT, _COMMA = (re.compile(rb"(?<=[a-z0-9])" + c + rb"(?=[ \n])") for c in (rb"\.", rb","))
+#: Letters and digits as "a", points and commas as ".", the blanks that may follow as " ", bytes of
+#: characters beyond Latin-1 as "y", all else as "x". Bytes of Latin-1 letters count as "a".
+_KINDS = bytes(
+    ord("a") if chr(b).isalnum() and b < 128 or 0x80 <= b < 0xC0 or b == 0xC3 else ord(".") if b in b".," else ord(" ") if b in b" \n"
+    else ord("y") if b >= 0x80 else ord("x")
+    for b in range(256)
+)
 
 
 def _stretches(text: bytes) -> list[bytes]:
     """Pieces of a text that the vocabulary's splitter parts anyway, so fewer different ones are left.
 
-    It folds case, and parts a point or comma from the letter or digit before it. Its
-    special words have one spelling, so texts that could hold them keep their case.
+    It folds case, and parts a point or comma from the letter or digit before it. Where
+    every point and comma stands after one, plain replacements do; times and division
+    signs are the only characters of two bytes with 0xC3 that are no letters. Special
+    words have one spelling, so texts that could hold them keep their case.
     """
     if b"<|" in text:
         return text.split()
-    return _COMMA.sub(b" ,", _POINT.sub(b" .", text.lower())).split()
+    text = text.lower()
+    kinds = text.translate(_KINDS)
+    if b"y" in kinds or b"x. " in kinds or b".. " in kinds or b" . " in kinds or b"\xc3\x97" in text or b"\xc3\xb7" in text:
+        return _COMMA.sub(b" ,", _POINT.sub(b" .", text)).split()
+    for mark in (b". ", b".\n", b", ", b",\n"):
+        text = text.replace(mark, b" " + mark)
+    return text.split()
 
 
 class _Encoder:
@@ -56,8 +71,8 @@ class _Encoder:
         ids = [e.ids for e in found]
         return {s: struct.pack(f"<{len(i)}I", *i) for s, i in zip(stretches, ids)}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [_stretches(t.encode()) for t in texts]
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [_stretches(t) for t in texts]
         memo = self.memo
         made = self._encode(list(set().union(*split).difference(memo)))
         full = len(memo) + len(made) > KEPT
@@ -155,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     rows = in_small_batches(docs).select(
         F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("text", F.lit("")).cast("binary").alias("text"),
     )
     pieces = rows.mapInPandas(
         partial(_pieces, tokenizer, capacity, end),
