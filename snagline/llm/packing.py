@@ -148,7 +148,7 @@ def _packed(units: DataFrame, capacity: int) -> tuple[DataFrame, int]:
     """(unit, bin, place, filled) of units (unit, length), packed in shards of bounded size, and their number."""
     shards = max(1, -(-units.count() // SHARD))
     dealt = units.select("unit", "length", F.pmod(F.xxhash64("unit"), F.lit(shards)).alias("shard"))
-    made = dealt.groupBy("shard").applyInPandas(partial(_pack, capacity), "unit long, bin long, place long, filled long")
+    made = dealt.groupBy("shard").applyInPandas(lambda f: _pack(capacity, f), "unit long, bin long, place long, filled long")
     return settled(made, "packed"), shards
 
 
