@@ -18,12 +18,15 @@ def _scratch_root(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: later steps neither repeat the work nor need lost executors."""
+def settled(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write to the shared folder and read back: later steps neither repeat the work nor need lost executors.
+
+    `by` names columns of few values, each with a folder of its own.
+    """
     spark = df.sparkSession
     token = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
     path = f"{_scratch_root(spark)}/{name}-{token}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,14 @@ DIM = 24
 BATCH = 1024
 NOISE = 32
 RATE = 0.1
+#: Rounds of training. The training texts are dealt by hash, so each is learnt in one round by one shard.
+ROUNDS = 8
+#: Tokens that a shard learns in a round, at least, unless all the tokens are fewer.
+TASK_TOKENS = 1 << 19
+#: Tokens of a longer text that are dealt together.
+PIECE = 1 << 16
+#: Parameters in a row when they are averaged.
+BLOCK = 4096
 #: Tokens counted, or scored, at a time.
 CHUNK = 2_000_000
 SLICE = 65_536
@@ -172,14 +181,23 @@ class Trainer:
     frequencies, which a batch shares, so scores come from matrix products.
     """
 
-    def __init__(self, unigram: np.ndarray, seed: int):
+    def __init__(self, unigram: np.ndarray, seed: list[int], state: np.ndarray | None = None):
         self.p = _start() | {"bias": np.log(unigram).astype(np.float32)[:, None]}
         self.square = {k: np.full_like(v, 1e-2) for k, v in self.p.items()}
+        at = 0
+        for held in (self.p, self.square) if state is not None else ():
+            for k in held:
+                held[k] = state[at : at + held[k].size].reshape(held[k].shape).copy()
+                at += held[k].size
         self.log_noise = np.log(NOISE * unigram).astype(np.float32)
         self.unigram = np.cumsum(unigram)
         self.rng = np.random.default_rng(seed)
         self.tokens = 0
 
+    def state(self) -> np.ndarray:
+        """Parameters and step sizes, one after another."""
+        return np.concatenate([v.ravel() for held in (self.p, self.square) for v in held.values()])
+
     def learn(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         order = self.rng.permutation(len(target))
         for lo in range(0, len(order), BATCH):
@@ -206,31 +224,76 @@ class Trainer:
             p[key] += RATE * d * np.sqrt(n) / np.sqrt(self.square[key])
 
 
-def train(rows: DataFrame, vocabulary_, unigram: np.ndarray) -> dict[str, np.ndarray]:
-    """Every task trains on its own texts from one start; parameters are averaged by Spark, weighted by tokens."""
-    keys = ["one", "two", "out", "bias"]
+def _deal(vocabulary_, slots: int):
+    """Texts as classes, each with its hash, round and shard; two classes stand before the targets of a row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         only_cache("names", _names)
         words = vocabulary_.value
-        trainer = Trainer(unigram, 7)
         for batch in batches:
+            if not len(batch):
+                continue
             names, sizes = _named(batch["text"])
-            if len(sizes):
-                trainer.learn(*_contexts(words.classes_of(names), sizes)[:3])
-        if trainer.tokens:
-            flat = np.concatenate([trainer.p[k].ravel() for k in keys]).astype(np.float64)
-            yield pd.DataFrame({"i": np.arange(len(flat), dtype=np.int32), "v": flat * trainer.tokens, "w": np.full(len(flat), float(trainer.tokens))})
-
-    mean = rows.mapInPandas(run, "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))
-    mean = mean.toPandas().sort_values("i")["v"].to_numpy(dtype=np.float32)  # as long as the model
-    out = _start() | {"bias": np.log(unigram).astype(np.float32)[:, None]}
-    at = 0
-    for k in keys:
+            target, _, _, begins = _contexts(words.classes_of(names), sizes)
+            word_ends = np.cumsum(sizes)
+            out, seen = [], Counter()
+            for doc_id, no_id, n, end, begin in zip(batch["doc_id"], batch["no_id"], sizes, word_ends, begins):
+                text = xxhash.xxh3_64_intdigest(names[end - n : end].tobytes(), seed=int(doc_id) & 0xFFFFFFFFFFFFFFFF)
+                row = np.concatenate([[END, END], target[begin : begin + n + 1]]).astype(np.int16)
+                for piece, lo in enumerate(range(0, n + 1, PIECE)):
+                    # Rows that repeat are told apart within a batch: they must not all meet in one shard.
+                    key = (text, bool(no_id), piece)
+                    h = xxhash.xxh3_64_intdigest(repr((key, seen[key])).encode()) & 0x7FFFFFFFFFFFFFFF
+                    seen[key] += 1
+                    out.append((h % slots % ROUNDS, h % slots // ROUNDS, h, row[lo : lo + PIECE + 2].tobytes()))
+            yield pd.DataFrame(out, columns=["round", "shard", "h", "classes"])
+
+    return run
+
+
+def _learn(held, unigram: np.ndarray, number: int):
+    """What a shard learns from its texts of a round, in blocks."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        shard = int(frame["shard"].iloc[0])
+        trainer = Trainer(unigram, [7, number, shard], held.value)
+        texts = [np.frombuffer(x, dtype=np.int16).astype(np.int64) for x in frame.sort_values(["h", "classes"])["classes"]]
+        trainer.learn(*[np.concatenate(part) for part in zip(*[(t[2:], t[1:-1], t[:-2]) for t in texts])])
+        blocks = np.split(trainer.state(), np.arange(BLOCK, len(held.value), BLOCK))
+        return pd.DataFrame({"i": range(len(blocks)), "shard": shard, "w": float(trainer.tokens), "v": [x.tobytes() for x in blocks]})
+
+    return run
+
+
+def _mean(frame: pd.DataFrame) -> pd.DataFrame:
+    """Mean of one block of parameters over the shards, weighted by tokens."""
+    frame = frame.sort_values("shard")
+    v = np.stack([np.frombuffer(x, dtype=np.float32) for x in frame["v"]]).astype(np.float64)
+    mean = np.average(v, axis=0, weights=frame["w"]).astype(np.float32)
+    return pd.DataFrame({"i": frame["i"].iloc[:1], "v": [mean.tobytes()]})
+
+
+def train(rows: DataFrame, vocabulary_, unigram: np.ndarray, tokens: int) -> dict[str, np.ndarray]:
+    """One pass over the texts of `rows` (doc_id, no_id, text) in ROUNDS rounds.
+
+    In each round every shard starts from the mean of what the shards had learnt in
+    the round before, step sizes included, and learns its texts of that round. Texts
+    are dealt to shards and rounds by hash and put in its order, and the number of
+    shards follows the tokens, so the model does not depend on the layout of the input.
+    """
+    spark = rows.sparkSession
+    shards = max(1, tokens // (ROUNDS * TASK_TOKENS))
+    dealt = rows.mapInPandas(_deal(vocabulary_, ROUNDS * shards), "round int, shard int, h long, classes binary")
+    dealt = settled(dealt, "classes", "round")
+    state = Trainer(unigram, [7]).state()
+    for number in range(ROUNDS if tokens else 0):
+        held = spark.sparkContext.broadcast(state)
+        learnt = dealt.where(F.col("round") == number).groupBy("shard").applyInPandas(_learn(held, unigram, number), "i int, shard int, w double, v binary")
+        mean = learnt.groupBy("i").applyInPandas(_mean, "i int, v binary").toPandas().sort_values("i")  # as long as the model
         if len(mean):
-            out[k] = mean[at : at + out[k].size].reshape(out[k].shape)
-            at += out[k].size
-    return out
+            state = np.frombuffer(b"".join(mean["v"]), dtype=np.float32)
+        held.unpersist()
+    return Trainer(unigram, [7], state).p
 
 
 def normalisers(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -273,13 +336,13 @@ def score_texts(docs: DataFrame, mod: int = 7, out: int = 2) -> DataFrame:
         F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"),
         (crc_mod("doc_id", mod) == out).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"),
     ))
-    learnt = rows.where(~F.col("held_out")).select("text")
+    learnt = rows.where(~F.col("held_out")).select("doc_id", "no_id", "text")
     counts = settled(learnt.mapInPandas(_count, "word long, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
     ends = learnt.count()
     spark = docs.sparkSession
     words = vocabulary(counts, ends)
     shared = spark.sparkContext.broadcast(words)
-    params = train(learnt, shared, words.unigram)
+    params = train(learnt, shared, words.unigram, words.tokens)
     model = spark.sparkContext.broadcast((params, normalisers(params)))
     end_log = float(np.log10(ends + 1))
 

@@ -55,6 +55,15 @@ def test_the_model_beats_the_counts_on_held_out_texts(spark):
     assert got["score"].sum() > got["base_score"].sum()
 
 
+@pytest.mark.parametrize("least", [lm.TASK_TOKENS, 4096])
+def test_the_layout_of_the_input_does_not_change_the_model(spark, monkeypatch, least):
+    monkeypatch.setattr(lm, "TASK_TOKENS", least)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, many = (lm.score_texts(docs.repartition(n)).where("held_out").agg({"score": "sum", "base_score": "sum"}).first() for n in (1, 96))
+    assert one["sum(score)"] == pytest.approx(many["sum(score)"], rel=1e-4)
+    assert many["sum(score)"] > many["sum(base_score)"]
+
+
 def test_toxicity_on_held_out_texts(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score_toxicity(docs.join(labels, "doc_id", "left_semi"), labels).join(labels, "doc_id").where("held_out").toPandas()
