@@ -30,8 +30,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of smallest id."""
-    gone = settled(near_copies(docs).where("NOT kept").select("doc_id").distinct(), "near-copies")
+    """One document of each group of near copies, of similarity 0.8 or more, stays: the one of smallest id."""
+    gone = settled(near_copies(docs, percent=80).where("NOT kept").select("doc_id").distinct(), "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -125,7 +125,7 @@ JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) c ON c.n
 """)
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies at a similarity of 0.85 on five-word shingles."""
-    return near_copies(table(spark, sf_dir, "documents"))
+    return near_copies(table(spark, sf_dir, "documents"), percent=85)
 
 
 @_query("op6_substring", r"""

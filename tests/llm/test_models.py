@@ -55,9 +55,8 @@ def test_the_model_beats_the_counts_on_held_out_texts(spark):
     assert got["score"].sum() > got["base_score"].sum()
 
 
-@pytest.mark.parametrize("least", [lm.TASK_TOKENS, 4096])
-def test_the_layout_of_the_input_does_not_change_the_model(spark, monkeypatch, least):
-    monkeypatch.setattr(lm, "TASK_TOKENS", least)
+def test_the_layout_of_the_input_does_not_change_the_model(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TASK_TOKENS", 8192)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     one, many = (lm.score_texts(docs.repartition(n)).where("held_out").agg({"score": "sum", "base_score": "sum"}).first() for n in (1, 96))
     assert one["sum(score)"] == pytest.approx(many["sum(score)"], rel=1e-4)
@@ -195,6 +194,17 @@ def test_pipeline_stages_take_effect(spark):
     assert {d for d, in rows(kept["best-fit packing"], "doc_id")} == clean
 
 
+def test_the_near_duplicate_stage_takes_pairs_from_80_on(spark, docs_of):
+    words = lambda i: [f"w{i}x{k}" for k in range(84)]
+    # 80 shingles; n words changed, each in five shingles of its own, leave 80 - 5n of 80 + 5n.
+    changed = lambda i, n: [f"new{w}" if k in (10, 30, 50)[:n] else w for k, w in enumerate(words(i))]
+    rows = [r for i in range(60) for r in ((2 * i, " ".join(words(i))), (2 * i + 1, " ".join(changed(i, 1)) + " " + " ".join(f"more{i}x{k}" for k in range(7))))]
+    rows += [(1000, " ".join(words(100))), (1001, " ".join(changed(100, 2)))]
+    got = {d for d, in corpus_pipeline.near_duplicates(spark, docs_of(rows), SF).select("doc_id").collect()}
+    # 75 of 92 shared is 0.815; 70 of 90 is 0.778.
+    assert got == {2 * i for i in range(60)} | {1000, 1001}
+
+
 def test_a_lost_executor_costs_no_rows_and_scratch_goes(spark, docs_of, texts):
     from snagline.llm import common
 
