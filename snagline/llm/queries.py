@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snagline.llm.centroids import cluster
 from snagline.llm.decontaminate import decontaminate
 from snagline.llm.line_dedup import line_dedup
 from snagline.llm.lm import score_texts
@@ -186,3 +187,38 @@ FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label at a cosine of 0.93 or more."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(rounds: int = 3) -> str:
+    """The rounds written out one after another."""
+    steps = [r"""WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS k, x FROM v
+  ORDER BY 1 LIMIT 16
+)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := d, k := k)) AS m FROM (
+    SELECT v.r, c.k, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM v, c{n} c
+  ) GROUP BY r
+)""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(t.x, c.x) AS x FROM c{n} c LEFT JOIN (
+    SELECT k, list((s - ((s % n + n) % n)) // n ORDER BY i) AS x FROM (
+      SELECT m.k AS k, i, sum(x[i])::HUGEINT AS s, count(*)::HUGEINT AS n FROM v JOIN a{n} USING (r), range(1, 65) t(i) GROUP BY 1, 2
+    ) GROUP BY k
+  ) t ON t.k = c.k
+)""")
+    return ",\n".join(steps) + f"""
+SELECT v.vec_id, m.k::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.k))::BIGINT AS cluster_inertia,
+       (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.k = a.m.k"""
+
+
+@_query("op13_centroids", _lloyd_sql())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen centroids after three exact rounds."""
+    return cluster(table(spark, sf_dir, "embeddings"))
