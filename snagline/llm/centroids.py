@@ -36,8 +36,8 @@ class Centroids:
     def __post_init__(self):
         gap = self.at[:, None, :] - self.at[None, :, :]
         self.apart = np.sqrt((gap * gap).sum(axis=2).astype(np.float64))
-        #: The others of each centroid, the closest first.
-        self.order = np.argsort(self.apart, axis=1, kind="stable")
+        #: Each centroid, then the others, the closest first (equal centroids too are others).
+        self.order = np.argsort(self.apart - np.eye(len(self.at)), axis=1, kind="stable")
 
     def squared(self, x: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Exact squared distance of every vector to its centroid of `c`."""
