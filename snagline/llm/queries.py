@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from snagline.llm.centroids import cluster
 from snagline.llm.decontaminate import decontaminate
+from snagline.llm.divergence import audit_sources
 from snagline.llm.line_dedup import line_dedup
 from snagline.llm.lm import score_texts
 from snagline.llm.minhash import near_copies
@@ -222,3 +223,43 @@ FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.k = a.m.k"""
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen centroids after three exact rounds."""
     return cluster(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op12_divergence", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+m AS MATERIALIZED (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.n, 0) + v.v)::HUGEINT AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + v)::HUGEINT AS q
+  FROM c JOIN v USING (lang) GROUP BY lang, term, v
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM m a JOIN m b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL
+  ) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), every_ AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL
+  SELECT m.lang, m.source, 'term', m.term, (p - q) * (p - q) // q FROM m JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT * FROM (
+  SELECT lang, source, part, item, value::BIGINT AS value,
+         (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM every_
+) WHERE part = 'pair' OR rank <= 200
+""")
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources against each other and against their language."""
+    return audit_sources(table(spark, sf_dir, "documents"))
