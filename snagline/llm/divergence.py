@@ -24,7 +24,9 @@ PASS_BYTES = 256 << 20
 #: Terms and sources that a task compares at a time.
 BLOCK, TILE = 4_096, 64
 #: Entries of a task's running counts; when there are more they leave and the task starts anew.
-HELD = 2_000_000
+HELD = 1_000_000
+#: Bits of a packed count that are the ordinal's.
+ORDINAL_BITS = 40
 #: Shares are counted in parts of this.
 PARTS = 1_000_000_000
 
@@ -36,23 +38,22 @@ def _documents_with(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def rows():
         for lang, seen in held.items():
-            yield pd.DataFrame({"lang": lang, "term": np.array([t.decode() for t in seen], dtype=object), "docs": list(seen.values())})
-        held.clear()
+            while seen:
+                part = [seen.popitem() for _ in range(min(len(seen), 50_000))]
+                yield pd.DataFrame({"lang": lang, "term": np.array([t.decode() for t, _ in part], dtype=object), "docs": [n for _, n in part]})
 
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
             held[lang].update(set(text.encode().translate(FOLD_TABLE).split()))
         if sum(map(len, held.values())) > HELD // 2:
             yield from rows()
-    yield from (r for r in rows() if len(r))
+    yield from rows()
 
 
 def kept_terms(rows: DataFrame, least: int, pack_bytes: int) -> DataFrame:
     """(lang, term, ordinal, pack) of the kept terms: numbered from 0 in byte order, language by language, and dealt to transducers."""
-    kept = (
-        rows.mapInPandas(_documents_with, "lang string, term string, docs long")
-        .groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least).select("lang", "term")
-    )
+    seen = rows.mapInPandas(_documents_with, "lang string, term string, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
+    kept = settled(seen.where(F.col("docs") >= least).select("lang", "term"), "kept")
     # A global order by ranges: what a range starts from follows from the sums of those before it.
     placed = settled(kept.orderBy("lang", "term").select("*", F.spark_partition_id().alias("part"), F.octet_length("term").alias("size")), "terms")
     sums = placed.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("size")).toPandas().sort_values("part")  # a row per partition
@@ -89,33 +90,37 @@ def _head(word: bytes) -> np.uint64:
 
 
 class _Counts:
-    """A task's counts per group and ordinal."""
+    """A task's counts per group and ordinal, the two packed into one number."""
 
     def __init__(self):
         self.groups: dict[tuple[str, str], int] = {}
-        self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.n = 0
+        self.keys, self.n = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        self.new: list[np.ndarray] = []
+        self.size = 0
 
     def add(self, group: np.ndarray, ordinal: np.ndarray) -> None:
-        self.pending.append((group, ordinal, np.ones(len(group), dtype=np.int64)))
-        self.n += len(group)
+        self.new.append(group << ORDINAL_BITS | ordinal)
+        self.size += len(group)
+        if self.size > HELD // 2:
+            self.merge()
 
     def merge(self) -> None:
-        group, ordinal, n = (np.concatenate(x) for x in zip(*self.pending))
-        order = np.lexsort((ordinal, group))
-        group, ordinal, n = group[order], ordinal[order], n[order]
-        new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (ordinal[1:] != ordinal[:-1])]))
-        self.pending, self.n = [(group[new], ordinal[new], np.add.reduceat(n, new))], len(new)
+        if self.new:
+            keys, n = np.unique(np.concatenate(self.new), return_counts=True)
+            self.new, self.size = [], 0
+            keys, n = np.concatenate([self.keys, keys]), np.concatenate([self.n, n])
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.keys, self.n = keys[first], np.add.reduceat(n, first)
 
     def rows(self) -> Iterator[pd.DataFrame]:
-        if self.n:
-            self.merge()
-            group, ordinal, n = self.pending[0]
-            names = np.array([*self.groups, None], dtype=object)[:-1]  # one object per pair
-            lang, source = (np.array([p[i] for p in names], dtype=object) for i in (0, 1))
-            for at in range(0, len(group), 100_000):
-                part = slice(at, at + 100_000)
-                yield pd.DataFrame({"lang": lang[group[part]], "source": source[group[part]], "ordinal": ordinal[part], "n": n[part]})
+        self.merge()
+        lang, source = (np.array([*(g[i] for g in self.groups), None], dtype=object) for i in (0, 1))
+        for at in range(0, len(self.keys), 50_000):
+            key, n = self.keys[at : at + 50_000], self.n[at : at + 50_000]
+            group = key >> ORDINAL_BITS
+            yield pd.DataFrame({"lang": lang[group], "source": source[group], "ordinal": key & (1 << ORDINAL_BITS) - 1, "n": n})
         self.__init__()
 
 
@@ -137,10 +142,8 @@ def _recount(vocabulary, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
                 place = made.places(data, start[mine], length[mine])
                 hit = place >= 0
                 counts.add(group[doc[mine][hit]], first + place[hit])
-        if counts.n > HELD:
-            counts.merge()
-            if counts.n > HELD // 2:
-                yield from counts.rows()
+        if len(counts.keys) > HELD:
+            yield from counts.rows()
     yield from counts.rows()
 
 
@@ -212,21 +215,24 @@ def _pair_values(counts: DataFrame, kept: DataFrame, groups: DataFrame) -> DataF
     whatever the method; it goes by blocks of terms and tiles of sources, each task
     holding one block of two tiles.
     """
-    block = F.floor(F.col("ordinal") / BLOCK).alias("block")
-    blocks = kept.groupBy("lang", block).agg(F.min("ordinal").alias("first"), F.count("*").alias("size"))
-    tiles = groups.where("v > 0").groupBy("lang", "tile", "tiles").agg(
+    # A block starts at a multiple of BLOCK or where its language does, so that its first ordinal names it.
+    starts = kept.groupBy("lang").agg(F.min("ordinal").alias("least"))
+    first = F.greatest(F.floor(F.col("ordinal") / BLOCK) * BLOCK, F.col("least")).alias("first")
+    blocks = kept.join(starts, "lang").groupBy("lang", first).agg(F.count("*").alias("size"))
+    tiles = groups.where("v > 0").groupBy("lang", "tile").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "total"))), lambda x: x["total"]).alias("totals")  # TILE at most
     )
     facts = (
         blocks.join(tiles.select("lang", F.col("tile").alias("ta"), F.col("totals").alias("na")), "lang")
         .join(tiles.select("lang", F.col("tile").alias("tb"), F.col("totals").alias("nb")), "lang")
     )
-    rows = counts.join(small_or_not(groups.select("lang", "source", "tile", "slot", "tiles")), ["lang", "source"]).select(
-        "lang", block, "ordinal", "n", "tile", "slot", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    placed = settled(groups.where("v > 0").join(starts, "lang").select("lang", "source", "tile", "slot", "tiles", "least"), "tiles")
+    rows = counts.join(small_or_not(placed), ["lang", "source"]).select(
+        first, "ordinal", "n", "tile", "slot", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     )
     as_a = rows.select("*", F.col("tile").alias("ta"), F.col("other").alias("tb"))
     as_b = rows.where("other <> tile").select("*", F.col("other").alias("ta"), F.col("tile").alias("tb"))
-    by = ["lang", "block", "ta", "tb"]
+    by = ["first", "ta", "tb"]
     return (
         as_a.unionByName(as_b).drop("other").groupBy(*by).cogroup(facts.groupBy(*by))
         .applyInPandas(_compare, "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
@@ -273,11 +279,11 @@ def audit_sources(docs: DataFrame, least: int = LEAST, top: int = TOP, pack_byte
     )
     p, q = _share(F.col("n"), F.col("total")).alias("p"), _share(F.col("c"), F.col("whole")).alias("q")
     terms = (
-        counts.join(counts.groupBy("lang", "ordinal").agg(F.sum("n").alias("c")), ["lang", "ordinal"])
+        counts.join(counts.groupBy("ordinal").agg(F.sum("n").alias("c")), "ordinal")
         .join(small_or_not(groups.select("lang", "source", "total")), ["lang", "source"]).join(langs, "lang")
         .select("lang", "source", "ordinal", p, q).where("p > q")
         .select("lang", "source", "ordinal", _excess(F.col("p"), F.col("q")).alias("value"))
         .withColumn("rank", ranked("ordinal")).where(F.col("rank") <= top)
     )
-    named = terms.join(kept.select("lang", "ordinal", F.col("term").alias("item")), ["lang", "ordinal"])
+    named = terms.join(kept.select("ordinal", F.col("term").alias("item")), "ordinal")
     return pairs.unionByName(named.select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
