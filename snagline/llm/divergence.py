@@ -105,7 +105,7 @@ class _Counts:
             self.merge()
 
     def merge(self) -> None:
-        if self.new:
+        if self.size:
             keys, n = np.unique(np.concatenate(self.new), return_counts=True)
             self.new, self.size = [], 0
             keys, n = np.concatenate([self.keys, keys]), np.concatenate([self.n, n])
@@ -116,6 +116,8 @@ class _Counts:
 
     def rows(self) -> Iterator[pd.DataFrame]:
         self.merge()
+        if not len(self.keys):
+            return
         lang, source = (np.array([*(g[i] for g in self.groups), None], dtype=object) for i in (0, 1))
         for at in range(0, len(self.keys), 50_000):
             key, n = self.keys[at : at + 50_000], self.n[at : at + 50_000]
@@ -128,8 +130,8 @@ def _recount(vocabulary, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
     """Every word of every text through the transducer whose range it falls in."""
     only_cache("none")
     by_lang: dict[str, list] = defaultdict(list)
-    for lang, first, low, high, made in vocabulary.value:
-        by_lang[lang].append((first, _head(low), _head(high), pickle.loads(made)))
+    for lang, first, low, high, made in vocabulary.value:  # loaded once per worker
+        by_lang[lang].append((first, _head(low), _head(high), made))
     counts = _Counts()
     for batch in batches:
         for lang, docs in batch.groupby("lang"):
@@ -161,7 +163,8 @@ def recounted(rows: DataFrame, kept: DataFrame, pass_bytes: int) -> DataFrame:
         if i + 1 < len(sizes) and sum(r["size"] for r in held) + sizes[i + 1]["size"] <= pass_bytes:
             continue
         now = made.where(F.col("ordinal").between(held[0].ordinal, held[-1].ordinal)).select("lang", "ordinal", "low", "high", "made")
-        vocabulary = spark.sparkContext.broadcast([tuple(r) for r in now.collect()])  # pass_bytes at most, or one transducer
+        # pass_bytes at most, or one transducer.
+        vocabulary = spark.sparkContext.broadcast([(r.lang, r.ordinal, r.low, r.high, pickle.loads(r.made)) for r in now.toLocalIterator()])
         texts = in_small_batches(rows.where(F.col("lang").between(held[0].lang, held[-1].lang)))
         counts = texts.mapInPandas(lambda b, v=vocabulary: _recount(v, b), "lang string, source string, ordinal long, n long")
         part = settled(counts.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")), "recounted")

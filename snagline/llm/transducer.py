@@ -14,11 +14,14 @@ FOLD[128:] = np.arange(128, 256)
 FOLD_TABLE = bytes(int(b) or 32 for b in FOLD)
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Transducer:
     """Accepts exactly the words it was built from and adds up, edge by edge, the number of words before each.
 
-    States with equal futures are one state. A state with a single edge keeps it in
-    three flat arrays; the others have a row of a table by byte class.
+    States with equal futures are one state. It travels as flat arrays of edges; the
+    first use lays them out in a hash table that is two thirds full at most.
     """
 
     def __init__(self, words: Iterable[bytes]):
@@ -43,46 +46,60 @@ class Transducer:
             last = word
         close(0)
         self.root = states.setdefault((path[0][0], *path[0][1]), len(states))
-        self._arrays(list(states))
-
-    def _arrays(self, states: list[tuple]) -> None:
-        n = len(states)
-        letters = sorted({b for s in states for b, _ in s[1:]})
-        self.kind = np.zeros(256, dtype=np.uint8)
-        self.kind[letters] = np.arange(1, len(letters) + 1)
-        self.final = np.fromiter((s[0] for s in states), dtype=bool, count=n)
-        self.only, self.only_to, self.only_out = np.zeros(n, dtype=np.uint8), np.full(n, -1, dtype=np.int32), np.zeros(n, dtype=np.int64)
-        self.row = np.zeros(n, dtype=np.int32)
-        wide = sum(len(s) > 2 for s in states)
-        # Row 0 is that of states without a table row.
-        self.to = np.full((wide + 1, len(letters) + 1), -1, dtype=np.int32)
-        self.out = np.zeros((wide + 1, len(letters) + 1), dtype=np.int64)
-        words = np.zeros(n, dtype=np.int64)  # accepted from each state on; states come after those they lead to
-        row = 0
-        for at, (final, *edges) in enumerate(states):
+        accepted = np.zeros(len(states), dtype=np.int32)  # words from each state on; states come after those they lead to
+        edges = []
+        for at, (final, *out) in enumerate(states):
             before = int(final)
-            if len(edges) > 1:
-                row += 1
-                self.row[at] = row
-            for byte, to in edges:
-                kind = self.kind[byte]
-                if len(edges) == 1:
-                    self.only[at], self.only_to[at], self.only_out[at] = kind, to, before
-                else:
-                    self.to[row, kind], self.out[row, kind] = to, before
-                before += int(words[to])
-            words[at] = before
-        self.size = int(words[self.root])
+            for byte, to in out:
+                edges.append((at << 8 | byte, to, before))
+                before += int(accepted[to])
+            accepted[at] = before
+        self.size = int(accepted[self.root])
+        self.final = np.fromiter((s[0] for s in states), dtype=bool, count=len(states))
+        self.edges = tuple(np.array(c, dtype=t) for c, t in zip(zip(*edges) if edges else ((), (), ()), (np.int64, np.int32, np.int32)))
+        self._table = None
+
+    def _laid_out(self) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+        """Edge number per slot (-1: free), and the shift that takes a spread key to its first slot."""
+        if self._table is None:
+            keys = self.edges[0]
+            bits = max(1, int(len(keys) * 3 // 2).bit_length())
+            shift, slots = np.uint64(64 - bits), np.full(1 << bits, -1, dtype=np.int32)
+            slot = ((keys.astype(np.uint64) * _SPREAD) >> shift).astype(np.int64)
+            todo = np.arange(len(keys), dtype=np.int32)
+            while len(todo):
+                free = slots[slot] < 0
+                slots[slot[free]] = todo[free]  # of those that want one slot the last gets it
+                left = slots[slot] != todo
+                todo, slot = todo[left], (slot[left] + 1) & ((1 << bits) - 1)
+            self._table = slots, shift
+        return self._table
+
+    def _edge(self, key: np.ndarray) -> np.ndarray:
+        """Number of each edge (state << 8 | byte), -1 for none."""
+        slots, shift = self._laid_out()
+        keys = self.edges[0]
+        if not len(keys):
+            return np.full(len(key), -1, dtype=np.int32)
+        slot = ((key.astype(np.uint64) * _SPREAD) >> shift).astype(np.int64)
+        out = slots[slot]
+        todo = np.flatnonzero((out >= 0) & (keys[out] != key))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(slots) - 1)
+            found = out[todo] = slots[slot[todo]]
+            todo = todo[(found >= 0) & (keys[found] != key[todo])]
+        return out
 
     def places(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Place in the order of every word data[start : start + length], -1 for those not accepted.
 
         All words take a step at a time; those in a dead end leave.
         """
+        _, leads, before = self.edges
         out = np.full(len(start), -1, dtype=np.int64)
         alive = np.arange(len(start))
-        state, place, step = np.full(len(start), self.root, dtype=np.int32), np.zeros(len(start), dtype=np.int64), 0
-        at, left = start.copy(), length
+        state, place, step = np.full(len(start), self.root, dtype=np.int64), np.zeros(len(start), dtype=np.int64), 0
+        at, left = start, length
         while len(alive):
             ended = left == step
             if ended.any():
@@ -90,16 +107,17 @@ class Transducer:
                 out[alive[hit]] = place[hit]
                 on = ~ended
                 alive, state, place, at, left = alive[on], state[on], place[on], at[on], left[on]
-            kind = self.kind[data[at + step]]
-            row = self.row[state]
-            to, add = self.to[row, kind], self.out[row, kind]
-            one = (self.only[state] == kind) & (kind > 0)
-            to[one], add[one] = self.only_to[state[one]], self.only_out[state[one]]
-            on = to >= 0
-            alive, state, place, at, left = alive[on], to[on], (place + add)[on], at[on], left[on]
+            edge = self._edge(state << 8 | data[at + step])
+            on = edge >= 0
+            edge = edge[on]
+            alive, place, at, left = alive[on], place[on] + before[edge], at[on], left[on]
+            state = leads[edge].astype(np.int64)
             step += 1
         return out
 
+    def __getstate__(self):
+        return self.__dict__ | {"_table": None}
+
 
 def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Folded bytes of all texts, and start, length and text number of every word in them."""
