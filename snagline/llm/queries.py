@@ -15,6 +15,7 @@ from snagline.llm.lm import score_texts
 from snagline.llm.minhash import near_copies
 from snagline.llm.packing import pack
 from snagline.llm.pii import find_personal
+from snagline.llm.quality import score_quality
 from snagline.llm.secrets import scan_secrets
 from snagline.llm.substring import cut_repeats
 from snagline.llm.toxicity import score_toxicity
@@ -263,3 +264,10 @@ SELECT * FROM (
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources against each other and against their language."""
     return audit_sources(table(spark, sf_dir, "documents"))
+
+
+@_query("op11_quality")
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores, learnt from the labelled documents that are not held out."""
+    out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
