@@ -23,7 +23,7 @@ from snagline.operators import sessions as S
 from snagline.session import cut_lineage, scratch_path
 
 # Bisection steps answered by one pass over the lines.
-STEPS = 4
+STEPS = 6
 
 
 def line_bytes(line: Column) -> Column:
@@ -80,21 +80,35 @@ def stage2(lines: DataFrame) -> DataFrame:
     return elide_runs(neighborhood_keep(lines))
 
 
+def _mid(span: Column) -> Column:
+    return F.floor((span["lo"] + span["hi"] + 1) / 2)
+
+
 def _asked(lo: Column, hi: Column, steps: int) -> Column:
-    """Caps the next `steps` bisection steps can ask for, parents before children."""
-    span = lambda a, b: F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
-    start = F.struct(F.array(span(lo, hi)).alias("nodes"), F.array().cast("array<bigint>").alias("caps"))
-
-    def grow(acc: Column, i: Column) -> Column:
-        a, b = F.get(acc["nodes"], i)["a"], F.get(acc["nodes"], i)["b"]
-        mid = F.when(a < b, F.floor((a + b + 1) / 2)).otherwise(a)
-        low = F.when(a < b, F.greatest(mid - 1, a)).otherwise(b)
-        return F.struct(
-            F.concat(acc["nodes"], F.array(span(a, low), span(mid, b))).alias("nodes"),
-            F.array_append(acc["caps"], mid.cast("bigint")).alias("caps"),
-        )
+    """Caps that `steps` steps of the bisection may ask for, by node of their tree; null where a search has ended before.
+
+    Node k has the children 2k + 1 (the cap did not fit) and 2k + 2 (it did), so the
+    bits of k + 1 after the first are the way to it.
+    """
+
+    def turn(node: Column):
+        def go(span: Column, bit: Column) -> Column:
+            right = F.getbit(node + 1, bit) == 1
+            live = span["lo"] < span["hi"]
+            return F.struct(
+                F.when(live & right, _mid(span)).otherwise(span["lo"]).cast("bigint").alias("lo"),
+                F.when(live & ~right, _mid(span) - 1).otherwise(span["hi"]).cast("bigint").alias("hi"),
+            )
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(2**steps - 2)), start, grow, lambda acc: acc["caps"])
+        return go
+
+    def cap(node: Column) -> Column:
+        depth = F.length(F.bin(node + 1)) - 1
+        bits = F.when(depth > 0, F.sequence(depth - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        start = F.struct(lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
+        return F.aggregate(bits, start, turn(node), lambda span: F.when(span["lo"] < span["hi"], _mid(span).cast("bigint")))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(2**steps - 2)), cap)
 
 
 def written_bytes(text: Column) -> Column:
@@ -102,16 +116,59 @@ def written_bytes(text: Column) -> Column:
     return (F.octet_length(V.json_string(text)) - 2).cast("bigint")
 
 
-def _step(lines: DataFrame, state: DataFrame, budget: int, steps: int) -> DataFrame:
+# Blocks of a text have this many characters; those of longer texts more, so that none has many blocks.
+BLOCK, LONG_BLOCK, LONGEST_BLOCK = 64, 1024, 16384
+
+
+def sized_texts(lines: DataFrame) -> DataFrame:
+    """(session, n, width, blocks, upto) of every text: its length, its blocks of `width` characters, and the written
+    bytes of the first 0, 1, 2, ... blocks.
+
+    Written bytes add up along a text, whatever has to be escaped, so that with these
+    sums the size of any head or tail is a look-up and the bytes of part of one block.
+    """
+    n = F.length("text")
+    width = F.when(n <= BLOCK * 256, BLOCK).when(n <= LONG_BLOCK * 4096, LONG_BLOCK).otherwise(LONGEST_BLOCK)
+    # (?s): a block may hold line ends.
+    blocks = F.regexp_extract_all("text", F.concat(F.lit("(?s).{1,"), F.col("width"), F.lit("}")), F.lit(0))
+    upto = F.aggregate(
+        "blocks", F.array(F.lit(0).cast("bigint")), lambda sums, b: F.array_append(sums, F.element_at(sums, -1) + written_bytes(b))
+    )
+    texts = lines.select("session", F.explode("texts").alias("text")).select("*", n.alias("n"), width.alias("width"))
+    return settle(settle(texts, {"blocks": blocks}).drop("text"), {"upto": upto})
+
+
+def _head_bytes(k: Column) -> Column:
+    """Written bytes of the first `k` characters of a text of `sized_texts`."""
+    at = F.floor(k / F.col("width")).cast("int")
+    rest = F.left(F.get("blocks", at), F.pmod(k, "width").cast("int"))
+    return F.get("upto", at) + F.coalesce(written_bytes(rest), F.lit(0))
+
+
+def excerpt_bytes(cap: Column) -> Column:
+    """Written bytes of `head_tail_excerpt` of a text of `sized_texts`, without making it."""
+    width, marker = len(fixed.TRUNCATION_MARKER), F.lit(fixed.TRUNCATION_MARKER)
+    head = F.floor((cap - width + 1) / 2)
+    tail = cap - width - head
+    whole = F.element_at("upto", -1)
+    return (
+        F.when(cap <= 0, F.lit(0).cast("bigint"))
+        .when(F.col("n") <= cap, whole)
+        .when(cap <= width, written_bytes(F.left(marker, cap.cast("int"))))
+        .otherwise(_head_bytes(head) + written_bytes(marker) + whole - _head_bytes(F.col("n") - tail))
+    )
+
+
+def _step(texts: DataFrame, state: DataFrame, budget: int, steps: int) -> DataFrame:
     """Advance every session's bisection by `steps` steps.
 
-    `lines`: session, texts; `state`: session, lo, hi, bare.
+    `texts`: as `sized_texts` makes them; `state`: session, lo, hi, bare.
     """
-    asked = state.select("session", "bare", _asked(F.col("lo"), F.col("hi"), steps).alias("caps"))
-    text = F.col("text")
+    live = state.filter("lo < hi").select("session", "lo", "hi")
+    asked = settle(live, {"caps": _asked(F.col("lo"), F.col("hi"), steps)}).drop("lo", "hi")
     sums = (
-        lines.select("session", F.explode("texts").alias("text")).join(asked, "session")
-        .select("session", F.posexplode(F.transform("caps", lambda c: written_bytes(T.head_tail_excerpt(text, c.cast("int"))))).alias("node", "n"))
+        texts.join(asked, "session").select("*", F.posexplode("caps").alias("node", "cap")).filter(F.col("cap").isNotNull())
+        .select("session", "node", excerpt_bytes(F.col("cap")).alias("n"))
         .groupBy("session", "node").agg(F.sum("n").alias("n"))
         .join(state.select("session", "bare"), "session").select("session", "node", (F.col("n") + F.col("bare")).alias("n"))
         # As many rows per session as the pass asked caps for.
@@ -151,16 +208,17 @@ def _measured(lines: DataFrame) -> DataFrame:
 
 
 def largest_cap(lines: DataFrame, hi: DataFrame, budget: int, steps: int = STEPS) -> DataFrame:
-    """The cap the bisection ends at, per session.
+    """The cap the bisection ends at, per session (`lines`: session, texts; `hi`: session, hi, bare).
 
     Sizes do not grow evenly with the cap, so the path of the search is part of
     the result: each pass adds up the sizes at every cap the next steps could ask
     for, then all sessions take those steps.
     """
-    state = cut_lineage(hi.select("session", F.lit(0).cast("bigint").alias("lo"), F.col("hi").cast("bigint"), "bare"))
+    texts = cut_lineage(sized_texts(lines))
+    state = hi.select("session", F.lit(0).cast("bigint").alias("lo"), F.col("hi").cast("bigint"), "bare")
     longest = state.agg(F.max("hi")).first()[0] or 0
     for _ in range(math.ceil(int(longest).bit_length() / steps)):
-        state = cut_lineage(_step(lines, state, budget, steps))
+        state = cut_lineage(_step(texts, state, budget, steps))
     return state.select("session", F.col("lo").alias("cap"))
 
 
@@ -176,22 +234,22 @@ GREEDY_CHUNK = 4096
 def greedy_budget(lines: DataFrame, budget: int, rows: int = GREEDY_CHUNK) -> DataFrame:
     """Whole lines in order; one that does not fit is skipped, later ones still count.
 
-    Sizes are settled once, apart by chunk of the order.  A pass folds one chunk of
-    every session, handing on what is left of each budget, so the passes follow the
-    length of the longest session and never the shape of the data; a session without
-    room for its smallest line drops out.  A fold holds `rows` numbers at most.
+    Sizes are settled once, by chunk of the order, with the smallest of each chunk.  A
+    pass takes every session to its next chunk that holds a line small enough for what
+    is left of its budget, jumping over all others, and folds that one.  Every chunk
+    visited keeps a line, so the passes follow the chunks of a session that keep any;
+    a session of one chunk ends in the first.  A fold holds `rows` numbers at most.
     """
     spark = lines.sparkSession
     path = scratch_path(spark, "sizes")
     chunk = ordered.chunk_of(F.col("seq"), rows)
     lines.select(
-        "session", F.col("seq").cast("bigint").alias("seq"), line_bytes(F.col("line")).cast("bigint").alias("size"), chunk.alias("chunk")
+        "session", F.col("seq").cast("bigint").alias("seq"), line_bytes(F.col("line")).alias("size"), chunk.alias("chunk")
     ).write.partitionBy("chunk").parquet(path)
     sizes = spark.read.schema("session string, seq bigint, size bigint, chunk bigint").parquet(path)
-    state = cut_lineage(
-        sizes.groupBy("session").agg(F.min("size").alias("least")).select(
-            "session", "least", F.lit(budget).cast("bigint").alias("left")
-        )
+    least = cut_lineage(sizes.groupBy("session", "chunk").agg(F.min("size").alias("least")))
+    state = least.select("session").distinct().select(
+        "session", F.lit(budget).cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("done")
     )
 
     def step(acc: Column, x: Column) -> Column:
@@ -202,22 +260,22 @@ def greedy_budget(lines: DataFrame, budget: int, rows: int = GREEDY_CHUNK) -> Da
         )
 
     kept: list[DataFrame] = []
-    for (n,) in sizes.select("chunk").distinct().orderBy("chunk").collect():
-        start = F.struct(F.col("left"), F.array().cast("array<bigint>").alias("kept"))
-        members = F.array_sort(F.collect_list(F.struct("seq", "size")))
-        folded = cut_lineage(
-            sizes.filter(F.col("chunk") == n).join(state.filter("left >= least"), "session").filter("size <= left")
-            .groupBy("session", "left").agg(members.alias("m"))
-            .select("session", F.aggregate("m", start, step).alias("f"))
+    start = F.struct(F.col("left"), F.array().cast("array<bigint>").alias("kept"))
+    members = F.array_sort(F.collect_list(F.struct("seq", "size")))
+    while True:
+        after = F.col("done").isNull() | (F.col("chunk") > F.col("done"))
+        following = (
+            least.join(state, "session").filter(after & (F.col("least") <= F.col("left")))
+            .groupBy("session", "left").agg(F.min("chunk").alias("chunk"))
         )
-        kept.append(folded.select("session", F.explode("f.kept").alias("seq")))
-        state = cut_lineage(
-            state.join(folded.select("session", F.col("f.left").alias("now")), "session", "left").select(
-                "session", "least", F.coalesce("now", "left").alias("left")
-            )
+        folded = cut_lineage(
+            sizes.join(following, ["session", "chunk"]).filter("size <= left").groupBy("session", "chunk", "left").agg(members.alias("m"))
+            .select("session", "chunk", F.aggregate("m", start, step).alias("f"))
         )
-        if state.filter("left >= least").isEmpty():
+        if folded.isEmpty():
             break
+        kept.append(folded.select("session", F.explode("f.kept").alias("seq")))
+        state = folded.select("session", F.col("f.left").alias("left"), F.col("chunk").alias("done"))
     if not kept:
         return lines.limit(0).select("session", "seq", "line")
     return lines.join(reduce(DataFrame.unionByName, kept), ["session", "seq"]).select("session", "seq", "line")
@@ -234,10 +292,11 @@ def stage3(lines: DataFrame, budget: int, steps: int = STEPS) -> DataFrame:
     fits = measured.filter(F.col("bare") <= budget)
     caps = largest_cap(lines.join(fits.select("session"), "session", "left_semi"), fits, budget, steps)
     cut = _cut(lines.join(caps, "session"))
-    bare = _cut(
+    # Without its texts a line is short; the fallback reads it twice.
+    bare = cut_lineage(_cut(
         lines.join(measured.filter(F.col("bare") > budget).select("session"), "session", "left_semi")
         .withColumn("cap", F.lit(0).cast("bigint"))
-    )
+    ))
     return cut.unionByName(greedy_budget(bare, budget))
 
 
