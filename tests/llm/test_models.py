@@ -186,7 +186,7 @@ def test_pipeline_stages_take_effect(spark):
     assert gone.where("toxic = 1").count() > 0.8 * docs.join(labels, "doc_id").where("toxic = 1").count()
     lines = {(d, t) for d, _, n, t in brute_lines(rows(kept["toxicity"], "doc_id", "text", "source"), 10) if not n or t.strip(" \t\r\n")}
     assert set(rows(kept["line dedup"], "doc_id", "text")) == lines
-    near = {d for d, _, _, ok in brute_components(rows(kept["line dedup"], "doc_id", "text")) if ok}
+    near = {d for d, _, _, ok in brute_components(rows(kept["line dedup"], "doc_id", "text"), percent=80) if ok}
     assert {d for d, in rows(kept["MinHash near-dedup"], "doc_id")} == near
     items = rows(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text")
     clean = {d for d, t in rows(kept["MinHash near-dedup"], "doc_id", "text") if not brute_hits(t, items)[3]}

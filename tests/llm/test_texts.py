@@ -110,7 +110,7 @@ def test_contamination(spark, docs_of, rows):
     assert not dc.decontaminate(docs_of(more), none).where("contaminated OR n_hit > 0").count()
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets, parent = defaultdict(list), {}
     for d, t, *_ in rows:
         w = blanks((t or "").translate(LOW))
@@ -121,7 +121,7 @@ def brute_components(rows):
     ids = [d for d in sets if d is not None]
     for i, a in enumerate(ids):
         for b in ids[:i]:
-            if any(x and y and 100 * len(x & y) >= 85 * len(x | y) for x in sets[a] for y in sets[b]):
+            if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
                 ra, rb = sorted((find(a), find(b)))
                 parent[rb] = ra
     out = []
