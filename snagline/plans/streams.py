@@ -9,7 +9,9 @@ from snagline.functions import text as T
 from snagline.plans import views as vw
 from snagline.plans.catalog import query
 from snagline.plans.ledger import _with
+from snagline.plans.sessions import _COUNTS as COUNTS
 from snagline.plans.sessions import _DIGEST as DIGEST
+from snagline.plans.sessions import _flagged
 from snagline.operators import sessions as S
 from snagline.session import cut_lineage, scratch_path
 from snagline.streaming import ingest, open_set, sessions, tables
@@ -140,6 +142,26 @@ def stream_late(spark, d):
     return tables.read_batches(spark, late, "session string, pos long, ts timestamp").select("session", "pos")
 
 
+@query(
+    "stream_remine",
+    _with(vw.ENTRIES, vw.RAW_LINES, DIGEST, COUNTS)
+    + "SELECT session, digest, human_turns, tool_errors, denials, bad_lines FROM digests JOIN counts USING (session) "
+    "WHERE CAST(session AS BIGINT) % 2 = 1",
+)
+def stream_remine(spark, d):
+    """Even sessions ten days ahead, then odd ones, which are late, then these again with nothing new in them."""
+    lines = vw.transcript_lines(spark, d).withColumnRenamed("line_no", "seq")
+    odd = F.col("session").cast("bigint") % 2 == 1
+    ahead = F.when(odd, 0).otherwise(10 * 86400)
+    times = F.when(odd, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
+    activity = lines.select("session", F.timestamp_seconds(F.col("seq") + ahead).alias("ts"), F.explode(times).alias("delivery"))
+    stream = _in_order(spark, cut_lineage(activity), [F.col("delivery") == n for n in range(3)])
+    stored = lines.select("session", "seq", F.col("value").alias("raw"))
+    late, marks, mined = (scratch_path(spark, n) for n in ("late", "marks", "mined"))
+    _finish(sessions.stream_remine(stream, late, marks, mined, scratch_path(spark, "place"), lambda: (stored, _flagged(spark, d))))
+    return tables.read_batches(spark, mined, sessions.MINED_SCHEMA).drop("batch")
+
+
 @query(
     "stream_ttl",
     _with(vw.EVENT_ANCHORS)

@@ -14,7 +14,9 @@ from snagline.functions import variants as V
 from snagline.operators import sessions as S
 from snagline.functions.settle import settle
 from snagline.session import cut_lineage
-from snagline.streaming.tables import read_state, write_batch, write_state
+from snagline.streaming.tables import (
+    buckets_of, read_buckets, read_state, with_bucket, write_batch, write_buckets, write_state,
+)
 
 ANCHOR_SCHEMA = "session string, pos long, kind string, ts timestamp"
 DIGEST_SCHEMA = "session string, digest string"
@@ -33,23 +35,25 @@ def cap_batch(
 
     The batch is cut to `cap` rows per session before anything is shuffled, so a
     session that floods the stream costs no more than any other.  What was kept is
-    read from the state of the batch before, `cap` rows of a session at most; `since`
-    lets anchors older than the retention fall out of it and of the count.
+    state in buckets by session, `cap` rows of a session at most: a batch reads and
+    rewrites the buckets of its own sessions only.  `since` lets anchors older than
+    the retention fall out of the count, and out of a bucket when it is rewritten.
     """
     state = f"{path.rstrip('/')}-state"
-    kept = read_state(batch.sparkSession, state, ANCHOR_SCHEMA, batch_id)
+    # At most `cap` rows of a session are left here.
+    first = cut_lineage(with_bucket(S.cap_per_session(batch.select("session", "pos", "kind", "ts"), "session", ["pos"], cap), "session"))
+    touched = buckets_of(first)
+    kept = read_buckets(batch.sparkSession, state, ANCHOR_SCHEMA, batch_id, touched)
     if since is not None:
         kept = kept.filter(F.col("ts").isNull() | (F.col("ts") >= since))
     have = kept.groupBy("session").agg(F.count(F.lit(1)).alias("_have"))
-    first = S.cap_per_session(batch.select("session", "pos", "kind", "ts"), "session", ["pos"], cap)
-    # At most `cap` rows of a session are left here.
     place = F.row_number().over(W.partitionBy("session").orderBy("pos"))
     room = first.withColumn("_place", place).join(have, "session", "left").filter(
         F.col("_place") + F.coalesce("_have", F.lit(0)) <= cap
     )
-    room = cut_lineage(room.select("session", "pos", "kind", "ts"))
-    write_batch(room, path, batch_id)
-    write_state(kept.unionByName(room), state, batch_id)
+    room = cut_lineage(room.select("session", "pos", "kind", "ts", "bucket"))
+    write_batch(room.drop("bucket"), path, batch_id)
+    write_buckets(kept.unionByName(room), state, batch_id, touched)
 
 
 def stream_cap(
@@ -104,20 +108,62 @@ def stream_late(
     )
 
 
+MINED_SCHEMA = "session string, digest string, human_turns long, tool_errors long, denials long, bad_lines long"
+
+
+def remine_batch(late: DataFrame, batch_id: int, stored: DataFrame, flagged: DataFrame, mined: str) -> None:
+    """Mine again the sessions of late rows, each content once.
+
+    A session that goes on after it was closed has more lines than when it was mined.
+    Its stored lines (`stored`: session, seq, raw) are hashed anew, and if no earlier
+    batch has mined that content, its entries (`flagged`, as `entry_flags` leaves them)
+    are counted anew.  The state is a row per session and content, in buckets: only
+    the buckets of the late sessions are read, and only lines of late sessions.
+    """
+    state = f"{mined.rstrip('/')}-state"
+    sessions = cut_lineage(late.filter(F.col("session").isNotNull()).select("session").distinct())
+    digests = cut_lineage(with_bucket(S.session_digest(stored.join(sessions, "session", "left_semi")), "session"))
+    known = read_buckets(late.sparkSession, state, DIGEST_SCHEMA, batch_id, buckets_of(digests))
+    new = cut_lineage(digests.join(known.drop("bucket"), ["session", "digest"], "left_anti").select("session", "digest", "bucket"))
+    counts = S.session_counts(flagged.join(new.select("session"), "session", "left_semi"))
+    write_batch(new.drop("bucket").join(counts, "session"), mined, batch_id)
+    touched = buckets_of(new)
+    write_buckets(known.filter(F.col("bucket").isin(touched)).unionByName(new), state, batch_id, touched)
+
+
+def stream_remine(
+    activity: DataFrame, late: str, marks: str, mined: str, checkpoint: str,
+    content: Callable[[], tuple[DataFrame, DataFrame]], delay_seconds: int = fixed.QUIET_HOURS * 3600,
+) -> StreamingQuery:
+    """Set late rows aside and take their sessions up again in the same batch.
+
+    `content`: called in every batch, the stored lines and flagged entries as they are now.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        late_batch(batch, batch_id, late, marks, delay_seconds)
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{late.rstrip('/')}/batch={batch_id}")
+        remine_batch(rows, batch_id, *content(), mined)
+
+    return activity.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def unchanged_batch(batch: DataFrame, batch_id: int, changed: str) -> None:
     """Pass on sessions whose latest content differs from what was last passed on.
 
     `batch`: session, pos, digest.  Only the last hash of a session counts, so
     content that goes back to an older form is worked on again.  The state is one
-    hash per session.
+    hash per session, in buckets: only those with a changed session are rewritten.
     """
     state = f"{changed.rstrip('/')}-state"
-    known = read_state(batch.sparkSession, state, DIGEST_SCHEMA, batch_id)
-    latest = batch.groupBy("session").agg(F.max_by("digest", "pos").alias("digest"))
-    new = S.changed_sessions(latest, known.withColumnRenamed("digest", "stored")).select("session", "digest")
-    new = cut_lineage(new)
-    write_batch(new, changed, batch_id)
-    write_state(known.join(new, "session", "left_anti").unionByName(new), state, batch_id)
+    latest = cut_lineage(with_bucket(batch.groupBy("session").agg(F.max_by("digest", "pos").alias("digest")), "session"))
+    known = read_buckets(batch.sparkSession, state, DIGEST_SCHEMA, batch_id, buckets_of(latest))
+    stored = known.select("session", F.col("digest").alias("stored"))
+    new = cut_lineage(S.changed_sessions(latest, stored).select("session", "digest", "bucket"))
+    write_batch(new.drop("bucket"), changed, batch_id)
+    touched = buckets_of(new)
+    kept = known.filter(F.col("bucket").isin(touched)).join(new, "session", "left_anti")
+    write_buckets(kept.unionByName(new), state, batch_id, touched)
 
 
 def stream_unchanged_skip(deliveries: DataFrame, changed: str, checkpoint: str) -> StreamingQuery:

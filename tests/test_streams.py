@@ -93,3 +93,78 @@ def test_unchanged_content_is_worked_on_once(spark, tmp_path):
     assert deliver(1, "a", "a") == []
     assert deliver(2, "b", "c") == ["c"]
     assert deliver(3, "a") == ["a"]
+
+
+def versions(path):
+    """Files written per bucket and version."""
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.glob("bucket=*/after=*/*.parquet")}
+
+
+def test_a_batch_rewrites_the_buckets_of_its_own_keys(spark, tmp_path):
+    path = tmp_path / "changed"
+    rows = lambda *s: spark.createDataFrame([(x, 0, d) for x, d in s], "session string, pos long, digest string")
+    sessions.unchanged_batch(rows(*((f"s{i}", "a") for i in range(500))), 0, str(path))
+    state = tmp_path / "changed-state"
+    before = versions(state)
+    assert len({k.split("/")[0] for k in before}) == tables.BUCKETS
+    sessions.unchanged_batch(rows(("s7", "b"), ("s8", "a")), 1, str(path))
+    added = set(versions(state)) - set(before)
+    assert len({k.split("/")[0] for k in added}) == 1 and before.items() <= versions(state).items()
+    known = tables.read_buckets(spark, str(state), sessions.DIGEST_SCHEMA).collect()
+    assert {r.session: r.digest for r in known} == {f"s{i}": "a" for i in range(500)} | {"s7": "b"}
+    for n in (2, 3, 4):
+        sessions.unchanged_batch(rows(("s7", f"b{n}")), n, str(path))
+    assert len([k for k in versions(state) if k.startswith(next(iter(added)).split("/")[0])]) == 2
+
+    anchored = tmp_path / "anchors"
+    sessions.cap_batch(anchors(spark, [(f"s{i}", 0) for i in range(300)]), 0, str(anchored), cap=2)
+    before = versions(tmp_path / "anchors-state")
+    sessions.cap_batch(anchors(spark, [("s3", n) for n in range(1, 9)]), 1, str(anchored), cap=2)
+    assert len(set(versions(tmp_path / "anchors-state")) - set(before)) == 1
+
+
+def test_an_expired_count_frees_room(spark, tmp_path):
+    path = str(tmp_path / "anchors")
+    for n, (old, new) in enumerate([(0, 5), (5, 9), (100, 109)]):
+        since = F.timestamp_seconds(F.lit(old - 3))
+        sessions.cap_batch(anchors(spark, [("s", i) for i in range(old, new)]), n, path, cap=4, since=since)
+    kept = tables.read_batches(spark, path, sessions.ANCHOR_SCHEMA).collect()
+    # Of the second batch only as many as the first has lost to time; the third starts anew.
+    assert sorted(r.pos for r in kept) == [0, 1, 2, 3, 5, 6, 100, 101, 102, 103]
+
+
+def test_the_log_is_compacted(spark, tmp_path):
+    log = str(tmp_path / "log")
+    want = {}
+    for n in range(50):
+        rows = [(f"k{n % 7}", "open", "low", None), (f"k{n}", "open", "high", str(n))]
+        batch = spark.createDataFrame(dict((r[0], r) for r in rows).values(), open_set.LOG_SCHEMA)
+        want |= {r[0]: r for r in rows}
+        for _ in range(2 if n in (8, 16, 17, 40) else 1):  # a batch may run twice
+            open_set.log_batch(batch, n, log)
+        if n in (0, 7, 8, 9, 16, 33, 49):
+            assert {r.key: tuple(r) for r in open_set.current(spark, log).collect()} == want
+    batches = [p.name for p in (tmp_path / "log").iterdir() if p.is_dir()]
+    assert len(batches) <= 2 * open_set.EVERY + 1
+    read = open_set.current(spark, log).inputFiles()
+    assert len([f for f in read if "log-compacted" in f]) <= tables.BUCKETS
+    assert max(len(list(b.iterdir())) for b in (tmp_path / "log-compacted").glob("bucket=*")) <= 2
+
+
+def test_late_sessions_are_mined_again_once_per_content(spark, tmp_path):
+    mined = str(tmp_path / "mined")
+    late = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), (None, 1), ("ghost", 1)], "session string, pos long")
+
+    def deliver(batch_id, **lines):
+        rows = [(s, i, x) for s, n in lines.items() for i, x in enumerate("x" * n)]
+        stored = spark.createDataFrame(rows, "session string, seq long, raw string")
+        flagged = stored.select("session", F.lit(True).alias("is_human"), F.lit(True).alias("is_user"), F.lit(2).alias("n_errors"), F.lit(False).alias("is_denial"), F.lit(None).alias("entry"))
+        sessions.remine_batch(late, batch_id, stored, flagged, mined)
+        got = tables.read_batches(spark, mined, sessions.MINED_SCHEMA).filter(F.col("batch") == batch_id).collect()
+        return sorted((r.session, r.human_turns, r.tool_errors, r.bad_lines) for r in got)
+
+    assert deliver(0, a=3, b=1, c=9) == [("a", 3, 6, 3), ("b", 1, 2, 1)]
+    assert deliver(0, a=3, b=1, c=9) == [("a", 3, 6, 3), ("b", 1, 2, 1)]
+    assert deliver(1, a=3, b=1, c=9) == []
+    assert deliver(2, a=3, b=4, c=9) == [("b", 4, 8, 4)]
+    assert deliver(3, a=3, b=1, c=9) == []  # mined before
