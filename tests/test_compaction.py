@@ -201,3 +201,15 @@ def test_each_session_goes_only_as_far_as_it_must(spark, tmp_path):
     report = {r.session: r for r in K.compact_report(entries, out).collect()}
     assert report["cut"].stage == 3 and report["small"].bytes_after <= report["small"].bytes_before
     assert fixed.TRUNCATION_MARKER in got["cut"][0][1]
+
+
+def test_sizes_of_excerpts_are_those_of_the_excerpts(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(ALPHABET, k=n)) for n in (0, 1, 63, 64, 65, 128, 700, K.BLOCK * 256 + 5)] + ["é" * 64 * 5, "\"" * 40_000]
+    caps = sorted({0, 1, 5, 20, 64, 65, 127, 128, 129, 400, 701, 20_000, 39_999, 40_000} | {len(t) + d for t in texts for d in (-1, 0, 1)} - {-1})
+    df = spark.createDataFrame([(str(i), [t]) for i, t in enumerate(texts)], "session string, texts array<string>")
+    got = K.sized_texts(df).select("session", F.explode(F.array(*[F.lit(c).cast("bigint") for c in caps])).alias("cap"), "n", "width", "blocks", "upto")
+    for r in got.select("session", "cap", "width", K.excerpt_bytes(F.col("cap")).alias("size")).collect():
+        text = X.excerpt(texts[int(r.session)], r.cap)
+        assert r["size"] == len(json.dumps(text, ensure_ascii=False).encode()) - 2, (r.session, r.cap)
+    assert K.sized_texts(df).where("width = 1024").count() == 2

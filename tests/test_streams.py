@@ -1,9 +1,10 @@
 import itertools
+import os
 
 from pyspark.sql import functions as F
 
 from snagline import fixed
-from snagline.streaming import open_set, sessions, tables
+from snagline.streaming import ingest, open_set, sessions, tables
 
 RECORD = "rtype string, id string, resolves string, severity string, status string, pos long"
 ROWS = [
@@ -23,6 +24,8 @@ def feed(spark, folder, schema, batches):
     folder.mkdir()
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"b{i}"))
+        for f in (folder / f"b{i}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken by their time
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
@@ -168,3 +171,19 @@ def test_late_sessions_are_mined_again_once_per_content(spark, tmp_path):
     assert deliver(1, a=3, b=1, c=9) == []
     assert deliver(2, a=3, b=4, c=9) == [("b", 4, 8, 4)]
     assert deliver(3, a=3, b=1, c=9) == []  # mined before
+
+
+def test_dedup_state_is_evicted_behind_the_watermark(spark, tmp_path):
+    hour, day = 3600, DAY
+    rows = [[("a", 0), ("b", hour)], [("a", 5 * hour), ("b", 6 * hour), ("c", 7 * hour)], [("far", 10 * day)], [("far", 10 * day + hour)],
+            [("a", 10 * day), ("a", 10 * day + 1), ("c", 0)]]
+    stream = feed(spark, tmp_path / "in", "id string, sec long", rows).select("id", F.timestamp_seconds(F.col("sec") + 100 * day).alias("ts"))
+    out = str(tmp_path / "out")
+    q = ingest.stream_dedup(stream, "ts", "1 day").writeStream.foreachBatch(lambda b, i: tables.write_batch(b, out, i))
+    q = q.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    drain(q)
+    got = tables.read_batches(spark, out, "id string, ts timestamp").select("id", (F.unix_timestamp("ts") - 100 * day).alias("sec"))
+    # Inside the delay a second delivery falls; ten days on `a` is new again, and a row behind the watermark is none.
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 0), ("a", 10 * day), ("b", hour), ("c", 7 * hour), ("far", 10 * day)]
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(sizes) >= 3 and sizes[-1] <= 2
