@@ -8,6 +8,7 @@ from snagline import fixed
 from snagline.functions import redaction as R
 from snagline.functions import text as T
 from snagline.functions.settle import settle
+from snagline.operators import denylist as DL
 from snagline.plans import views as vw
 from snagline.plans.catalog import query
 
@@ -160,6 +161,37 @@ def denylist_hits(spark, d):
     return docs.filter(R.denylist_hit(F.col("text"), vw.DENYLIST)).select("doc_id")
 
 
+def _long_denylist(spark, d):
+    """The short list, then an address per customer, in this order."""
+    few = spark.createDataFrame([(i - len(vw.DENYLIST), x) for i, x in enumerate(vw.DENYLIST)], "pos long, literal string")
+    key = F.col("c_custkey")
+    many = vw.table(spark, d, "customer").select(
+        key.cast("long").alias("pos"), F.concat(F.lit("user"), key.cast("string"), F.lit("@mail.example")).alias("literal"))
+    return few.unionByName(many)
+
+
+_LONG_DENYLIST = "literals AS (\n  SELECT c_custkey AS pos, 'user' || c_custkey || '@mail.example' AS literal FROM customer" + "".join(
+    f"\n  UNION ALL SELECT {i - len(vw.DENYLIST)}, '{x}'" for i, x in enumerate(vw.DENYLIST)) + ")"
+_LONG_HITS = f"WITH {vw.SECRET_TEXTS},\n{_LONG_DENYLIST},\nhits AS (SELECT doc_id, text FROM secret_texts t WHERE EXISTS (SELECT 1 FROM literals WHERE contains(lower(t.text), literal)))\n"
+
+
+@query("denylist_hits_indexed", f"{_LONG_HITS}SELECT doc_id FROM hits")
+def denylist_hits_indexed(spark, d):
+    docs = vw.secret_texts(spark, d).select("doc_id", "text")
+    return DL.indexed_hits(docs, "doc_id", "text", DL.denylist_index(_long_denylist(spark, d))).select("doc_id")
+
+
+@query(
+    "redact_denylist_indexed",
+    f"{_LONG_HITS}SELECT doc_id, text FROM secret_texts WHERE doc_id NOT IN (SELECT doc_id FROM hits)\nUNION ALL\n"
+    "SELECT doc_id, list_reduce(list_prepend(text, (SELECT list(literal ORDER BY pos) FROM literals)),"
+    " lambda a, x: regexp_replace(a, regexp_escape(x), '[redacted]', 'gi')) AS text FROM hits",
+)
+def redact_denylist_indexed(spark, d):
+    docs = vw.secret_texts(spark, d).select("doc_id", "text")
+    return DL.indexed_redact(docs, "doc_id", "text", DL.denylist_index(_long_denylist(spark, d)))
+
+
 # The shapes that tell words from secrets.
 _SHAPES = (
     "(regexp_full_match(run, '(?:--?|_)?[A-Z]?[a-z]+(?:[-_][a-z]{2,})+') "
