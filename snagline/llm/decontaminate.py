@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from snagline.functions.settle import settle
 from snagline.llm.common import keyed, lower_ascii, settled, small_or_not, with_keys
 
 #: Everything in ASCII but digits and letters stands between words.
@@ -15,123 +18,118 @@ def words_of(text: str) -> Column:
     return F.filter(F.split(lower_ascii(F.col(text)), BETWEEN, -1), lambda w: w != "")
 
 
-def _grams(words: Column, k: int | Column) -> Column:
-    """Hash of each run of k words, by place. `words` must be a column at hand, not an expression."""
-    n = F.size(words) - k
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.slice(words, i + 1, k)))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of an array that is computed once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _fingerprints(grams: Column, w: int) -> Column:
-    """Winnowing: the least hash of every w neighbouring ones, each once. `grams` must be a column at hand."""
-    n = F.size(grams) - w
-    return F.when(n >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), n), lambda i: F.array_min(F.slice(grams, i + 1, w))))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+def _neighbours(step: int, merge: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+    """Each value merged with the one `step` places on, or with null beyond the end."""
+    return lambda a: F.zip_with(a, F.slice(a, step + 1, F.size(a)), merge)
+
+
+def _over(values: Column, k: int, merge: Callable[[Column, Column], Column]) -> Column:
+    """Every k neighbours of an array merged to one value, by place.
+
+    Spans are doubled until two that overlap make up k, so each costs about log2(k)
+    steps, however long the array; `merge` must not mind the overlap.
+    """
+    def all_places(v: Column) -> Column:
+        out, have = v, 1
+        while have < k:
+            step = min(have, k - have)
+            out = _let(out, _neighbours(step, merge))
+            have += step
+        return F.slice(out, 1, F.greatest(F.size(v) - (k - 1), F.lit(0)))
+
+    return _let(values, all_places)
+
+
+def _least(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def _hash(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def _other_hash(a: Column, b: Column) -> Column:
+    return F.xxhash64(b, F.lit(1), a)
+
+
+def _word_hashes(text: str) -> Column:
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
 
+def _minima(hashes: Column, span: int, gram: int) -> Column:
+    """Winnowing: by place of a window of `span` words, the least hash of the `gram`s in it."""
+    return _over(_over(hashes, gram, _hash), span - gram + 1, _least)
 
-def _places(values: Column, wanted: Column) -> Column:
-    """Places (from 0) of a value in an array."""
-    return F.filter(F.transform(values, lambda v, i: F.when(v == wanted, i)), lambda i: i.isNotNull())
 
+def _prints(hashes: Column, span: int, gram: int, lengths: Sequence[int]) -> Column:
+    """Distinct fingerprints (len, m): winnowed ones of windows, and all runs as long as a short item."""
+    def of(n: int, values: Column) -> Column:
+        return F.transform(F.array_distinct(values), lambda m: F.struct(F.lit(n).alias("len"), m.alias("m")))
 
-def _item_table(benchmark: DataFrame, span: int, gram: int) -> DataFrame:
-    """Items with words: item_no, item_id as text, item_words, n, len, item_grams (of len words); rows without id or words are no items."""
+    return F.concat(of(span, _minima(hashes, span, gram)), *[of(n, _over(hashes, n, _other_hash)) for n in lengths])
+
+
+def _windows(hashes: Column, span: int, gram: int, lengths: Sequence[int]) -> Column:
+    """Windows (at, len, m, w) by place: a fingerprint, and the hash of the whole window around it."""
+    def of(n: int, prints: Column) -> Column:
+        both = F.zip_with(prints, _over(hashes, n, _hash), lambda m, w: F.struct(m.alias("m"), w.alias("w")))
+        return F.transform(both, lambda x, i: F.struct(i.alias("at"), F.lit(n).alias("len"), x["m"].alias("m"), x["w"].alias("w")))
+
+    return F.concat(of(span, _minima(hashes, span, gram)), *[of(n, _over(hashes, n, _other_hash)) for n in lengths])
+
+
+def _item_windows(benchmark: DataFrame, span: int, gram: int) -> DataFrame:
+    """(item_id as text, len, m, w) of every item window; rows without id or words are no items."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
-    items = items.dropDuplicates().select("item_id", words_of("text").alias("item_words"))
-    items = items.withColumn("n", F.size("item_words")).where("n > 0")
-    items = items.withColumn("len", F.when(F.col("n") >= span, gram).otherwise(F.col("n")))
-    items = items.withColumn("item_grams", _grams(F.col("item_words"), F.col("len")))
-    return settled(items.withColumn("item_no", F.monotonically_increasing_id()), "items")
+    items = settle(items.dropDuplicates(), {"hashes": _word_hashes("text")}).drop("text")
+    n, hashes = F.size("hashes"), F.col("hashes")
+    long_ones = items.where(n >= span).select("item_id", F.explode(_windows(hashes, span, gram, [])).alias("x"))
+    short_ones = items.where((n > 0) & (n < span)).select("item_id", n.alias("n"), F.explode(_windows(hashes, span, gram, range(1, span))).alias("x"))
+    windows = long_ones.unionByName(short_ones.where(F.col("x.len") == F.col("n")).drop("n"))
+    return settled(windows.select("item_id", "x.len", "x.m", "x.w").distinct(), "items")
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, span: int = 13, gram: int = 5) -> DataFrame:
-    """(k1, k2, hits array<int>, items array<string>) of the documents that hold an item window.
+    """(k1, k2, n_hit long, items array<string>) of the documents that hold an item window.
 
     A window is `span` consecutive words of an item, or a shorter item as a whole.
     Documents and items are reduced to winnowed fingerprints: the least hash of
     every `span - gram + 1` neighbouring word `gram`s, so any shared run of `span`
-    words has one in common. They are joined; each seed is extended to both sides
-    along its diagonal, and runs of `span` words or more are hits. Items shorter
-    than `span` have no full winnowing window; their hashes as a whole meet all
-    document grams of that length.
+    words has one in common. They are joined. In the documents that meet an item,
+    each fingerprint is extended to the whole windows around it: one is hit if an
+    item has a window of the same words (compared by 64 bits) around the same
+    fingerprint (64 more). Neighbouring hits run together by their places, so a text
+    costs a row per word, however often it repeats itself. Items shorter than `span`
+    have no full winnowing window; their hashes as a whole meet all runs of that length.
     """
-    w = span - gram + 1
-    items = _item_table(benchmark, span, gram)
+    items = _item_windows(benchmark, span, gram)
     rows = keyed(docs)
-    lengths = [r[0] for r in items.where(F.col("n") < span).select("n").distinct().collect()]  # below `span` of them
-    long_ones, short_ones = items.where(F.col("n") >= span), items.where(F.col("n") < span)
-    prints_of = long_ones.select("item_no", "len", F.explode(_fingerprints(F.col("item_grams"), w)).alias("h")).unionByName(
-        short_ones.select("item_no", "len", F.explode("item_grams").alias("h"))
-    )
-    prints_of = small_or_not(settled(prints_of, "item-prints"))
-
-    split = rows.select("k1", "k2", words_of("text").alias("words"))
-    met = (
-        split.select("k1", "k2", _grams(F.col("words"), gram).alias("grams"))
-        .select("k1", "k2", F.lit(gram).alias("len"), F.explode(_fingerprints(F.col("grams"), w)).alias("h"))
-    )
-    for n in lengths:
-        whole = split.select("k1", "k2", F.lit(n).alias("len"), F.explode(_grams(F.col("words"), n)).alias("h"))
-        met = met.unionByName(whole)
-    met = settled(met.join(prints_of, ["len", "h"]).select("k1", "k2", "h", "item_no").distinct(), "met")
-
-    # Seeds of a document, with the words of their items: what the document holds bounds them.
-    seeds = (
-        met.groupBy("k1", "k2", "item_no").agg(F.collect_list("h").alias("seeds"))
-        .join(items.select("item_no", "item_id", "item_words", "item_grams", "len"), "item_no")
-        .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("item_id", "item_words", "item_grams", "len", "seeds")).alias("met"))
-    )
-    lens = sorted({gram, *lengths})
-    aimed = (
-        rows.select("k1", "k2", "text").join(seeds, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-        .select("k1", "k2", "met", words_of("text").alias("words"))
-        .select("k1", "k2", "met", "words", *[_grams(F.col("words"), n).alias(f"g{n}") for n in lens])
-        .select("k1", "k2", "words", F.explode("met").alias("m"), *[f"g{n}" for n in lens])
-        .select(
-            "k1", "k2", "words", "m.*",
-            F.coalesce(*[F.when(F.col("m.len") == n, F.col(f"g{n}")) for n in lens]).alias("grams"),
-        )
-    )
-    extended = aimed.select(
-        "k1", "k2", "words", "item_id", "item_words",
-        F.array_distinct(F.flatten(F.transform("seeds", lambda h: F.flatten(F.transform(
-            _places(F.col("grams"), h),
-            lambda p: F.transform(_places(F.col("item_grams"), h), lambda q: p - q),
-        ))))).alias("diagonals"),
-    )
-    n_item = F.size("item_words")
-    need = F.least(F.lit(span), n_item)
-
-    def matched(d: Column) -> Column:
-        """Hit words along one diagonal: every place inside a run of equal words that is long enough."""
-        same = F.transform(F.sequence(F.lit(0), n_item - 1), lambda j: (d + j >= 0) & F.coalesce(F.get("words", F.greatest(d + j, F.lit(0))) == F.get("item_words", j), F.lit(False)))
-        return _runs(same, need, d)
-
-    hit = extended.select("k1", "k2", "item_id", F.array_distinct(F.flatten(F.transform("diagonals", matched))).alias("hit"))
-    return (
-        hit.where(F.size("hit") > 0)
-        .groupBy("k1", "k2")
-        .agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hits"), F.collect_set("item_id").alias("items"))
-    )
-
-
-def _runs(same: Column, need: Column, shift: Column) -> Column:
-    """Places (shifted) inside runs of `need` true values or more: a fold that carries the open run's start."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, ok: Column) -> Column:
-        run = F.when(ok, acc["run"] + 1).otherwise(F.lit(0))
-        full = F.when(run == need, F.sequence(shift + acc["at"] - need + 1, shift + acc["at"])).when(
-            run > need, F.array(shift + acc["at"])
-        ).otherwise(F.array().cast("array<int>"))
-        return F.struct((acc["at"] + 1).alias("at"), run.alias("run"), F.concat(acc["out"], full).alias("out"))
-
-    return F.aggregate(same, start, step, lambda a: a["out"])
+    lengths = sorted(r.len for r in items.where(F.col("len") < span).select("len").distinct().collect())  # below `span` of them
+    hashed = settle(rows, {"hashes": _word_hashes("text")}).drop("text")
+    prints = hashed.select("k1", "k2", F.explode(_prints(F.col("hashes"), span, gram, lengths)).alias("x"))
+    wanted = small_or_not(settled(items.select("len", "m").distinct(), "item-prints"))
+    met = prints.select("k1", "k2", "x.len", "x.m").join(wanted, ["len", "m"], "left_semi").select("k1", "k2").distinct()
+    met = settled(met, "met")
+
+    aimed = settle(rows.join(met, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), {"hashes": _word_hashes("text")})
+    windows = aimed.select("k1", "k2", F.explode(_windows(F.col("hashes"), span, gram, lengths)).alias("x"))
+    known = small_or_not(settled(items.select("len", "m", "w").distinct(), "item-windows"))
+    hit = settled(windows.select("k1", "k2", "x.*").join(known, ["len", "m", "w"], "left_semi"), "hit")
+
+    # A window adds the words beyond the furthest end of those that start before it.
+    before = Window.partitionBy("k1", "k2").orderBy("at", "len").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("at") + F.col("len")
+    new = F.greatest(end - F.greatest(F.col("at"), F.coalesce(F.max(end).over(before), F.lit(0))), F.lit(0))
+    n_hit = hit.select("k1", "k2", new.alias("new")).groupBy("k1", "k2").agg(F.sum("new").cast("long").alias("n_hit"))
+    held = hit.select("k1", "k2", "len", "m", "w").distinct().join(items, ["len", "m", "w"])
+    return n_hit.join(held.groupBy("k1", "k2").agg(F.collect_set("item_id").alias("items")), ["k1", "k2"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, gram: int = 5, share: int = 20) -> DataFrame:
@@ -146,7 +144,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 13, gram: i
     each. Empty tables give empty results, an empty benchmark no hits.
     """
     found = find_passages(docs, benchmark, span, gram).select(
-        F.col("k1").alias("__llm_k1"), F.col("k2").alias("__llm_k2"), F.size("hits").cast("long").alias("__llm_n_hit"), F.array_sort("items").alias("__llm_items")
+        F.col("k1").alias("__llm_k1"), F.col("k2").alias("__llm_k2"), F.col("n_hit").alias("__llm_n_hit"), F.array_sort("items").alias("__llm_items")
     )
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "n_items", "contaminated")]
     whole = with_keys(docs, own).withColumn("__llm_text", F.coalesce(F.col("text"), F.lit("")))

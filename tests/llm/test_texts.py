@@ -99,8 +99,9 @@ def test_contamination(spark, docs_of, rows):
     rng = random.Random(5)
     texts = [t for _, t, _ in rows if t and 30 < len(t) < 5000]
     items = [(i, " ".join(t.split()[5:40]).title() + "!") for i, t in enumerate(rng.sample(texts, 8))]
+    items += [(27, "be " * 100_000), (28, "as is " * 40_000 + "end")]
     items += [(20, "one, TWO"), (21, "be be be"), (22, "be " * 30), (23, None), (24, ""), (25, "?!"), (None, texts[0]), (3, texts[3]), (26, "é😀")]
-    more = rows + [(600, "One two. " + "word " * 60), (601, "be be"), (602, "b" * 13), (603, " ".join(t for _, t in items if t))]
+    more = rows + [(600, "One two. " + "word " * 60), (601, "be be"), (602, "b" * 13), (604, "be " * 100_000), (605, "is as " * 50_000 + "be " * 20), (603, " ".join(t for _, t in items if t))]
     got = dc.decontaminate(docs_of(more), spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 AS kept", "2 AS doc_id"))
     known = [(i, t) for i, t in items if i is not None]
     want = [(r[0], *brute_hits(r[1], known)) for r in more]
