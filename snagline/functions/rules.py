@@ -55,20 +55,19 @@ def variant_field(v: Column, name: str) -> Field:
     )
 
 
-def field_structs(v: Column, names: Sequence[str]) -> dict[str, Column]:
-    """One struct per property with all its tests need; compute these once."""
-    out = {}
-    for name in names:
-        f = variant_field(v, name)
-        out[f"_f_{name}"] = F.struct(
-            f.value.alias("value"), f.string.alias("string"), f.is_string.alias("is_string")
-        )
-    return out
+def field_casts(v: Column, names: Sequence[str]) -> dict[str, Column]:
+    """All properties of a record in two casts of the whole object; compute these once.
+
+    `_values` keeps each property as it is.  `_strings` holds the bytes of the strings:
+    of all JSON values only a string can be cast to binary, so nothing else is there.
+    """
+    record = lambda kind: F.try_variant_get(v, "$", f"struct<{', '.join(f'`{n}`: {kind}' for n in names)}>")
+    return {"_values": record("variant"), "_strings": record("binary")}
 
 
-def stored_field(name: str) -> Field:
-    c = F.col(f"_f_{name}")
-    return Field(c["value"].isNotNull(), c["string"], c["is_string"], c["value"])
+def cast_field(name: str) -> Field:
+    value, text = F.col("_values")[name], F.col("_strings")[name]
+    return Field(value.isNotNull(), text.cast("string"), text.isNotNull(), value)
 
 
 def string_field(c: Column) -> Field:
@@ -226,9 +225,9 @@ def validate_objects(
     out: str = "errors",
 ) -> DataFrame:
     """Parsed objects with their errors against a rule set."""
-    read = settle(df, {**field_structs(F.col(v), list(rules)), "_extra": unknown_keys(F.col(v), list(rules))})
-    errors = errors_of({n: stored_field(n) for n in rules}, rules, conditions, F.col("_extra"))
-    return settle(read, {out: errors}).drop(*[f"_f_{n}" for n in rules], "_extra")
+    read = settle(df, {**field_casts(F.col(v), list(rules)), "_extra": unknown_keys(F.col(v), list(rules))})
+    errors = errors_of({n: cast_field(n) for n in rules}, rules, conditions, F.col("_extra"))
+    return settle(read, {out: errors}).drop("_values", "_strings", "_extra")
 
 
 def validate_nested(

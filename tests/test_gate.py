@@ -118,3 +118,17 @@ def test_host_globs_match_like_fnmatch(spark):
         assert got[h] == want, h
     unknown = spark.createDataFrame([(None, False), ("h", None), ("h", True), ("h", False)], "h string, m boolean")
     assert [r[0] for r in unknown.select(gate.classify_profile(F.col("h"), F.col("m"), globs)).collect()] == ["strict"] * 3 + ["default"]
+
+
+def test_two_casts_read_what_single_reads_do(spark):
+    values = [
+        '"x"', '""', "5", "5.5", "1e300", "true", "null", "[1]", '["a"]', '{"a":1}', "{}", "[]", '"1"', "-1",
+        "12345678901234567890123", '"\\u00e9\\ud83d\\ude00"', '"2020-01-01"',
+    ]
+    rows = [(i, f'{{"id":{x},"v":{x}}}') for i, x in enumerate(values)] + [(90, "{}"), (91, "[1]"), (92, '"s"'), (93, "null")]
+    df = spark.createDataFrame(rows, "i int, j string").select("i", F.parse_json("j").alias("v"))
+    cast = df.select("i", *[c.alias(k) for k, c in Q.field_casts(F.col("v"), ["id", "v"]).items()])
+    read = lambda f: ["i", f.present.alias("p"), f.string.alias("s"), f.is_string.alias("k"), F.to_json(f.value).alias("w")]
+    for name in ("id", "v"):
+        one = sorted(map(tuple, df.select(*read(Q.variant_field(F.col("v"), name))).collect()))
+        assert sorted(map(tuple, cast.select(*read(Q.cast_field(name))).collect())) == one
