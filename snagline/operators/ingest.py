@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snagline.functions import text as T
@@ -93,6 +95,15 @@ def failed_groups(batch: DataFrame, published: DataFrame) -> DataFrame:
 MONTHS_SENT = 100_000
 
 
+def _sound(batch: DataFrame, published: DataFrame) -> DataFrame:
+    """Rows of the batch whose month has no unusable id, old or new."""
+    batch = cut_lineage(batch)
+    failed = cut_lineage(failed_groups(batch, published))
+    if failed.limit(MONTHS_SENT + 1).count() <= MONTHS_SENT:
+        failed = F.broadcast(failed)
+    return batch.join(failed, "month", "left_anti")
+
+
 def reconcile_by_id(batch: DataFrame, published: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows of the batch that their month does not hold yet, one per id.
 
@@ -100,12 +111,7 @@ def reconcile_by_id(batch: DataFrame, published: DataFrame, order: Sequence[str]
     batch is settled, so its lines are parsed once; the failed months, counted
     first, go to the rows, and one shuffle on month and id is left.
     """
-    batch = cut_lineage(batch)
-    failed = cut_lineage(failed_groups(batch, published))
-    if failed.limit(MONTHS_SENT + 1).count() <= MONTHS_SENT:
-        failed = F.broadcast(failed)
-    sound = batch.join(failed, "month", "left_anti")
-    return first_per_id(sound, order).join(
+    return first_per_id(_sound(batch, published), order).join(
         published.select("month", "id"), ["month", "id"], "left_anti"
     )
 
@@ -119,6 +125,60 @@ def append_ledger(rows: DataFrame, path: str) -> None:
     rows.hint("rebalance", "month").write.partitionBy("month").mode("append").parquet(path)
 
 
+#: Buckets of a month in a ledger; a bucket of the largest month should fit a task.
+LEDGER_BUCKETS = 16
+
+
+def ledger_key() -> Column:
+    """Month and id as one value, by which a bucketed ledger is dealt; a month holds no slash."""
+    return F.concat("month", F.lit("/"), "id")
+
+
+@dataclass(frozen=True)
+class BucketedLedger:
+    """A ledger under `path`: folders by month, and in each the same number of buckets by key.
+
+    Published rows lie where a batch, dealt alike, meets them: they are never
+    shuffled.  The number of buckets is fixed when the ledger is made.
+    """
+
+    spark: SparkSession
+    path: str
+    columns: str
+    buckets: int = LEDGER_BUCKETS
+
+    @property
+    def name(self) -> str:
+        """The table's name in the session's catalog, told from the path."""
+        return "ledger_" + hashlib.sha256(self.path.encode()).hexdigest()[:24]
+
+    def rows(self) -> DataFrame:
+        """What is published; a session that meets the ledger for the first time lists its months once."""
+        if not self.spark.catalog.tableExists(self.name):
+            place = self.path.replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {self.name} ({self.columns}, key string, month string) USING parquet "
+                f"PARTITIONED BY (month) CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{place}'"
+            )
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+            self.spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
+        return self.spark.table(self.name)
+
+    def reconcile(self, batch: DataFrame, published: DataFrame, order: Sequence[str]) -> DataFrame:
+        """As `reconcile_by_id`, with the batch alone shuffled; `published`: all rows, or those of some months."""
+        first = first_per_id(_sound(batch, published).withColumn("key", ledger_key()), order, ["key"])
+        # An anti-join would be moved below the repartition, and the ledger dealt anew.
+        held = published.select("key", F.col("key").alias("_held"))
+        return first.repartition(self.buckets, "key").join(held, "key", "left").filter("_held IS NULL").drop("_held")
+
+    def append(self, rows: DataFrame) -> None:
+        """A task writes one bucket of every month; lines are kept as they came."""
+        stored = self.rows().columns
+        dealt = rows.withColumn("key", ledger_key()).repartition(self.buckets, "key")
+        dealt.select(*stored).write.insertInto(self.name)
+
+
 def write_quarantine(bad: DataFrame, path: str, batch: int | str) -> None:
     """The batch's bad lines replace what an earlier run of it left, even by nothing."""
     bad.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")

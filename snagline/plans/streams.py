@@ -65,17 +65,20 @@ def _sink(spark, stream, mode="append"):
 @query(
     "stream_ingest",
     _with(vw.MONTH_LINES)
-    + "SELECT DISTINCT month, id FROM month_lines WHERE reason IS NULL",
+    + """SELECT month, id, min_by(line, pos) AS value FROM (
+  SELECT l.*, '{"id":"' || id || '","ts":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '","title":"' || l.o_orderpriority
+    || '","unknown_field":"x"}' AS line FROM month_lines l JOIN orders ON o_orderkey = pos WHERE reason IS NULL) GROUP BY 1, 2""",
 )
 def stream_ingest(spark, d):
-    """Delivered twice under two checkpoints: the second delivery adds nothing."""
+    """Delivered twice under two checkpoints: the second delivery adds nothing; lines as they came."""
     spool = scratch_path(spark, "spool")
-    vw.month_lines(spark, d).select("value").repartition(_FILES).write.text(spool)
+    lines = vw.month_lines(spark, d).repartitionByRange(_FILES, "pos").sortWithinPartitions("pos")
+    lines.select("value").write.text(spool)
     ledger, quarantine = scratch_path(spark, "ledger"), scratch_path(spark, "quarantine")
     for _ in range(2):
-        lines = ingest.spool_stream(spark, spool)
-        _finish(ingest.stream_ingest(lines, ledger, quarantine, scratch_path(spark, "place")))
-    return ingest.read_ledger(spark, ledger).select("month", "id")
+        stream = ingest.spool_stream(spark, spool)
+        _finish(ingest.stream_ingest(stream, ledger, quarantine, scratch_path(spark, "place")))
+    return ingest.read_ledger(spark, ledger).select("month", "id", "value")
 
 
 @query("stream_anchors", _with(vw.PAYLOADS) + "SELECT pos, session_id, kind, error_class FROM friction")

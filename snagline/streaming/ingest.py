@@ -30,10 +30,12 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest_batch(
     lines: DataFrame, batch_id: int, ledger: str, quarantine: str, held: str | None = None,
-    publish: Publish | None = None,
+    publish: Publish | None = None, buckets: int = ingest.LEDGER_BUCKETS,
 ) -> None:
     """One micro-batch: quarantine, reconcile by month and id, append.
 
+    The ledger is bucketed, so only the batch is shuffled, however much is published.
+
     Sound months are published first.  A month with an unusable id then stops the
     stream, so that the batch comes again, or with `held` its lines are set
     aside.  Running a batch twice changes nothing: its quarantine is overwritten
@@ -46,11 +48,12 @@ def ingest_batch(
     # Calendar months only: at most a few thousand short strings.  Naming them
     # lets the read below skip every other month's folder.
     months = [r.month for r in good.select("month").distinct().collect()]
-    published = read_ledger(spark, ledger).filter(F.col("month").isin(months))
-    new = ingest.reconcile_by_id(good, published, LINE_ORDER)
+    table = ingest.BucketedLedger(spark, ledger, LEDGER_SCHEMA.removesuffix(", month string"), buckets)
+    published = table.rows().filter(F.col("month").isin(months))
+    new = table.reconcile(good, published, LINE_ORDER)
     rows = new.select("id", "value", "batch", *LINE_ORDER, "month")
     if publish is None:
-        ingest.append_ledger(rows, ledger)
+        table.append(rows)
     else:
         publish(rows, batch_id)
     failed = cut_lineage(ingest.failed_groups(good, published))
@@ -74,13 +77,13 @@ def spool_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
 
 def stream_ingest(
     lines: DataFrame, ledger: str, quarantine: str, checkpoint: str, held: str | None = None,
-    publish: Publish | None = None,
+    publish: Publish | None = None, buckets: int = ingest.LEDGER_BUCKETS,
 ) -> StreamingQuery:
     """Run `ingest_batch` over what is there now; the checkpoint holds the place."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         numbered = batch.withColumn("mid", F.monotonically_increasing_id())
-        ingest_batch(numbered, batch_id, ledger, quarantine, held, publish)
+        ingest_batch(numbered, batch_id, ledger, quarantine, held, publish, buckets)
 
     return (
         lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

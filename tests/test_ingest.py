@@ -101,3 +101,33 @@ def test_stream_twice_and_publisher(spark, tmp_path):
         numbered(spark, [line("new")]), 9, ledger, quarantine,
         publish=lambda rows, i: sent.extend((r.id, i) for r in rows.collect()))
     assert sent == [("new", 9)]
+
+
+def test_published_rows_are_not_shuffled(spark, tmp_path):
+    ledger = ingest.BucketedLedger(spark, str(tmp_path / "l"), "id string, pos long", buckets=3)
+    rows = frame(spark, [(f"2024-{m:02}", f"id{i}", i) for m in (1, 2) for i in range(50)])
+    ledger.append(ledger.reconcile(rows, ledger.rows(), ["pos"]))
+    more = frame(spark, [(f"2024-{m:02}", f"id{i % 70}", i) for m in (2, 3) for i in range(140)])
+    before = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for partitions in ("2", "7"):  # fewer and more than buckets
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            new = ledger.reconcile(more, ledger.rows(), ["pos"])
+            plan = new._jdf.queryExecution().executedPlan().toString()
+            # The ledger's side of the join has no exchange: it is read as it was dealt.
+            at = next(x for x in plan.splitlines() if "LeftOuter" in x).index("SortMergeJoin")
+            side = plan[plan.index("\n" + " " * at + "+- "):]
+            assert "FileScan parquet" in side and "Bucketed: true" in side and ledger.name in side
+            assert "Exchange" not in side
+            got = sorted((r.month, r.id, r.pos) for r in new.collect())
+            assert got == sorted([("2024-02", f"id{i}", i) for i in range(50, 70)] + [("2024-03", f"id{i}", i) for i in range(70)])
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    ledger.append(new)
+    assert ledger.rows().count() == spark.read.parquet(str(tmp_path / "l")).count() == 190
+    # A session that has not met the ledger yet finds all its months.
+    spark.sql(f"DROP TABLE {ledger.name}")
+    assert ledger.rows().count() == 190
+    assert ledger.reconcile(more, ledger.rows(), ["pos"]).isEmpty()
