@@ -77,7 +77,7 @@ def stream_ingest(spark, d):
     ledger, quarantine = scratch_path(spark, "ledger"), scratch_path(spark, "quarantine")
     for _ in range(2):
         stream = ingest.spool_stream(spark, spool)
-        _finish(ingest.stream_ingest(stream, ledger, quarantine, scratch_path(spark, "place")))
+        _finish(ingest.stream_ingest(stream, ledger, quarantine, scratch_path(spark, "place"), buckets=4))
     return ingest.read_ledger(spark, ledger).select("month", "id", "value")
 
 
@@ -171,9 +171,11 @@ def stream_remine(spark, d):
     + f"SELECT session, pos FROM anchors WHERE epoch(TIMESTAMP '{vw.NOW}') - epoch(date_trunc('second', ts)) <= {fixed.ANCHOR_TTL_DAYS} * 86400",
 )
 def stream_ttl(spark, d):
-    """The side table a stream left, cut to its retention."""
-    kept = _sink(spark, _replay(spark, vw.event_anchors(spark, d)))
-    return sessions.expire(kept, vw.now(), fixed.ANCHOR_TTL_DAYS).select("session", "pos")
+    """The dated folders a stream left, after those past their retention went."""
+    path = scratch_path(spark, "anchors")
+    _finish(sessions.stream_dated(_replay(spark, vw.event_anchors(spark, d)), path, scratch_path(spark, "place")))
+    sessions.expire_folders(spark, path, sessions.ANCHOR_SCHEMA, vw.now(), fixed.ANCHOR_TTL_DAYS)
+    return tables.read_dated(spark, path, sessions.ANCHOR_SCHEMA).select("session", "pos")
 
 
 @query(

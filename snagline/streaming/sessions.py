@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +15,8 @@ from snagline.operators import sessions as S
 from snagline.functions.settle import settle
 from snagline.session import cut_lineage
 from snagline.streaming.tables import (
-    buckets_of, read_buckets, read_state, with_bucket, write_batch, write_buckets, write_state,
+    buckets_of, dated_folders, read_buckets, read_dated, read_state, with_bucket, write_batch, write_buckets,
+    write_dated, write_state,
 )
 
 ANCHOR_SCHEMA = "session string, pos long, kind string, ts timestamp"
@@ -173,6 +174,42 @@ def stream_unchanged_skip(deliveries: DataFrame, changed: str, checkpoint: str)
     )
 
 
-def expire(rows: DataFrame, now: Column, days: int, ts: str = "ts") -> DataFrame:
-    """Side-table rows still within their retention; unreadable times stay."""
-    return S.ttl_prune(rows, F.col(ts), now, days)
+def stream_dated(rows: DataFrame, path: str, checkpoint: str, ts: str = "ts") -> StreamingQuery:
+    """A side table kept in folders by day, so that it can expire by folder."""
+    return (
+        rows.writeStream.foreachBatch(lambda b, i: write_dated(b, path, i, ts))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def expire_folders(spark: SparkSession, path: str, schema: str, now: Column, days: int, ts: str = "ts") -> None:
+    """Remove the rows of a dated side table past their retention.
+
+    The limit falls within one day.  The folders of the days before it go whole, without
+    being read; of that day, the batches that hold a row past the limit are rewritten, or
+    go where nothing of them is left.  Later days, and rows without a time, are not
+    touched.  Running it again, or after a stop half-way, removes what is left to remove.
+    """
+    at = F.floor((F.unix_seconds(now) - days * 86400) / 86400).cast("int")
+    edge = spark.range(1).select(F.date_from_unix_date(at).cast("string")).first()[0]
+    fs, found = dated_folders(spark, path)
+    for day, folder in found.items():
+        if day[:1].isdigit() and day < edge:
+            fs.delete(folder, True)
+    if edge not in found:
+        return
+    rows = read_dated(spark, path, schema).filter(F.col("day") == F.lit(edge).cast("date"))
+    kept = S.ttl_prune(rows.withColumn("_live", F.lit(1)), F.col(ts), now, days)
+    sizes = rows.groupBy("batch").count().join(kept.groupBy("batch").agg(F.count("_live").alias("live")), "batch", "left")
+    # A number per batch that wrote rows of this one day.
+    changed = {r.batch: r.live for r in sizes.filter("live IS NULL OR live < count").collect()}
+    left = [b for b, live in changed.items() if live]
+    if left:
+        whole = cut_lineage(kept.drop("_live").filter(F.col("batch").isin(left)))
+        (
+            whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("day", "batch").parquet(path)
+        )
+    fs, found = dated_folders(spark, path, batches=True)
+    for b in changed.keys() - set(left):
+        fs.delete(found[edge, b], True)

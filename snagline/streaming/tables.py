@@ -23,6 +23,36 @@ def read_batches(spark: SparkSession, path: str, schema: str, before: int | None
     return rows if before is None else rows.filter(F.col("batch") < before)
 
 
+def write_dated(rows: DataFrame, path: str, batch_id: int, ts: str = "ts") -> None:
+    """This batch's rows in a folder per day, in UTC, and batch; rows without a time have a folder of their own.
+
+    A second attempt at a batch overwrites what the first left.
+    """
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
+    (
+        rows.withColumns({"day": day, "batch": F.lit(batch_id).cast("long")}).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+    )
+
+
+def read_dated(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of all folders with their `day` and `batch`."""
+    full = T.StructType.fromDDL(schema).add("day", "date").add("batch", "long")
+    if not _exists(spark, f"{path.rstrip('/')}/day=*"):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path)
+
+
+def dated_folders(spark: SparkSession, path: str, batches: bool = False) -> tuple:
+    """The file system, and the folder of each day, or of each (day, batch), by their names."""
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = new(f"{path.rstrip('/')}/day=*" + ("/batch=*" if batches else ""))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    value = lambda at: at.getName().split("=", 1)[1]
+    found = [f.getPath() for f in fs.globStatus(root) or ()]
+    return fs, {(value(at.getParent()), int(value(at))) if batches else value(at): at for at in found}
+
+
 #: Buckets that a keyed state is dealt over; a batch rewrites those that its keys fall in.
 BUCKETS = 64
 

@@ -187,3 +187,30 @@ def test_dedup_state_is_evicted_behind_the_watermark(spark, tmp_path):
     assert sorted(tuple(r) for r in got.collect()) == [("a", 0), ("a", 10 * day), ("b", hour), ("c", 7 * hour), ("far", 10 * day)]
     sizes = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert max(sizes) >= 3 and sizes[-1] <= 2
+
+
+def test_expiry_by_folders(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "pos long, ts timestamp"
+    now = F.lit("2024-03-10 12:00:00").cast("timestamp")
+    at = lambda *rows: spark.createDataFrame(rows, "pos long, t string").select("pos", F.col("t").cast("timestamp").alias("ts"))
+    batches = [
+        [(1, "2024-02-01 00:00:00"), (2, "2024-03-03 11:59:59"), (3, "2024-03-03 12:00:00"), (4, None)],
+        [(5, "2024-03-03 01:00:00"), (6, "2024-03-02 23:59:59"), (7, "2024-03-04 00:00:00")],
+        [(8, "2024-03-03 13:00:00"), (9, "2024-03-10 00:00:00")],
+    ]
+    for i, rows in enumerate([*batches, batches[2]]):
+        tables.write_dated(at(*rows), path, min(i, 2))  # the last batch comes twice
+    files = lambda: {f for f in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    sessions.expire_folders(spark, path, schema, now, 7)
+    got = {r.pos for r in tables.read_dated(spark, path, schema).collect()}
+    assert got == {3, 4, 7, 8, 9}
+    # Live days, the folder without times, and a batch that loses nothing keep their files.
+    rewritten = before - files()
+    folders = {str(f.parent.relative_to(tmp_path / "t")) for f in rewritten}
+    assert folders == {"day=2024-02-01/batch=0", "day=2024-03-02/batch=1", "day=2024-03-03/batch=0", "day=2024-03-03/batch=1"}
+    after = files()
+    sessions.expire_folders(spark, path, schema, now, 7)
+    assert files() == after
+    sessions.expire_folders(spark, str(tmp_path / "none"), schema, now, 7)
+    assert tables.read_dated(spark, str(tmp_path / "none"), schema).isEmpty()
