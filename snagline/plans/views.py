@@ -6,6 +6,12 @@ oracle queries build on.  Every view covers its whole table.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401  (pa.fs)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,20 +41,43 @@ def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> D
     return deal_small(df, *KEYS[name]) if heavy else df
 
 
+def _write_named(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Write rows (file, value), sorted by file, as text files under `path`; count the files.
+
+    A file gets its name when it is complete, so a task that runs again replaces it whole.
+    """
+    fs, root = pa.fs.FileSystem.from_uri(path)
+    n, name, part, out = 0, None, "", None
+    for batch in batches:
+        rows = zip(batch.column("file").to_pylist(), batch.column("value").to_pylist())
+        for file, group in groupby(rows, key=lambda r: r[0]):
+            if file != name:
+                if out:
+                    out.close()
+                    fs.move(part, f"{root}/{name}")
+                n, name, part = n + 1, file, f"{root}/.{uuid.uuid4().hex}"
+                out = fs.open_output_stream(part)
+            out.write("".join(f"{value or ''}\n" for _, value in group).encode())
+    if out:
+        out.close()
+        fs.move(part, f"{root}/{name}")
+    yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+
 def named_files(rows: DataFrame, path: str) -> None:
     """Store rows (file, place, value) as text files of these names, lines in order of place.
 
-    Spark writes one folder per name; the file in it is then given its name.
+    A task writes the files of its names, one after another; the driver touches none.
     """
-    spark, parts = rows.sparkSession, f"{path}-parts"
-    ordered_rows = rows.repartition("file").sortWithinPartitions("file", "place")
-    ordered_rows.select("file", "value").write.partitionBy("file").text(parts)
+    spark = rows.sparkSession
     new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = new(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(new(path))
-    for folder in fs.globStatus(new(f"{parts}/file=*")):
-        (part,) = fs.globStatus(new(folder.getPath(), "part-*"))
-        fs.rename(part.getPath(), new(path, folder.getPath().getName().removeprefix("file=")))
+    uri = fs.makeQualified(new(path)).toUri()
+    place = uri.getPath() if uri.getScheme() == "file" else uri.toString()
+    named = rows.withColumn("file", F.coalesce("file", F.lit("__HIVE_DEFAULT_PARTITION__")))
+    dealt = named.repartition("file").sortWithinPartitions("file", "place").select("file", "value")
+    dealt.mapInArrow(lambda batches: _write_named(batches, place), "n long").agg(F.sum("n")).collect()
 
 
 def full_id(n: Column) -> Column:
