@@ -76,6 +76,16 @@ def elide_runs(marked: DataFrame) -> DataFrame:
     return kept.unionByName(notes)
 
 
+def _unsent(rows: DataFrame) -> DataFrame:
+    """Rows for a join that stays where they are dealt.
+
+    Checkpointed lines, texts and searches are larger than the optimizer takes them
+    for (their arrays count as one element, their strings as twenty bytes); without a
+    word it would gather them at the driver to broadcast them.
+    """
+    return rows.hint("merge")
+
+
 def stage2(lines: DataFrame) -> DataFrame:
     return elide_runs(neighborhood_keep(lines))
 
@@ -167,10 +177,10 @@ def _step(texts: DataFrame, state: DataFrame, budget: int, steps: int) -> DataFr
     live = state.filter("lo < hi").select("session", "lo", "hi")
     asked = settle(live, {"caps": _asked(F.col("lo"), F.col("hi"), steps)}).drop("lo", "hi")
     sums = (
-        texts.join(asked, "session").select("*", F.posexplode("caps").alias("node", "cap")).filter(F.col("cap").isNotNull())
+        texts.join(_unsent(asked), "session").select("*", F.posexplode("caps").alias("node", "cap")).filter(F.col("cap").isNotNull())
         .select("session", "node", excerpt_bytes(F.col("cap")).alias("n"))
         .groupBy("session", "node").agg(F.sum("n").alias("n"))
-        .join(state.select("session", "bare"), "session").select("session", "node", (F.col("n") + F.col("bare")).alias("n"))
+        .join(_unsent(state.select("session", "bare")), "session").select("session", "node", (F.col("n") + F.col("bare")).alias("n"))
         # As many rows per session as the pass asked caps for.
         .groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("node", "n"))).alias("sums"))
     )
@@ -193,7 +203,7 @@ def _step(texts: DataFrame, state: DataFrame, budget: int, steps: int) -> DataFr
     )
     found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, walk)
     return (
-        state.join(sums, "session", "left").select("session", "bare", found.alias("s"))
+        state.join(_unsent(sums), "session", "left").select("session", "bare", found.alias("s"))
         .select("session", "s.lo", "s.hi", "bare")
     )
 
@@ -265,11 +275,11 @@ def greedy_budget(lines: DataFrame, budget: int, rows: int = GREEDY_CHUNK) -> Da
     while True:
         after = F.col("done").isNull() | (F.col("chunk") > F.col("done"))
         following = (
-            least.join(state, "session").filter(after & (F.col("least") <= F.col("left")))
+            least.join(_unsent(state), "session").filter(after & (F.col("least") <= F.col("left")))
             .groupBy("session", "left").agg(F.min("chunk").alias("chunk"))
         )
         folded = cut_lineage(
-            sizes.join(following, ["session", "chunk"]).filter("size <= left").groupBy("session", "chunk", "left").agg(members.alias("m"))
+            sizes.join(_unsent(following), ["session", "chunk"]).filter("size <= left").groupBy("session", "chunk", "left").agg(members.alias("m"))
             .select("session", "chunk", F.aggregate("m", start, step).alias("f"))
         )
         if folded.isEmpty():
@@ -278,7 +288,7 @@ def greedy_budget(lines: DataFrame, budget: int, rows: int = GREEDY_CHUNK) -> Da
         state = folded.select("session", F.col("f.left").alias("left"), F.col("chunk").alias("done"))
     if not kept:
         return lines.limit(0).select("session", "seq", "line")
-    return lines.join(reduce(DataFrame.unionByName, kept), ["session", "seq"]).select("session", "seq", "line")
+    return lines.join(_unsent(reduce(DataFrame.unionByName, kept)), ["session", "seq"]).select("session", "seq", "line")
 
 
 def stage3(lines: DataFrame, budget: int, steps: int = STEPS) -> DataFrame:
@@ -291,7 +301,7 @@ def stage3(lines: DataFrame, budget: int, steps: int = STEPS) -> DataFrame:
     measured = cut_lineage(_measured(lines))
     fits = measured.filter(F.col("bare") <= budget)
     caps = largest_cap(lines.join(fits.select("session"), "session", "left_semi"), fits, budget, steps)
-    cut = _cut(lines.join(caps, "session"))
+    cut = _cut(lines.join(_unsent(caps), "session"))
     # Without its texts a line is short; the fallback reads it twice.
     bare = cut_lineage(_cut(
         lines.join(measured.filter(F.col("bare") > budget).select("session"), "session", "left_semi")

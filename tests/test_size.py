@@ -2,6 +2,7 @@
 
 import os
 
+from snagline.operators import compaction as K
 from snagline.plans import views as vw
 
 
@@ -20,3 +21,13 @@ def test_named_files_of_no_rows(spark, tmp_path):
     path = str(tmp_path / "named")
     vw.named_files(spark.createDataFrame([], "file string, place long, value string"), path)
     assert os.listdir(path) == []
+
+
+def test_compaction_broadcasts_no_lines(spark):
+    line = '{"type":"user","message":{"role":"user","content":"%s"}}'
+    rows = [(f"s{i % 9}", i // 9, line % ("word " * (i % 50 + 1))) for i in range(90)]
+    cut = K.stage3(spark.createDataFrame(rows, "session string, seq long, line string"), 600)
+    assert {r.session for r in cut.collect()} == {f"s{i}" for i in range(9)}
+    # The lines meet their caps where they are dealt (the right side of the half-join is a column of sessions).
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan
