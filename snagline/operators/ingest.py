@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -127,6 +128,13 @@ def append_ledger(rows: DataFrame, path: str) -> None:
 
 #: Buckets of a month in a ledger; a bucket of the largest month should fit a task.
 LEDGER_BUCKETS = 16
+#: Rows of a bucket, over all months, that a task sorts at once; a few hundred bytes each.
+BUCKET_ROWS = 500_000
+
+
+def buckets_for(rows: int, least: int = LEDGER_BUCKETS) -> int:
+    """Buckets for a ledger of so many rows: a task that writes or meets one holds `BUCKET_ROWS` at most, on average."""
+    return max(least, math.ceil(rows / BUCKET_ROWS))
 
 
 def ledger_key() -> Column:

@@ -13,6 +13,7 @@ from snagline.plans.sessions import _COUNTS as COUNTS
 from snagline.plans.sessions import _DIGEST as DIGEST
 from snagline.plans.sessions import _flagged
 from snagline.operators import sessions as S
+from snagline.operators.ingest import buckets_for
 from snagline.session import cut_lineage, scratch_path
 from snagline.streaming import ingest, open_set, sessions, tables
 
@@ -71,13 +72,13 @@ def _sink(spark, stream, mode="append"):
 )
 def stream_ingest(spark, d):
     """Delivered twice under two checkpoints: the second delivery adds nothing; lines as they came."""
-    spool = scratch_path(spark, "spool")
-    lines = vw.month_lines(spark, d).repartitionByRange(_FILES, "pos").sortWithinPartitions("pos")
+    spool, n = scratch_path(spark, "spool"), vw.table(spark, d, "orders").count()
+    lines = vw.month_lines(spark, d).repartitionByRange(buckets_for(n, _FILES), "pos").sortWithinPartitions("pos")
     lines.select("value").write.text(spool)
     ledger, quarantine = scratch_path(spark, "ledger"), scratch_path(spark, "quarantine")
     for _ in range(2):
         stream = ingest.spool_stream(spark, spool)
-        _finish(ingest.stream_ingest(stream, ledger, quarantine, scratch_path(spark, "place"), buckets=4))
+        _finish(ingest.stream_ingest(stream, ledger, quarantine, scratch_path(spark, "place"), buckets=buckets_for(n, 4)))
     return ingest.read_ledger(spark, ledger).select("month", "id", "value")
 
 

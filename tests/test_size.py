@@ -1,8 +1,13 @@
 """What must not grow with the tables: files named by the driver, broadcasts, buckets, rows per character."""
 
 import os
+import re
+
+from pyspark.sql import functions as F
 
 from snagline.operators import compaction as K
+from snagline.operators import ingest
+from snagline.plans import streams
 from snagline.plans import views as vw
 
 
@@ -31,3 +36,16 @@ def test_compaction_broadcasts_no_lines(spark):
     # The lines meet their caps where they are dealt (the right side of the half-join is a column of sessions).
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_buckets_follow_the_rows(spark, tmp_path, monkeypatch):
+    assert [ingest.buckets_for(n, 4) for n in (0, 4 * ingest.BUCKET_ROWS, 4 * ingest.BUCKET_ROWS + 1)] == [4, 4, 5]
+    monkeypatch.setattr(ingest, "BUCKET_ROWS", 50)
+    spark.range(400).select(
+        F.col("id").alias("o_orderkey"), F.lit("2-HIGH").alias("o_orderpriority"), F.lit("O").alias("o_orderstatus"),
+        F.timestamp_seconds(F.col("id") * 86400).alias("o_orderdate"),
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    out = streams.stream_ingest(spark, str(tmp_path))
+    # Two keys in a row share an id; those of the same month are one record.
+    assert out.count() == out.select("month", "id").distinct().count() >= 200
+    assert len({re.search(r"_(\d{5})\.c", f)[1] for f in out.inputFiles()}) > 4
