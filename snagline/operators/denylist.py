@@ -7,10 +7,13 @@ tried against the literals whose gram it holds.  Both forms give the same result
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snagline import fixed
 from snagline.functions.settle import settle
@@ -22,6 +25,10 @@ GRAMS = (1, 2, 3, 6)
 BROADCAST_LITERALS = 1_000_000
 #: Literals that a marker can complete are dealt to texts under this many salts.
 SALTS = 8
+#: Numbers of wanted grams modulo this prime make the sieve that texts are put through: 4 MB, however long the list.
+SIEVE = 33_554_393
+#: Places of texts whose grams are numbered at a time.
+PLACES = 1 << 15
 
 MARKER = fixed.MARKERS["denylist"]
 
@@ -51,11 +58,84 @@ def _after_marker(literal: Column) -> Column:
     return literal.contains(MARKER[0]) | literal.contains(MARKER[-1]) | inside
 
 
-def _text_grams(df: DataFrame, key: Sequence[str], text: str, lengths: Sequence[int]) -> DataFrame:
-    """(key, gram) with a gram as its hash; texts may repeat a gram."""
-    read = settle(df.select(*key, text), {text: folded(F.col(text))})
-    every = F.concat(*[grams_of(F.col(text), n) for n in lengths])
-    return read.select(*key, F.explode(every).alias("gram")).select(*key, F.xxhash64("gram").alias("gram"))
+def gram_number(gram: Column) -> Column:
+    """A gram of a folded text as a number of its own: its length and its characters, of which none is beyond ASCII."""
+    return F.shiftleft(F.length(gram).cast("long"), 48) + F.conv(F.hex(gram), 16, 10).cast("long")
+
+
+def _sieve(wanted: DataFrame) -> np.ndarray:
+    """Bits of the numbers modulo `SIEVE` that `wanted` (gram) holds, packed; of one size, however many these are."""
+    # Bitmaps count bits from one.
+    bit = F.pmod("gram", F.lit(SIEVE)) + 1
+    rows = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")
+    )
+    sieve = np.zeros(SIEVE // 8 + 8192, np.uint8)
+    for r in rows.toLocalIterator():
+        sieve[(r.part - 1) * 4096 : r.part * 4096] = np.frombuffer(r.bits, np.uint8)
+    return sieve
+
+
+#: Folded bytes: small letters, one sign for the first byte of any other character; its further bytes go.
+FOLD = np.concatenate([np.frombuffer(bytes(range(128)).lower(), np.uint8), np.full(128, 0x7F, np.uint8)])
+#: The letters that match an ASCII letter, as bytes.
+KIN = [(c.encode(), ord(a)) for c, a in zip("İıſ\u212a", "iisk")]
+
+
+def _folded(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as UTF-8, cut at `ends`, as `folded` has them, with their new ends."""
+    chars = FOLD[data]
+    if (data < 0x80).all():
+        return chars, ends
+    for kin, letter in KIN:
+        at = np.flatnonzero(data[: len(data) - len(kin) + 1] == kin[0])
+        for k, byte in enumerate(kin[1:], 1):
+            at = at[data[at + k] == byte]
+        chars[at] = letter
+    starts = (data & 0xC0) != 0x80
+    return chars[starts], np.concatenate([[0], np.cumsum(starts)])[ends]
+
+
+def _sifted(batches: Iterator[pa.RecordBatch], text: str, lengths: Sequence[int], sieve: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The grams of texts that pass the sieve, with the other columns of their row; a number per place of a text."""
+    for batch in batches:
+        texts = batch.column(text).cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        chars, ends = _folded(data, ends - ends[0])
+        others = batch.drop_columns([text])
+        for first in range(0, int(ends[-1]), PLACES):
+            last = min(first + PLACES, int(ends[-1]))
+            for n in lengths:
+                # The last place of a gram is within the bytes; whether it is within its text is asked of what passes.
+                starts = min(last, int(ends[-1]) - n + 1)
+                if starts <= first:
+                    continue
+                number = np.full(starts - first, n << (48 - 8 * n), np.int64)
+                for k in range(n):
+                    number <<= 8
+                    number |= chars[first + k : starts + k]
+                bit = number % SIEVE
+                at = np.flatnonzero((sieve[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                row = np.searchsorted(ends, at + first, side="right") - 1
+                whole = at + first + n <= ends[row + 1]
+                at, row = at[whole], row[whole]
+                if len(at):
+                    columns = [c.take(pa.array(row)) for c in others.columns]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(number[at])], names=[*others.schema.names, "gram"])
+
+
+def _text_grams(df: DataFrame, key: Sequence[str], text: str, lengths: Sequence[int], wanted: DataFrame) -> DataFrame:
+    """(key, gram) with a gram as its number, of the grams that may be among `wanted` (gram); texts may repeat a gram.
+
+    A text has a gram per place; nearly all are sifted out where they are made, and the rest
+    meet the wanted ones in a join.  A null text has none.
+    """
+    spark = df.sparkSession
+    sieve = spark.sparkContext.broadcast(_sieve(wanted))
+    read = df.select(*key, text).filter(F.col(text).isNotNull())
+    schema = T.StructType([*df.select(*key).schema.fields, T.StructField("gram", T.LongType())])
+    return read.mapInArrow(lambda batches: _sifted(batches, text, lengths, sieve.value), schema)
 
 
 def denylist_index(
@@ -78,12 +158,12 @@ def denylist_index(
         every = F.when(F.col("n") == n, grams_of(F.col("_folded"), n)).otherwise(every)
     held = settle(rows, {"_folded": folded(F.col("_literal"))}).select(
         "pos", "n", F.explode(F.array_distinct(every)).alias("_gram")
-    ).select("pos", "n", F.xxhash64("_gram").alias("gram"))
+    ).select("pos", "n", gram_number(F.col("_gram")).alias("gram"))
     seen = held.groupBy("gram").agg(F.count(F.lit(1)).alias("_seen"))
     if texts is not None:
         lengths = _lengths(held)
         if lengths:
-            there = _text_grams(texts, [], text, lengths).join(_small(seen.select("gram")), "gram")
+            there = _text_grams(texts, [], text, lengths, seen).join(_small(seen.select("gram")), "gram")
             times = there.groupBy("gram").agg(F.count(F.lit(1)).alias("_times"))
             seen = seen.join(times, "gram", "left").select(
                 "gram", (F.coalesce("_times", F.lit(0)) * 1_000_000 + F.least("_seen", F.lit(999_999))).alias("_seen")
@@ -110,7 +190,7 @@ def candidates(df: DataFrame, key: str, text: str, index: DataFrame) -> DataFram
     lengths = _lengths(index)
     if not lengths:
         return df.select(key, F.lit(0).cast("long").alias("pos")).filter(F.lit(False))
-    grams = _text_grams(df, [key], text, lengths)
+    grams = _text_grams(df, [key], text, lengths, index)
     return grams.join(_small(index.select("gram", "pos")), "gram").select(key, "pos").distinct()
 
 
@@ -133,7 +213,8 @@ def indexed_redact(df: DataFrame, key: str, text: str, index: DataFrame) -> Data
     left by an earlier one (they hold a bracket or are part of it).  Its list is no
     longer than the grams it holds, plus these.  Rows without a candidate are left alone.
     """
-    own = candidates(df, key, text, index)
+    # Read twice below; the texts are sifted once.
+    own = cut_lineage(candidates(df, key, text, index))
     late = index.filter("after_marker").select(
         "pos", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("_salt")
     )
