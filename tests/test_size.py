@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from snagline.functions import redaction as R
 from snagline.operators import compaction as K
 from snagline.operators import denylist as D
 from snagline.operators import ingest
@@ -84,3 +85,14 @@ def test_grams_across_places_and_texts(spark, monkeypatch, places):
     whole = [(i, numbers[0]) for i, t in enumerate(texts) for _ in range((t or "").count("needle"))]
     single = [(i, numbers[1]) for i, t in enumerate(texts) for _ in range((t or "").count("n"))]
     assert found == sorted(whole + single)
+
+
+def test_token_pattern_asks_tables(spark):
+    # Ranges are asked one by one at every place of a text; single characters are one look-up.
+    assert not re.search(r"[a-z]-[a-z]", R.token_pattern([]).lower())
+    plain = r"(?<![=A-Za-z0-9+_-])[A-Za-z0-9+_-]{20,}={0,2}(?![=A-Za-z0-9+_-])"
+    run = "aZ09+_-" * 3
+    texts = [run, run + "==", run + "===", "=" + run, run[:19], run[:20], f"é{run}é", f"{run} {run}=x", f"x.{run[:20]}.", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = df.select(R.redact_token(F.col("t"), []).alias("a"), F.regexp_replace("t", F.lit(plain), F.lit("[token]")).alias("b"))
+    assert all(r.a == r.b for r in both.collect())
